@@ -75,7 +75,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumns({"__weft_words": F.filter(F.split(t, SEPARATORS), lambda x: x != ""), "__weft_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     out = out.withColumn("__weft_wh", F.transform(w, lambda x: F.xxhash64(x)))
     wh = F.col("__weft_wh")
-    out = out.withColumn("__weft_hashes", F.when(F.size(w) >= WINDOW, F.transform(F.slice(wh, 1, F.size(w) - (WINDOW - 1)), lambda x, i: F.xxhash64(F.slice(wh, i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    # Window hashes by doubling: pairs, then fours, then eights. slice() copies its whole array, so it must not stand inside a lambda.
+    for name, of, step in (("__weft_h2", "__weft_wh", 1), ("__weft_h4", "__weft_h2", 2), ("__weft_h8", "__weft_h4", 4)):
+        out = out.withColumn(name, F.transform(of, lambda x, i, of=of, step=step: F.xxhash64(x, F.get(F.col(of), i + step))))
+    out = out.withColumn("__weft_hashes", F.slice("__weft_h8", 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
     # Each step below is a column of its own: an expression inside a lambda would be evaluated again for each element.
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     out = out.withColumn("__weft_pairs", F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
@@ -99,7 +102,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_cut_lines": F.size(F.filter(lines, lambda x: x.rlike(ELLIPSIS))).cast("long"),
         }
     )
-    return out.drop("__weft_words", "__weft_lines", "__weft_wh", "__weft_hashes", "__weft_pairs", "__weft_starts")
+    return out.drop("__weft_words", "__weft_lines", "__weft_wh", "__weft_hashes", "__weft_h2", "__weft_h4", "__weft_h8", "__weft_pairs", "__weft_starts")
 
 
 def compile_rules(rules=RULES) -> tuple[Column, Column]:
