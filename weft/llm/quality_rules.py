@@ -68,6 +68,10 @@ def repeat_words(starts: Column) -> Column:
     )
 
 
+def _joined(of: str, step: int):
+    return lambda x, i: F.xxhash64(x, F.get(F.col(of), i + step))
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns plus BASE and MORE as long columns. Scratch columns have names that no input is likely to hold."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -77,7 +81,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     wh = F.col("__weft_wh")
     # Window hashes by doubling: pairs, then fours, then eights. slice() copies its whole array, so it must not stand inside a lambda.
     for name, of, step in (("__weft_h2", "__weft_wh", 1), ("__weft_h4", "__weft_h2", 2), ("__weft_h8", "__weft_h4", 4)):
-        out = out.withColumn(name, F.transform(of, lambda x, i, of=of, step=step: F.xxhash64(x, F.get(F.col(of), i + step))))
+        out = out.withColumn(name, F.transform(of, _joined(of, step)))
     out = out.withColumn("__weft_hashes", F.slice("__weft_h8", 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
     # Each step below is a column of its own: an expression inside a lambda would be evaluated again for each element.
     none = F.array().cast("array<struct<h:bigint,i:int>>")
