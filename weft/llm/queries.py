@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_quality
+from . import q_counts, q_packing, q_pieces, q_quality
 
-_MODULES = (q_quality,)
+_MODULES = (q_pieces, q_packing, q_quality, q_counts)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
