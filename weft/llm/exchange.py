@@ -22,10 +22,12 @@ BUCKET_BYTES = 32 << 20
 
 
 def buckets(df: DataFrame) -> int:
-    """As many as shuffle partitions, or more if the input's estimated size asks for more."""
+    """As many as shuffle partitions, or more if the estimated size of what is scanned asks for more."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(wanted, min(size // BUCKET_BYTES, 1 << 20), 1)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # Spark's word for an unknown size is the largest long
+    return max(wanted, min(known // BUCKET_BYTES, 1 << 20), 1)
 
 
 def pack(columns: Sequence[np.ndarray]) -> bytes:

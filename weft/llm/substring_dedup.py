@@ -182,7 +182,7 @@ def _joined(docs: DataFrame, key: str, text: str, more: list[str], answer, schem
         F.pmod(F.xxhash64(F.coalesce(F.col("__weft_id").cast("long"), F.lit(0))), F.lit(n)).cast("int").alias("bucket"),
         F.lit(TEXTS).alias("kind"),
         F.lit(None).cast("binary").alias("blob"),
-        F.struct(F.col("__weft_id").cast("long").alias("id"), F.xxhash64(F.coalesce("__weft_text", F.lit(""))).bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), F.col("__weft_text").alias("text"), *more).alias("row"),
+        F.struct(F.col("__weft_id").cast("long").alias("__weft_id"), F.xxhash64(F.coalesce("__weft_text", F.lit(""))).bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("__weft_tag"), F.col("__weft_text"), *more).alias("row"),
     )
     both = texts.unionByName(found.withColumn("row", F.col("row").cast(texts.schema["row"].dataType)))
 
@@ -204,7 +204,7 @@ def _joined(docs: DataFrame, key: str, text: str, more: list[str], answer, schem
                     blobs = []
                 some = rows.slice(int(text_rows[0]), len(text_rows))
                 fields = {f.name: some.field(i) for i, f in enumerate(some.type)}
-                offsets = as_bytes(fields["text"])[1]
+                offsets = as_bytes(fields["__weft_text"])[1]
                 for a, b in slices(offsets):
                     yield answer({k: v.slice(a, b - a) for k, v in fields.items()}, table)
 
@@ -243,16 +243,16 @@ def digest_kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def answer(fields: dict[str, pa.Array], table: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         n_words, n_removed, digest = [], [], []
-        raw, offsets = as_bytes(fields["text"])
+        raw, offsets = as_bytes(fields["__weft_text"])
         whole = raw.tobytes()
-        for r, (doc, tag) in enumerate(zip(fields["id"].to_pylist(), fields["tag"].to_pylist(), strict=True)):
+        for r, (doc, tag) in enumerate(zip(fields["__weft_id"].to_pylist(), fields["__weft_tag"].to_pylist(), strict=True)):
             words = whole[offsets[r] : offsets[r + 1]].split()
             gone = removed_words(table, doc, tag, len(words))
             kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             n_words.append(len(words))
             n_removed.append(len(words) - len(kept))
             digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.RecordBatch.from_arrays([fields["id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], [key, "n_words", "n_removed", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([fields["__weft_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], [key, "n_words", "n_removed", "kept_sha256"])
 
     return _joined(docs, key, text, [], answer, schema)
 
@@ -268,10 +268,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dro
 
     def answer(fields: dict[str, pa.Array], table: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         out, emptied = [], []
-        raw, offsets = as_bytes(fields["text"])
+        raw, offsets = as_bytes(fields["__weft_text"])
         start, end, first = spans(raw, offsets)
-        nulls = fields["text"].is_null().to_pylist()
-        for r, (doc, tag) in enumerate(zip(fields["id"].to_pylist(), fields["tag"].to_pylist(), strict=True)):
+        nulls = fields["__weft_text"].is_null().to_pylist()
+        for r, (doc, tag) in enumerate(zip(fields["__weft_id"].to_pylist(), fields["__weft_tag"].to_pylist(), strict=True)):
             lo, hi = int(first[r]), int(first[r + 1])
             gone = removed_words(table, doc, tag, hi - lo)
             own = raw[offsets[r] : offsets[r + 1]]
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dro
                 own = own[keep]
             emptied.append(gone is not None and bool(gone.all()))
             out.append(None if nulls[r] else own.tobytes().decode())
-        columns = {**fields, key: fields["id"], text: pa.array(out, pa.string())}
+        columns = {**fields, key: fields["__weft_id"], text: pa.array(out, pa.string())}
         batch = pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], docs_columns)
         return batch.filter(pa.array([not e for e in emptied])) if drop_emptied else batch
 
