@@ -1,0 +1,67 @@
+"""Rule-based signals: cues with sentence guards, decisions, questions, acknowledgements."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from weft.functions import text as T
+
+# English cues, (family, cue, weight, commitment).
+CUES = [
+    ("decision", "approved", 0.65, "settled"),
+    ("decision", "going with", 0.6, "settled"),
+    ("decision", "we'll go with", 0.65, "settled"),
+    ("open_question", "unclear", 0.6, "unresolved"),
+    ("open_question", "?", 0.5, "punctuation"),
+    ("hedge", "propose", 0.5, ""),
+]
+# English acknowledgements.
+ACKS = ["ok", "sounds good", "+"]
+
+
+def is_ack(text: Column) -> Column:
+    """A short reply that begins with an acknowledgement."""
+    return (F.length(text) <= 30) & F.lower(F.trim(text)).rlike(r"^(ok|sounds good|\+)(?![\p{L}\p{N}_])")
+
+
+def cue_spans(posts: DataFrame) -> DataFrame:
+    """(id, family, cue, weight, sentence): each cue of each post in its first sentence that is not guarded.
+
+    Decision cues are not taken from questions. The cue table is a literal of fixed size, exploded after the sentences are matched.
+    """
+    said = posts.where("delete_at = 0").select("id", F.posexplode(T.sentences(F.lower("message"))).alias("sentence", "s"))
+    found = []
+    for family, cue, weight, _ in CUES:
+        hit = F.col("s").contains(cue) if not cue[:1].isalnum() else T.contains_exact(F.col("s"), cue)
+        if family == "decision":
+            hit &= ~F.col("s").endswith("?")
+        found.append(F.when(hit, F.struct(F.lit(family).alias("family"), F.lit(cue).alias("cue"), F.lit(weight).alias("weight"))))
+    spans = said.select("id", "sentence", F.explode(F.array_compact(F.array(*found))).alias("c")).select("id", "sentence", "c.*")
+    return spans.groupBy("id", "family", "cue").agg(F.max("weight").alias("weight"), F.min("sentence").cast("long").alias("sentence"))
+
+
+def scored_posts(spans: DataFrame, most: int = 5) -> DataFrame:
+    """(id, family, n_cues, confidence) from each family's strongest cues."""
+    ranked = spans.withColumn("r", F.row_number().over(Window.partitionBy("id", "family").orderBy(F.desc("weight"), "cue"))).where(F.col("r") <= most)
+    return ranked.groupBy("id", "family").agg(F.count(F.lit(1)).alias("n_cues"), T.confidence(F.collect_list("weight")).alias("confidence"))
+
+
+def decision_kind(posts: DataFrame, spans: DataFrame, acks: DataFrame) -> DataFrame:
+    """(id, kind): hedged ones are proposals, settled ones approved, others become approved when another author affirms."""
+    settled = [c for f, c, _, k in CUES if k == "settled"]
+    by = spans.groupBy("id").agg(F.bool_or(F.col("cue").isin(settled)).alias("settled"), F.bool_or(F.col("family") == "decision").alias("decision"), F.bool_or(F.col("family") == "hedge").alias("hedged"))
+    joined = by.where("decision OR hedged").join(acks.select(F.col("decision_id").alias("id"), "ack_id"), "id", "left")
+    kind = F.when(F.col("hedged"), "proposal").when(F.col("settled"), "approved_decision").when(F.col("ack_id").isNotNull(), "approved_decision").otherwise("discussion_outcome")
+    return joined.select("id", kind.alias("kind"))
+
+
+def telemetry(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("family", "cue").agg(F.countDistinct("id").alias("posts"))
+
+
+def open_questions(posts: DataFrame, spans: DataFrame, most: int = 3) -> DataFrame:
+    """The latest posts of each thread that ask something unresolved."""
+    asked = spans.where("family = 'open_question'").select("id").distinct()
+    back = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("create_at"), "id"))
+    return posts.join(asked, "id", "left_semi").withColumn("place", back.cast("long")).where(F.col("place") <= most).select("thread_id", "id", "place")
