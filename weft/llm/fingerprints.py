@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+from .exchange import cut
 from .textcore import U64, as_bytes, hash_words, ngrams, slices, spans
 
 PERMUTATIONS, SHINGLE, THRESHOLD = 128, 5, 0.75
@@ -218,3 +220,48 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return pa.RecordBatch.from_arrays(columns, [key, *(c.split()[0] for c in OUT.split(", "))])
 
     return _dealt(docs, key, text).mapInArrow(run, f"`{key}` bigint, {OUT}").withColumn(key, F.col(key).cast(kind))
+
+
+# --- near-duplicate classes -----------------------------------------------------------
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = (np.unique(shingle_rows(*as_bytes(pa.array([t or ""])))[0]) for t in (a, b))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared / max(1, len(x) + len(y) - shared))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_links) of each document: classes by bands of the fingerprint, every link verified by the shingles' Jaccard likeness.
+
+    Documents of one fingerprint are one class at once. The others meet, in each band
+    bucket, the bucket's smallest id, so a bucket of any size gives one pair a member and
+    its minimum is pre-aggregated. n_links counts the verified pairs of the class's
+    representative. A link is found if any band agrees, and if it leads to a bucket's
+    smallest id directly or through others; jaccard_groups finds all links, without bands.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    prints = fingerprint_documents(base, "id", "text")
+    reps = prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("rep"))
+    width = 4 * PERMUTATIONS // bands
+    parts = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * width + 1, width)) for b in range(bands)])
+    empty = F.lit(b"\xff" * (4 * PERMUTATIONS))
+    banded = reps.where(F.col("fingerprint") != empty).select("rep", F.explode(parts).alias("band"))
+    pairs = banded.join(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "band").where("rep <> lead").select("rep", "lead").distinct()
+    # One text an id, whatever the number of rows that repeat it.
+    texts = base.groupBy("id").agg(F.min("text").alias("text"))
+    joined = pairs.join(texts.withColumnRenamed("id", "rep"), "rep").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("other")), "lead").select("rep", "lead", "text", "other")
+    links = joined.mapInArrow(_jaccard, "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= threshold)
+    links = cut(links, "bands")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    found = components(links, "a", "b").withColumnRenamed("node", "rep")
+    named = reps.join(found, "rep", "left").join(degree, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = prints.join(named, "fingerprint", "left")
+    # Texts without shingles are alike but no copies of each other's words: each stays alone.
+    alone = (F.col("fingerprint") == empty) | F.col("id").isNull()
+    return out.select(F.col("id").cast(kind).alias(key), F.when(alone, F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
