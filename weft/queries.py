@@ -152,7 +152,7 @@ def related_tickets(s, d):
 
 # --- writes and sync ------------------------------------------------------------------
 
-_EVENTS = "SELECT lpad(user_id::VARCHAR, 26, 'p') AS id, event_id AS arrival, epoch_ms(ts) AS update_at, CASE WHEN event_type = 'error' THEN epoch_ms(ts) ELSE 0 END AS delete_at, event_type AS message, value FROM events"
+_EVENTS = "SELECT lpad(user_id::VARCHAR, 26, 'p') AS id, event_id AS arrival, epoch_us(ts) // 1000 AS update_at, CASE WHEN event_type = 'error' THEN epoch_us(ts) // 1000 ELSE 0 END AS delete_at, event_type AS message, value FROM events"
 
 
 @query(f"SELECT id, arrival, update_at, delete_at, message FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY greatest(update_at, delete_at) DESC, arrival DESC) AS r FROM ({_EVENTS})) WHERE r = 1", posts=False)
@@ -362,9 +362,9 @@ def unmatched_hints(s, d):
 # --- sequences ------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS at FROM events),
-  c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN CURRENT ROW AND 3600000 FOLLOWING) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM e)
-  SELECT user_id, n, at AS start_at, event_id AS first_id, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, at, event_id) AS r FROM c) WHERE r = 1 AND n >= 3 AND n < total""", posts=False)
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS tm FROM events),
+  c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY tm RANGE BETWEEN CURRENT ROW AND 3600000 FOLLOWING) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM e)
+  SELECT user_id, n, tm AS start_at, event_id AS first_id, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tm, event_id) AS r FROM c) WHERE r = 1 AND n >= 3 AND n < total""", posts=False)
 def densest_hour(s, d):
     e = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
     return sequences.densest_window(e, "user_id", "at", "event_id")
