@@ -65,3 +65,33 @@ def open_questions(posts: DataFrame, spans: DataFrame, most: int = 3) -> DataFra
     asked = spans.where("family = 'open_question'").select("id").distinct()
     back = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("create_at"), "id"))
     return posts.join(asked, "id", "left_semi").withColumn("place", back.cast("long")).where(F.col("place") <= most).select("thread_id", "id", "place")
+
+
+def refinements(posts: DataFrame, decision: Column, refines: Column, within: int = 6) -> DataFrame:
+    """(post_id, decision_id): refining posts among the next ones behind a decision, up to the next decision."""
+    from .sequences import placed
+
+    live = placed(posts.where("delete_at = 0")).withColumns({"d": F.coalesce(decision, F.lit(False)), "r": F.coalesce(refines, F.lit(False))})
+    w = Window.partitionBy("thread_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("d"), F.struct("pos", "id"))).over(w)
+    # The last decision before a post owns it; a decision ends the reach of the one before it.
+    owned = live.withColumn("last", last).where("r AND NOT d AND last IS NOT NULL")
+    return owned.where(F.col("pos") - F.col("last.pos") <= within).select(F.col("id").alias("post_id"), F.col("last.id").alias("decision_id"))
+
+
+def late_acks(posts: DataFrame, decision: Column, ack: Column, tail: int = 8, beyond: int = 2) -> DataFrame:
+    """(decision_id, ack_id): acknowledgements in a thread's tail with more than `beyond` posts by others between; the last of each decision."""
+    from .sequences import placed
+
+    live = placed(posts.where("delete_at = 0")).withColumns({"d": F.coalesce(decision, F.lit(False)), "k": F.coalesce(ack, F.lit(False))})
+    w = Window.partitionBy("thread_id")
+    own = Window.partitionBy("thread_id", "user_id").orderBy("pos")
+    live = live.withColumn("last_pos", F.max("pos").over(w)).withColumn("own_no", F.row_number().over(own))
+    made = live.where("d").select("thread_id", F.col("id").alias("decision_id"), F.col("pos").alias("dpos"), F.col("user_id").alias("duser"), F.col("own_no").alias("down"))
+    tails = live.where(F.col("k") & (F.col("last_pos") - F.col("pos") < tail)).select("thread_id", F.col("id").alias("ack_id"), "pos", "user_id")
+    # At most `tail` acknowledgements a thread meet each decision. Posts by others between: all between, less the decision author's.
+    pairs = tails.join(made, "thread_id").where("pos > dpos AND user_id <> duser")
+    author = live.select("thread_id", F.col("user_id").alias("duser"), F.col("pos").alias("apos"))
+    mine = pairs.join(author, ["thread_id", "duser"]).where("apos > dpos AND apos < pos").groupBy("decision_id", "ack_id").agg(F.count(F.lit(1)).alias("mine"))
+    between = pairs.join(mine, ["decision_id", "ack_id"], "left").withColumn("others", F.col("pos") - F.col("dpos") - 1 - F.coalesce("mine", F.lit(0)))
+    return between.where(F.col("others") > beyond).groupBy("decision_id").agg(F.max("ack_id").alias("ack_id"))

@@ -514,3 +514,54 @@ def benchmark_compare(s, d):
 def question_prf(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "n_chars").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id")
     return metrics.precision_recall(docs.selectExpr("lang AS grp", "quality = 1 AS expected", "n_chars > 500 AS found"))
+
+
+# --- packing --------------------------------------------------------------------------
+
+
+def _packed(s, d):
+    from weft.plans import packing
+
+    return packing.pack(_posts(s, d), tables.users(s, d), F.col("message").contains("PROJ-1"), F.col("message").contains("approved"), 900)
+
+
+@query()
+def thread_packing(s, d):
+    return _packed(s, d)
+
+
+@query()
+def packed_timeline(s, d):
+    from weft.plans import packing
+
+    return packing.timeline(_packed(s, d))
+
+
+@query("""SELECT DISTINCT post_id, decision_id FROM (SELECT d.id AS decision_id, p.id AS post_id, p.message, row_number() OVER (PARTITION BY d.id ORDER BY p.create_at) AS nth,
+  (SELECT min(e.create_at) FROM live e WHERE e.thread_id = d.thread_id AND e.create_at > d.create_at AND e.message LIKE '%approved%') AS stop, p.create_at
+  FROM live d JOIN live p ON p.thread_id = d.thread_id AND p.create_at > d.create_at WHERE d.message LIKE '%approved%')
+  WHERE nth <= 6 AND message LIKE '%OPS-%' AND (stop IS NULL OR create_at < stop)""")
+def scope_refinements(s, d):
+    return signals.refinements(_posts(s, d), F.col("message").contains("approved"), F.col("message").contains("OPS-"))
+
+
+@query("""SELECT d.id AS decision_id, max(a.id) AS ack_id FROM live d JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY create_at DESC, id DESC) AS back FROM live) WHERE back <= 8 AND message LIKE '% ok') a
+  ON a.thread_id = d.thread_id AND a.create_at > d.create_at AND a.user_id <> d.user_id WHERE d.message LIKE '%approved%'
+  AND (SELECT count(*) FROM live b WHERE b.thread_id = d.thread_id AND b.user_id <> d.user_id AND b.create_at > d.create_at AND b.create_at < a.create_at) > 2 GROUP BY 1""")
+def late_acknowledgements(s, d):
+    return signals.late_acks(_posts(s, d), F.col("message").contains("approved"), F.col("message").endswith(" ok"))
+
+
+@query("""SELECT conversation_id, count(DISTINCT thread_id) AS threads, count(*) FILTER (delete_at = 0) AS live_posts, max(create_at) AS newest_at,
+  CASE WHEN (1704500000000 - max(create_at)) / 1000 > 300 THEN 'stale' ELSE 'current' END AS currency,
+  CASE WHEN count(*) FILTER (delete_at = 0 AND message LIKE '%approved%') > 0 THEN 'decided' WHEN count(*) FILTER (delete_at = 0 AND message LIKE '%unclear%') > 0 THEN 'open' ELSE 'thin' END AS adequacy FROM posts GROUP BY 1""")
+def evidence_status(s, d):
+    from weft.plans import evidence
+
+    return evidence.status(_posts(s, d), NOW_MS)
+
+
+@query("SELECT p.id, nullif(regexp_extract(x, '/pl/([a-z0-9]{26})(?:[/?#]|$)', 1), '') AS target FROM (SELECT id, 'https://h/t/pl/' || lpad(replace(id, '-', ''), 26, 'a') || CASE WHEN delete_at = 0 THEN '' ELSE 'zz' END AS x FROM posts) p")
+def permalinks(s, d):
+    p = _posts(s, d).withColumn("x", F.concat(F.lit("https://h/t/pl/"), F.lpad(F.replace(F.col("id"), F.lit("-"), F.lit("")), 26, "a"), F.when(F.col("delete_at") == 0, "").otherwise("zz")))
+    return p.select("id", F.nullif(T.permalink_id(F.col("x")), F.lit("")).alias("target"))
