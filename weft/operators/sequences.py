@@ -102,3 +102,37 @@ def covering_window(tokens: DataFrame, terms: list[str]) -> DataFrame:
     least = F.least(*lasts) if len(lasts) > 1 else lasts[0]
     some_missing = F.array_contains(F.array(*[x.isNull() for x in lasts]), True)
     return hits.withColumn("span", F.when(~some_missing, F.col("pos") - least + 1)).groupBy("id").agg(F.min("span").alias("span")).where("span IS NOT NULL")
+
+
+def nearest_distance(posts: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(thread_id, distance): posts between the closest pair of an a and a b post, by looking back and ahead once."""
+    p = placed(posts).withColumns({"a": F.coalesce(a, F.lit(False)), "b": F.coalesce(b, F.lit(False))})
+    here = Window.currentRow
+    back = F.max(F.when(F.col("b"), F.col("pos"))).over(thread_order().rowsBetween(Window.unboundedPreceding, here))
+    ahead = F.min(F.when(F.col("b"), F.col("pos"))).over(thread_order().rowsBetween(here, Window.unboundedFollowing))
+    near = p.withColumn("d", F.least(F.col("pos") - back, ahead - F.col("pos"))).where("a AND d IS NOT NULL")
+    return near.groupBy("thread_id").agg(F.min("d").alias("distance"))
+
+
+def bridged(posts: DataFrame, chosen: Column, merge_gap: int = 2) -> DataFrame:
+    """(thread_id, id, chosen, kept): posts chosen, or in a gap of at most merge_gap posts between two chosen ones."""
+    p = placed(posts).withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    at = F.when(F.col("chosen"), F.col("pos"))
+    back = F.max(at).over(thread_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(at).over(thread_order().rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return p.withColumn("kept", F.col("chosen") | F.coalesce(ahead - back - 1 <= merge_gap, F.lit(False))).select("thread_id", "id", "chosen", "kept")
+
+
+def core_span(posts: DataFrame, hit: Column) -> DataFrame:
+    """(thread_id, first_pos, last_pos, inside, holes): from the first hit to the last, and how many posts between are none."""
+    p = placed(posts).withColumn("hit", F.coalesce(hit, F.lit(False)))
+    ends = p.where("hit").groupBy("thread_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("hits"))
+    return ends.select("thread_id", "first_pos", "last_pos", (F.col("last_pos") - F.col("first_pos") + 1).alias("inside"), (F.col("last_pos") - F.col("first_pos") + 1 - F.col("hits")).alias("holes"))
+
+
+def chronology(items: DataFrame) -> DataFrame:
+    """Items of several threads in one order of time; one without a time borrows that of the item before it, or else behind it, in its thread."""
+    w = Window.partitionBy("thread_id").orderBy("pos")
+    back = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.first("at", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return items.withColumn("at", F.coalesce(back, ahead)).orderBy("at", "thread_id", "pos")

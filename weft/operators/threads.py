@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,37 @@ def related_tickets(posts: DataFrame, subject: str) -> DataFrame:
     about = edges.where(F.col("ticket_key") == subject).select("thread_id").distinct()
     other = edges.join(about, "thread_id", "left_semi").where(F.col("ticket_key") != subject)
     return other.groupBy("ticket_key").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("thread_id").alias("threads"), F.min("create_at").alias("first_at"), F.min_by("id", F.struct("create_at", "id")).alias("first_post"))
+
+
+def dominant_ticket(posts: DataFrame, subject: str) -> DataFrame:
+    """(thread_id, ticket_key, mentions): the ticket beside the subject that a thread's posts name most; the smaller key of equals."""
+    keys = posts.where(LIVE).select("thread_id", F.explode(T.ticket_keys(F.col("message"))).alias("ticket_key")).where(F.col("ticket_key") != subject)
+    counts = keys.groupBy("thread_id", "ticket_key").agg(F.count(F.lit(1)).alias("mentions"))
+    return counts.groupBy("thread_id").agg(F.min_by(F.struct("ticket_key", "mentions"), F.struct(-F.col("mentions"), F.col("ticket_key"))).alias("b")).select("thread_id", "b.*")
+
+
+def merge_candidates(*lists: DataFrame) -> DataFrame:
+    """Lists of (thread_id, score, reasons, latest_at) by thread: the best score, all reasons, the latest activity."""
+    rows = lists[0]
+    for other in lists[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("thread_id").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"), F.max("latest_at").alias("latest_at"))
+
+
+def entity_rollup(entities: DataFrame, most: int = 40) -> DataFrame:
+    """The entities named by most posts, with the first post of each."""
+    by = entities.groupBy("kind", "normalized_value").agg(F.count(F.lit(1)).alias("posts"), F.min("post_id").alias("first_post"))
+    return by.orderBy(F.desc("posts"), "kind", "normalized_value").limit(most)
+
+
+def dropped(seen: DataFrame, selected: DataFrame) -> DataFrame:
+    return seen.join(selected.select("thread_id").distinct(), "thread_id", "left_anti")
+
+
+def overlap_terms(posts: DataFrame, subject: str) -> DataFrame:
+    """(id, shared): words over two letters that a post shares with the subject, without URLs and stop words."""
+    from weft.functions.subjects import normalize
+
+    words = [w for w in dict.fromkeys(re.findall(r"[^\W_]+", normalize(subject))) if len(w) > 2 and w not in T.STOP_WORDS]
+    said = T.tokens(F.regexp_replace("message", T.URL, " "))
+    return posts.where(LIVE).select("id", F.size(F.array_intersect(said, F.array(*[F.lit(w) for w in words]))).cast("long").alias("shared")).where("shared > 0")

@@ -565,3 +565,73 @@ def evidence_status(s, d):
 def permalinks(s, d):
     p = _posts(s, d).withColumn("x", F.concat(F.lit("https://h/t/pl/"), F.lpad(F.replace(F.col("id"), F.lit("-"), F.lit("")), 26, "a"), F.when(F.col("delete_at") == 0, "").otherwise("zz")))
     return p.select("id", F.nullif(T.permalink_id(F.col("x")), F.lit("")).alias("target"))
+
+
+# --- more sequences and roll-ups ------------------------------------------------------
+
+
+@query("SELECT a.thread_id, min(abs(a.pos - b.pos)) AS distance FROM placed a JOIN placed b USING (thread_id) WHERE a.message LIKE '%OPS-%' AND b.message LIKE '%approved%' GROUP BY 1")
+def nearest_hits(s, d):
+    return sequences.nearest_distance(_posts(s, d), F.col("message").contains("OPS-"), F.col("message").contains("approved"))
+
+
+@query("""SELECT thread_id, id, chosen, chosen OR coalesce(nxt - prv - 1 <= 1, false) AS kept FROM (SELECT *, max(CASE WHEN chosen THEN pos END) OVER (PARTITION BY thread_id ORDER BY pos) AS prv,
+  min(CASE WHEN chosen THEN pos END) OVER (PARTITION BY thread_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM (SELECT *, message LIKE '%OPS-%' AS chosen FROM placed))""")
+def bridged_clusters(s, d):
+    return sequences.bridged(_posts(s, d), F.col("message").contains("OPS-"), 1)
+
+
+@query("SELECT thread_id, min(pos) AS first_pos, max(pos) AS last_pos, max(pos) - min(pos) + 1 AS inside, max(pos) - min(pos) + 1 - count(*) AS holes FROM placed WHERE message LIKE '%OPS-%' GROUP BY 1")
+def core_spans(s, d):
+    return sequences.core_span(_posts(s, d), F.col("message").contains("OPS-"))
+
+
+@query("""SELECT thread_id, pos, coalesce(last_value(a IGNORE NULLS) OVER (PARTITION BY thread_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(a IGNORE NULLS) OVER (PARTITION BY thread_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS at FROM (SELECT *, CASE WHEN pos % 3 <> 1 THEN create_at END AS a FROM placed)""")
+def merged_chronology(s, d):
+    items = sequences.placed(_posts(s, d)).select("thread_id", "pos", F.when(F.col("pos") % 3 != 1, F.col("create_at")).alias("at"))
+    return sequences.chronology(items)
+
+
+@query("SELECT thread_id, arg_min(ticket_key, (-n, ticket_key)) AS ticket_key, max(n) AS mentions FROM (SELECT thread_id, ticket_key, count(*) AS n FROM keys WHERE ticket_key <> 'PROJ-1' GROUP BY 1, 2) GROUP BY 1")
+def dominant_ticket(s, d):
+    return threads.dominant_ticket(_posts(s, d), "PROJ-1")
+
+
+@query("""SELECT thread_id, max(score) AS score, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons, max(create_at) AS latest_at FROM (
+  SELECT thread_id, 2.0::DOUBLE AS score, 'ticket' AS reason, create_at FROM live WHERE message LIKE '%PROJ-%' UNION ALL SELECT thread_id, 1.0, 'cue', create_at FROM live WHERE message LIKE '%approved%') GROUP BY 1""")
+def merged_candidates(s, d):
+    p = _live(s, d)
+    one = lambda word, score, reason: p.where(F.col("message").contains(word)).select("thread_id", F.lit(score).alias("score"), F.array(F.lit(reason)).alias("reasons"), F.col("create_at").alias("latest_at"))
+    return threads.merge_candidates(one("PROJ-", 2.0, "ticket"), one("approved", 1.0, "cue")).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("SELECT ticket_key AS normalized_value, count(DISTINCT id) AS posts, min(id) AS first_post FROM keys GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def entity_rollup(s, d):
+    rows = writes.entity_rows(_posts(s, d), tables.files(s, d)).where("kind = 'ticket'").withColumn("normalized_value", F.upper("normalized_value"))
+    return threads.entity_rollup(rows, 5).select("normalized_value", "posts", "first_post")
+
+
+@query("SELECT DISTINCT thread_id FROM live WHERE message LIKE '%PROJ-%' AND thread_id NOT IN (SELECT thread_id FROM live WHERE message LIKE '%approved%')")
+def dropped_candidates(s, d):
+    p = _live(s, d)
+    return threads.dropped(p.where(F.col("message").contains("PROJ-")).select("thread_id").distinct(), p.where(F.col("message").contains("approved")))
+
+
+@query("SELECT id, count(DISTINCT token) AS shared FROM toks WHERE token IN ('approved', 'proj', 'unclear', 'see') GROUP BY 1")
+def overlap_terms(s, d):
+    return threads.overlap_terms(_posts(s, d), "See the approved PROJ, or unclear")
+
+
+@query("SELECT thread_id, ceil(avg(length(user_id) + 24 + length(message)))::BIGINT AS average_units FROM posts GROUP BY 1")
+def average_units(s, d):
+    p = _posts(s, d)
+    return threads.rendered_units(p, tables.users(s, d)).join(p.select("id", "thread_id"), "id").groupBy("thread_id").agg(F.ceil(F.avg("units")).alias("average_units"))
+
+
+@query("SELECT id, lower(hex(encode('outage'))) AS concept FROM live WHERE regexp_matches(lower(message), '(^|[^\\p{L}\\p{N}_])unclear($|[^\\p{L}\\p{N}_])')")
+def concept_hits(s, d):
+    from weft.functions import stems
+
+    rows = _live(s, d).select("id", F.explode(stems.concept_tokens(F.col("message"), {"outage": ["unclear", "not reachable"]})).alias("token"))
+    return rows.select("id", F.replace(F.col("token"), F.lit("zzconcept"), F.lit("")).alias("concept"))
