@@ -136,3 +136,14 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept, names = compile_rules(rules)
     return out.withColumns({"base_failed": base, "kept": ~base & kept, "failed_rules": names})
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    The optimiser would copy the measures into a filter behind them, and evaluate them
+    there element by element. It leaves a condition alone that it takes for not
+    deterministic, so the verdict is joined with one that always holds.
+    """
+    judged = quality_rules(docs, text, rules)
+    return judged.withColumn("__weft_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("__weft_keep").select(*docs.columns)
