@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from weft.llm.best_fit import best_fit_packing
 from weft.llm.exchange import cut
 from weft.llm.jaccard_groups import keep_one_of_each
-from weft.llm.quality_rules import quality_rules
+from weft.llm.quality_rules import keep_good
 from weft.llm.substring_dedup import remove_repeats
 from weft.llm.vocabularies import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
