@@ -42,12 +42,12 @@ from .fingerprints import shingle_rows
 from .textcore import U64, as_bytes, bucket_of, mix, ranges, slices
 
 PERCENT = 75
-GROUP_KEYS, LEADERS, CHUNK = 2, 8, 256
+GROUP_KEYS, LEADERS, CHUNK = 2, 32, 256
 TOKENS, HEADS = 1, 0
 _TOKEN_TYPES = ("i8", "i4", "u4", "u1")
 _BACK_TYPES = ("i8", "u8", "u1")
 _HEAD_TYPES = ("i8", "i4")
-_CELL_TYPES = ("u8", "i8", "i8", "i4")
+_CELL_TYPES = ("u8", "i8", "i8", "i4", "i4")
 _SEEDS = mix(np.arange(1, GROUP_KEYS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -250,7 +250,7 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(n: int):
-    """Prefix tokens with document, group and size, packed by token."""
+    """Prefix tokens with document, group, size and what stands behind the token in the document's order, packed by token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,15 +260,22 @@ def _cells(n: int):
                 continue
             counts = np.array([len(p) for p in prefixes])
             token = np.concatenate(prefixes)
-            yield from split((mix(token) % U64(n)).astype(np.int64), n, TOKENS, (token, np.repeat(ids, counts), np.repeat(group, counts), np.repeat(size, counts).astype(np.int32)))
+            held = np.array([len(x.as_py()) // 8 for x in batch.column(4)])  # tokens of this document alone come first and are not held
+            rest = np.repeat(held, counts) - ranges(np.zeros(len(counts), np.int64), counts)
+            yield from split((mix(token) % U64(n)).astype(np.int64), n, TOKENS, (token, np.repeat(ids, counts), np.repeat(group, counts), np.repeat(size, counts).astype(np.int32), rest.astype(np.int32)))
 
     return run
 
 
-def meetings(token: np.ndarray, doc: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, group) for each document and each group of a smaller number in a column of the query's tokens, where sizes allow a link."""
+def meetings(token: np.ndarray, doc: np.ndarray, group: np.ndarray, size: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, group) for each document and each group of a smaller number in a column of the query's tokens, where a link is possible.
+
+    Sizes must allow it, and so must places: if the token is the first that two sets share,
+    they share at most what stands from it on in either order (rest), and a link needs
+    75 / 175 of both sizes together. A pair that fails at its first common token fails at all.
+    """
     order = np.lexsort((doc, group, token))
-    token, doc, group, size = token[order], doc[order], group[order], size[order].astype(np.int64)
+    token, doc, group, size, rest = token[order], doc[order], group[order], size[order].astype(np.int64), rest[order].astype(np.int64)
     new_token = np.ones(len(token), bool)
     new_token[1:] = token[1:] != token[:-1]
     new_cell = new_token.copy()
@@ -276,6 +283,7 @@ def meetings(token: np.ndarray, doc: np.ndarray, group: np.ndarray, size: np.nda
     cells = np.flatnonzero(new_cell)
     cell = np.cumsum(new_cell) - 1
     smallest, largest = np.minimum.reduceat(size, cells), np.maximum.reduceat(size, cells)
+    most_rest = np.maximum.reduceat(rest, cells)
     first_cell = cell[np.maximum.accumulate(np.where(new_token, np.arange(len(token)), 0))]
     before = cell - first_cell
     query, met = [], []
@@ -288,6 +296,7 @@ def meetings(token: np.ndarray, doc: np.ndarray, group: np.ndarray, size: np.nda
         q = np.repeat(some, before[some])
         c = ranges(first_cell[some], before[some])
         fits = (PERCENT * smallest[c] <= 100 * size[q]) & (100 * largest[c] >= PERCENT * size[q])
+        fits &= (100 + PERCENT) * np.minimum(rest[q], most_rest[c]) >= PERCENT * (size[q] + smallest[c])
         pair = np.unique(np.stack([doc[q[fits]], group[cells[c[fits]]]]), axis=1)
         query.append(pair[0])
         met.append(pair[1])
@@ -341,7 +350,7 @@ def links(survivors: DataFrame, n: int) -> DataFrame:
     # A leader may follow another leader under the other key: one step further makes fewer groups.
     group = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left").select("id", F.coalesce("upper", "up").alias("grp"))
     grouped = cut(survivors.join(group, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"), "n", "tokens", "prefix"), "groups")
-    cells = exchange(grouped.select("id", "grp", "n", "prefix").mapInArrow(_cells(n), PACKED), n)
+    cells = exchange(grouped.select("id", "grp", "n", "prefix", "tokens").mapInArrow(_cells(n), PACKED), n)
     met = cut(cells.mapInArrow(_meet, "id bigint, met bigint").distinct(), "met")
     opened = met.select(F.col("met").alias("grp")).distinct()
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).join(opened, "grp", "left_semi").select("grp", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
