@@ -35,11 +35,8 @@ def corpus_stats(docs: DataFrame, text: str = "message") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_len"))
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "id", text: str = "message", mode: str = "any") -> DataFrame:
-    """(id, bm25): negative is better. Only postings of the query's terms are formed; statistics cover all documents.
-
-    mode "any" takes documents with any term, "all" those with every term.
-    """
+def term_scores(docs: DataFrame, terms: list[str], key: str = "id", text: str = "message") -> DataFrame:
+    """(id, token, score) of each document and query term it holds. Only postings of the query's terms are formed; statistics cover all documents."""
     wanted = [t.lower() for t in dict.fromkeys(terms)]
     toks = docs.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("toks"))
     rows = toks.select("id", F.size("toks").alias("doc_len"), F.explode(F.filter("toks", lambda t: t.isin(wanted))).alias("token"))
@@ -50,8 +47,13 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "id", text: str = "messag
     # One row a query term: bounded by the query.
     idf = df.crossJoin(stats).select("token", "avg_len", F.when(raw <= 0, F.lit(1e-6)).otherwise(raw).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.join(F.broadcast(idf), "token").groupBy("id").agg((-F.sum(part)).alias("bm25"), F.count(F.lit(1)).alias("n"))
-    return scored.where(F.col("n") == len(wanted) if mode == "all" else F.lit(True)).select("id", "bm25")
+    return hits.join(F.broadcast(idf), "token").select("id", "token", (-part).alias("score"))
+
+
+def bm25(docs: DataFrame, terms: list[str], key: str = "id", text: str = "message", mode: str = "any") -> DataFrame:
+    """(id, bm25): negative is better. mode "any" takes documents with any term, "all" those with every term."""
+    scored = term_scores(docs, terms, key, text).groupBy("id").agg(F.sum("score").alias("bm25"), F.count(F.lit(1)).alias("n"))
+    return scored.where(F.col("n") == len({t.lower() for t in terms}) if mode == "all" else F.lit(True)).select("id", "bm25")
 
 
 def phrase(docs: DataFrame, words: list[str], key: str = "id", text: str = "message") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +18,14 @@ def search(posts: DataFrame, subject: str, terms: list[str], limit: int = 10) ->
     """
     live = posts.where("delete_at = 0")
     words = [w for w in (x.lower() for x in subject.replace("-", " ").split()) if w]
-    requests = [(0, "exact_phrase", retrieval.phrase(live, words).select("id", (-F.col("n")).cast("double").alias("score")))]
-    requests += [(i + 1, "term_fts", retrieval.bm25(live, [t]).select("id", F.col("bm25").alias("score"))) for i, t in enumerate(terms)]
-    requests.append((len(terms) + 1, "broad_fts", retrieval.bm25(live, terms).select("id", F.col("bm25").alias("score"))))
-    hits = reduce(DataFrame.unionByName, [h.withColumns({"probe": F.lit(p), "source": F.lit(s)}) for p, s, h in requests])
+    exact = retrieval.phrase(live, words).select("id", F.lit(0).alias("probe"), F.lit("exact_phrase").alias("source"), (-F.col("n")).cast("double").alias("score"))
+    # One pass over the postings of all terms serves every term's channel and their union.
+    scored = retrieval.term_scores(live, terms)
+    number = F.create_map(*[F.lit(x) for i, t in enumerate(dict.fromkeys(t.lower() for t in terms)) for x in (t, i + 1)])
+    each = scored.select("id", number[F.col("token")].alias("probe"), F.lit("term_fts").alias("source"), "score")
+    broad = scored.select("id", F.lit(len(terms) + 1).alias("probe"), F.lit("broad_fts").alias("source"), "score")
+    union = each.unionByName(broad).groupBy("id", "probe", "source").agg(F.sum("score").alias("score"))
+    hits = exact.unionByName(union)
     first = hits.join(live.select("id", "thread_id"), "id").groupBy("probe", "source", "thread_id").agg(F.min(F.struct(F.round("score", 9).alias("score"), "id")).alias("first"))
     order = Window.partitionBy("probe", "source").orderBy("first")
     fused = retrieval.fuse(first.withColumn("rank", F.row_number().over(order)))
