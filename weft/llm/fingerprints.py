@@ -160,7 +160,8 @@ def _dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
                 to = pa.array([closes[i] for i in again.column(1).to_pylist()], pa.int32())
                 yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(again.num_rows, np.int32)), again.column(1), again.column(2)], ["part", "again", "id", "text"])
 
-    dealt = rows.mapInArrow(deal, "part int, again int, id long, text string").repartition(max(1, len(bounds) + 1), "part")
+    dealt = rows.mapInArrow(deal, "part int, again int, id long, text string")
+    dealt = dealt.repartitionById(len(bounds) + 1, dealt["part"])
     return dealt.sortWithinPartitions("part", "again", F.col("id").desc(), F.col("text").desc())
 
 
