@@ -49,6 +49,15 @@ def test_periodic_and_shared_passages(spark, seed):
     assert got(digest_kept(frame(spark, rows))) == brute(rows)
 
 
+def test_one_segment_that_repeats_far_apart(spark):
+    """An 8-word phrase at short gaps can be the anchor of a whole document, whose windows repeat 27 words on."""
+    rows = []
+    for i in range(200):
+        line = " ".join(f"d{i}p{k}" for k in range(8))
+        rows.append((i, "\n".join(f"{line} d{i}x{x}" for x in "ABC" * 4)))
+    assert got(digest_kept(frame(spark, rows))) == brute(rows)
+
+
 def test_edge_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, text)]

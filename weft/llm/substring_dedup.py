@@ -90,7 +90,8 @@ def _index(n: int):
 def parse_block(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
     """Factors of all segments of a block: (doc, at, windows, source doc, source at), where at is start << TAG_BITS | tag."""
     none = np.zeros(0, np.int64)
-    # Segments whose anchor stands alone repeat nothing, unless they repeat themselves.
+    # Segments whose anchor stands alone repeat nothing, unless they repeat themselves. Those of
+    # more than WINDOW windows, which a recurring anchor makes, may do so at any distance.
     by = np.argsort(anchor, kind="stable")
     same = anchor[by][1:] == anchor[by][:-1]
     shared = np.zeros(len(by), bool)
@@ -98,6 +99,7 @@ def parse_block(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, lengths: np
     shared[:-1] |= same
     keep = np.zeros(len(by), bool)
     keep[by[shared]] = True
+    keep |= lengths > WINDOW
     begin = np.cumsum(lengths) - lengths
     if len(symbols) > 1:
         keep |= _repeats_itself(symbols, lengths)
@@ -131,7 +133,7 @@ def parse_block(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, lengths: np
 
 
 def _repeats_itself(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Whether any symbol stands twice in a segment; only periodic text does that, with a period under WINDOW."""
+    """Whether any symbol stands twice in a segment less than WINDOW places apart: all repeats of segments up to WINDOW windows."""
     segment = np.repeat(np.arange(len(lengths)), lengths)
     out = np.zeros(len(lengths), bool)
     for back in range(1, WINDOW):
