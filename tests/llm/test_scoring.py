@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from weft.llm import class_ngrams
 from weft.llm.class_ngrams import class_scores, exchange_classes
 
 DATA = "/root/testdata/sf0.001"
@@ -67,3 +68,58 @@ def test_scores_do_not_depend_on_partitions(spark):
     a = {x["doc_id"]: round(x["score"], 9) for x in class_scores(frame(spark, rows, 1)).collect()}
     b = {x["doc_id"]: round(x["score"], 9) for x in class_scores(frame(spark, rows, 4)).collect()}
     assert a == b
+
+
+def likelihood(table):
+    f = class_ngrams._f
+    return f(table).sum() - f(table.sum(0)).sum() - f(table.sum(1)).sum()
+
+
+def test_placing_follows_the_likelihood():
+    """Each word's class against moving it alone and counting anew."""
+    r, k = np.random.default_rng(5), class_ngrams.CLASSES
+    names, own = r.integers(0, 40, 3000), r.integers(0, 6, 40)
+
+    def table(own):
+        out = np.zeros((k, k))
+        np.add.at(out, (own[names[:-1]], own[names[1:]]), 1)
+        return out
+
+    middle = np.arange(1, 2999)
+    # Words at either end of the sequence have an occurrence with one neighbour only.
+    words = [w for w in range(40) if w not in (names[0], names[-1])]
+    at = middle[np.isin(names[middle], words)]
+    at = at[np.argsort(names[at], kind="stable")]
+    beside = lambda step: np.where(names[at + step] == names[at], k, own[names[at + step]])
+    found = class_ngrams.place_words(np.searchsorted(words, names[at]), beside(-1), beside(1), own[words], table(own))
+    for w, got in zip(words, found.tolist(), strict=True):
+        best = [likelihood(table(np.where(np.arange(40) == w, c, own))) for c in range(k)]
+        assert best[got] >= max(best) - 1e-6
+
+
+def test_words_outside_the_core_get_classes_of_their_own(spark):
+    """1,000 core words in two alternating kinds; rarer words of equal shape stand where the one or the other kind does."""
+    r = random.Random(6)
+    core = [[f"{c}{i:03d}x" for i in range(500)] for c in "mn"]
+    rare = [[f"{c}{i:03d}x" for i in range(40)] for c in "pq"]
+    rows = []
+    for i in range(1500):
+        words = [r.choice(core[j % 2]) for j in range(60)]
+        for j in r.sample(range(60), 4):
+            words[j] = r.choice(rare[j % 2])
+        rows.append((i, " ".join(words)))
+    n = 4
+    docs = frame(spark, rows)
+    placed, _ = class_ngrams.place(docs, class_ngrams.vocabulary_table(docs, n), n)
+    own = {}
+    for row in placed.collect():
+        words, _, _, classes = class_ngrams.unpack(row["blob"], class_ngrams._PLACED_TYPES)
+        own |= {(row["bucket"] << class_ngrams.KEY_BITS) | w: c for w, c in zip(words.tolist(), classes.tolist(), strict=True)}
+
+    def classes(kind):
+        import pyarrow as pa
+
+        hashes = class_ngrams.tokens(*class_ngrams.as_bytes(pa.array([" ".join(kind)])))[0][:-1]
+        return {own[w] for w in class_ngrams.identity(hashes, n).tolist()}
+
+    assert not classes(rare[0]) & classes(rare[1])

@@ -8,20 +8,26 @@ TOP of them (a bound, not a sample), are also broadcast, so that common words ar
 they stand and only rarer ones travel.
 
 Classes: the UNITS most frequent words, the end of text, and SHAPES groups of all other
-words by length and last character are the units of exchange clustering. Their bigram
-counts come from all training tokens and have at most (UNITS + SHAPES + 1)**2 entries,
-however large the corpus. Exchange moves one unit at a time to the class that raises
-the class bigram likelihood most, until a sweep moves none or SWEEPS are done.
+words by length and last character are the units of a first exchange clustering. Their
+bigram counts come from all training tokens and have at most (UNITS + SHAPES + 1)**2
+entries, however large the corpus. Exchange moves one unit at a time to the class that
+raises the class bigram likelihood most, until a sweep moves none.
+
+Then every other word seen PLACED times or more is placed: the classes beside all its
+occurrences are gathered in its vocabulary slice, and it goes to the class that raises
+the likelihood most by the same rule. That is one pass, each word against the table of
+the first clustering. Only words too rare to place keep the class of their shape. The
+class bigrams are then counted anew over all training tokens.
 
 Smoothing: class transitions are backed off to class frequencies with weight BACK_OFF;
 emissions are (count + 0.5) / (class count + 0.5 * (class vocabulary + 1)), so an unseen
 word of a class has a count of 0.5. A text begins after an end of text.
 
-Scoring: the sum of log10(count + 0.5) of rare words is formed in the vocabulary's
-buckets; everything else of a document is formed where its text stands. Both meet in
-the document's bucket. Rows are told apart by their place in the input, so rows that
-repeat an id get results of their own; the input must give its rows in the same order
-when a task is repeated, as files do.
+Scoring: a batch of documents becomes a sequence of classes, a byte a token; its words
+outside the broadcast table are asked for in their slices, each once, and the answers
+meet the sequence in the batch's bucket. Batches are told apart by their place in the
+input, so rows that repeat an id get results of their own; the input must give its rows
+in the same order when a task is repeated, as files do.
 
 Null text is empty: one token, the end. A null id counts as the empty text when folds
 are drawn. An empty table gives an empty result; so does training on no text at all:
@@ -30,6 +36,7 @@ every count is then 0.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,17 +47,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import PACKED, buckets, cut, exchange, gather, pack, rows, split, unpack
-from .textcore import U64, as_bytes, hash_words, slices, spans
+from .textcore import U64, as_bytes, bucket_of, hash_words, slices, spans
 
-TOP, UNITS, SHAPES, CLASSES, SWEEPS, BACK_OFF = 65_536, 1000, 16, 64, 8, 10.0
+TOP, UNITS, SHAPES, CLASSES, PLACED, BACK_OFF = 65_536, 1000, 16, 64, 3, 10.0
 END_WORD, END_SHAPE = U64(0x5DEECE66D1234567), SHAPES
 KEY_BITS = 40
-WORDS, RARE, HEADS, SUMS = 0, 1, 2, 3
+WORDS, RARE, TEXTS, ANSWERS, CONTEXTS = 0, 1, 2, 3, 4
 _WORD_TYPES = ("u4", "u1", "i4", "u1")
 _SLICE_TYPES = ("u8", "i8", "u1")
-_RARE_TYPES = ("i8", "i4", "u4", "u1", "i4")
-_SUM_TYPES = ("i8", "f8", "i4")
-_HEAD_TYPES = ("i8", "i8", "u1", "u1", "i8", "i8", "f8", "f8")
+_PLACED_TYPES = ("u8", "i8", "u1", "u1")
+_CONTEXT_TYPES = ("u4", "u1", "i4", "u1", "i4", "u1")
+_RARE_TYPES = ("i8", "u4", "u1")
+_ANSWER_TYPES = ("i8", "u1", "i8")
+_TEXT_TYPES = ("i8", "i8", "u1", "u1", "i8", "u1", "i4", "i8", "f8")
+_RESOLVED_TYPES = ("i8", "u1", "u1", "i8", "i8", "f8", "u1")
 
 
 def is_held_out(ids: list[int | None]) -> np.ndarray:
@@ -176,43 +186,43 @@ def most_frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and words of each class."""
     for _, held in gather(batches):
         for _, blob in held:
-            words, count, shape = unpack(blob, _SLICE_TYPES)
-            kinds = np.arange(SHAPES + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(np.bincount(shape, count, SHAPES + 1).astype(np.int64)), pa.array(np.bincount(shape, minlength=SHAPES + 1).astype(np.int64))], ["shape", "n", "v"])
+            _, count, _, own = unpack(blob, _PLACED_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(np.bincount(own, count, CLASSES).astype(np.int64)), pa.array(np.bincount(own, minlength=CLASSES).astype(np.int64))], ["class", "n", "v"])
 
 
 @dataclass
 class ClassModel:
-    """What is broadcast: bounded by TOP, UNITS, SHAPES and CLASSES."""
+    """What is broadcast: bounded by TOP, SHAPES and CLASSES."""
 
     n_buckets: int
     train_tokens: int
     vocabulary: int
     top_words: np.ndarray
     top_counts: np.ndarray
-    top_units: np.ndarray
-    unit_class: np.ndarray
+    top_class: np.ndarray
+    shape_class: np.ndarray
     log_transition: np.ndarray
     log_emission_base: np.ndarray
 
-    def units(self, words: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, count or -1 for words not in the broadcast table) of each token."""
-        unit = UNITS + shape.astype(np.int64)
-        count = np.full(len(words), -1, np.int64)
-        if len(self.top_words):
-            at = np.searchsorted(self.top_words, words)
-            at[at == len(self.top_words)] = 0
-            hit = self.top_words[at] == words
-            own = self.top_units[at]
-            unit = np.where(hit & (own >= 0), own, unit)
-            count[hit] = self.top_counts[at[hit]]
-        return unit, count
-
-
-def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each unit from the matrix of unit bigram counts: frequent units are dealt out first, then moved one by one."""
+
+def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of each word in an ascending table."""
+    if not len(table):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    at = np.searchsorted(table, words)
+    at[at == len(table)] = 0
+    return at, table[at] == words
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
+    """The class of each unit from the matrix of unit bigram counts: frequent units are dealt out first, then moved one by one until none moves."""
     n = len(pairs)
     left, right = pairs.sum(1), pairs.sum(0)
     order = np.argsort(-(left + right), kind="stable")
@@ -221,11 +231,13 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SW
     one_hot = np.zeros((n, classes))
     one_hot[np.arange(n), member] = 1
     table = one_hot.T @ pairs @ one_hot
-    f = lambda x: x * np.log(np.maximum(x, 1))
+    f = _f
+    # Above the rounding of the sums, so that every move raises the likelihood and the sweeps end.
+    least = 1e-9 + 1e-13 * float(f(pairs.sum()))
     to_class, from_class = pairs @ one_hot, (one_hot.T @ pairs).T.copy()
     own_left, own_right = one_hot.T @ left, one_hot.T @ right
     d = np.arange(classes)
-    for _ in range(sweeps):
+    for _ in itertools.count() if sweeps is None else range(sweeps):
         moved = 0
         for w in order.tolist():
             if not left[w] and not right[w]:
@@ -245,7 +257,7 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SW
             gain += f(table[d, d] + r + c + s) - ft[d, d]
             gain -= f(own_left + left[w]) - f(own_left) + f(own_right + right[w]) - f(own_right)
             best = int(np.argmax(gain))
-            if gain[best] <= gain[k] + 1e-9:
+            if gain[best] <= gain[k] + least:
                 best = k
             table[best] += r
             table[:, best] += c
@@ -264,26 +276,125 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SW
     return member
 
 
-def train(docs: DataFrame, vocabulary: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> ClassModel:
-    """Bigram counts of units over all training tokens, then classes and their tables."""
+def place_words(words: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the class bigram likelihood most, if that word alone moves.
+
+    words: ascending numbers below len(own), one for each occurrence; left and right: classes beside it, CLASSES where that is the word itself.
+    """
+    out, d = own.copy(), np.arange(CLASSES)
+    own_left, own_right = table.sum(1), table.sum(0)
+    for lo in range(0, len(own), 1024):
+        k = own[lo : lo + 1024].astype(np.int64)
+        n = len(k)
+        a, b = np.searchsorted(words, (lo, lo + n))
+        cell = (words[a:b] - lo) * (CLASSES + 1)
+        r = np.bincount(cell + right[a:b], minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1).astype(float)
+        c = np.bincount(cell + left[a:b], minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1).astype(float)
+        s, count = r[:, CLASSES].copy(), r.sum(1)
+        r, c = r[:, :CLASSES], c[:, :CLASSES]
+        at = np.arange(n)
+        inside = np.broadcast_to(np.diag(table), (n, CLASSES)).copy()
+        inside[at, k] -= r[at, k] + c[at, k] + s
+        gain = _f(inside + r + c + s[:, None]) - _f(inside)
+        for side, other, cells in ((r, c, table.T), (c, r, table)):
+            w, j = np.nonzero(side)
+            if not len(w):
+                continue
+            base, more = cells[j], side[w, j]
+            same = np.flatnonzero(j == k[w])
+            base[same] -= other[w[same]]
+            rest = np.flatnonzero(j != k[w])
+            base[rest, k[w[rest]]] -= more[rest]
+            change = _f(base + more[:, None]) - _f(base)
+            change[np.arange(len(w)), j] = 0  # the inside of a class is counted above
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(change, first, axis=0)
+        for sums in (own_left, own_right):
+            base = np.broadcast_to(sums, (n, CLASSES)).copy()
+            base[at, k] -= count
+            gain -= _f(base + count[:, None]) - _f(base)
+        best = gain.argmax(1)
+        out[lo : lo + n] = np.where(gain[at, best] > gain[at, k] + 1e-9, best, k)
+    return out
+
+
+def _contexts(n: int, core: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray):
+    """Of each word outside the core the classes beside its occurrences in training texts, packed by the word's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for _, _, (hashes, shape, _) in _pieces(_training(batch)):
+                words = identity(hashes, n)
+                at, hit = _found(core, words)
+                now = np.where(hit, core_class[at], shape_class[shape]) if len(core) else shape_class[shape]
+                # The end of text is no such word, so each has a token behind it; the first one follows an end.
+                some = np.flatnonzero(~hit & (shape != END_SHAPE))
+                before = np.where(some > 0, now[some - 1], shape_class[END_SHAPE])
+                before[(some > 0) & (words[some - 1] == words[some])] = CLASSES
+                after = np.where(words[some + 1] == words[some], CLASSES, now[some + 1])
+                found.append((words[some], before.astype(np.uint8), after.astype(np.uint8)))
+            if not found:
+                continue
+            words, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(words, kind="stable")
+            words, times = np.unique(words, return_counts=True)
+            bucket = (words >> U64(KEY_BITS)).astype(np.int64)
+            yield from split(bucket, n, CONTEXTS, (words.astype(np.uint32), (words >> U64(32)).astype(np.uint8)), ((times, before[order]), (times, after[order])))
+
+    return run
+
+
+def _placed(core: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray, table: np.ndarray):
+    """The vocabulary slice of each bucket with the words' classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in gather(batches):
+            slices_ = [unpack(b, _SLICE_TYPES) for k, b in held if k == WORDS]
+            if not slices_:
+                continue
+            words, count, shape = slices_[0]
+            own = shape_class[shape].astype(np.uint8)
+            at, hit = _found(core, words | U64(bucket) << U64(KEY_BITS))
+            own[hit] = core_class[at[hit]]
+            move = np.flatnonzero(~hit & (count >= PLACED) & (shape != END_SHAPE))
+            met = [unpack(b, _CONTEXT_TYPES) for k, b in held if k == CONTEXTS]
+            if met and len(move):
+                low, more, times, before, _, after = (np.concatenate(c) for c in zip(*met, strict=True))
+                at, hit = _found(words[move], low.astype(np.uint64) | more.astype(np.uint64) << U64(32))
+                at = np.repeat(np.where(hit, at, -1), times)
+                order = np.argsort(at, kind="stable")
+                order = order[np.searchsorted(at[order], 0) :]
+                own[move] = place_words(at[order], before[order], after[order], own[move], table)
+            yield rows([(bucket, WORDS, pack((words, count, shape, own)))])
+
+    return run
+
+
+def _classes_of(top: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in gather(batches):
+            for _, blob in held:
+                words, _, _, own = unpack(blob, _PLACED_TYPES)
+                words = words | U64(bucket) << U64(KEY_BITS)
+                hit = _found(top, words)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(words[hit].view(np.int64)), pa.array(own[hit].astype(np.int32))], ["word", "class"])
+
+    return run
+
+
+def place(docs: DataFrame, vocabulary: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, ClassModel]:
+    """The vocabulary with the class of every word, and the model without its class tables."""
     words, counts, shapes = most_frequent(vocabulary)
-    totals = np.zeros((SHAPES + 1, 2), np.int64)
-    for r in vocabulary.mapInArrow(_totals, "shape int, n bigint, v bigint").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        totals[r["shape"]] = r["n"], r["v"]
-    n_units = UNITS + SHAPES + 1
-    end = UNITS + END_SHAPE
-    unit = np.full(len(words), -1, np.int64)
-    unit[:UNITS] = np.arange(min(UNITS, len(words)))
-    unit[(shapes == END_SHAPE) & (unit >= 0)] = -1  # the end of text has its own unit
-    order = np.argsort(words)
-    blank = np.zeros(0)
-    model = ClassModel(n, int(totals[:, 0].sum()), int(totals[:, 1].sum()), words[order], counts[order], unit[order], blank, blank, blank)
+    n_units, end = UNITS + SHAPES + 1, UNITS + END_SHAPE
+    core = np.sort(words[:UNITS][shapes[:UNITS] != END_SHAPE])  # the end of text has its own unit
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n_units * n_units, np.int64)
         for batch in batches:
             for _, _, (hashes, shape, places) in _pieces(_training(batch)):
-                now, _ = model.units(identity(hashes, n), shape)
+                at, hit = _found(core, identity(hashes, n))
+                now = np.where(hit, at, UNITS + shape.astype(np.int64))
                 before = np.empty_like(now)
                 before[1:] = now[:-1]
                 before[places[:-1]] = end
@@ -296,28 +407,25 @@ def train(docs: DataFrame, vocabulary: DataFrame, n: int, key: str = "doc_id", t
     pairs[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
     pairs = pairs.reshape(n_units, n_units)
     member = exchange_classes(pairs)
-
     one_hot = np.zeros((n_units, CLASSES))
     one_hot[np.arange(n_units), member] = 1
     table = one_hot.T @ pairs @ one_hot
-    often = table.sum(0)
-    share = (often + 0.5) / (often.sum() + 0.5 * CLASSES)
-    transition = (table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF)
-    # Words and tokens of each class: units of single words, and what is left of each shape.
-    size, kinds = np.zeros(n_units), np.zeros(n_units)
-    single = unit >= 0
-    size[unit[single]], kinds[unit[single]] = counts[single], 1
-    taken = np.bincount(shapes[single], counts[single], SHAPES + 1), np.bincount(shapes[single], minlength=SHAPES + 1)
-    size[UNITS:], kinds[UNITS:] = totals[:, 0] - taken[0], totals[:, 1] - taken[1]
-    model.unit_class = member
-    model.log_transition = np.log10(transition)
-    model.log_emission_base = np.log10(one_hot.T @ size + 0.5 * (one_hot.T @ kinds + 1))
-    return model
+
+    core_class, shape_class = member[: len(core)].astype(np.uint8), member[UNITS:].astype(np.uint8)
+    met = docs.select(key, text).mapInArrow(_contexts(n, core, core_class, shape_class), PACKED)
+    placed = cut(exchange(vocabulary.unionByName(met), n).mapInArrow(_placed(core, core_class, shape_class, table), PACKED), "placed")
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    own = np.zeros(len(words), np.uint8)
+    found = placed.mapInArrow(_classes_of(words), "word bigint, class int").toArrow()
+    own[np.searchsorted(words, found.column(0).to_numpy().view(np.uint64))] = found.column(1).to_numpy()
+    blank = np.zeros(0)
+    return placed, ClassModel(n, 0, 0, words, counts, own, shape_class, blank, blank)
 
 
-def _measured(model: ClassModel):
-    """Of each document what can be said where it stands (HEADS, by document), and its rarer words (RARE, by word)."""
-    n, end = model.n_buckets, UNITS + END_SHAPE
+def _asked(model: ClassModel):
+    """The tokens of each batch as classes (TEXTS, by batch), and its words outside the broadcast table (RARE, by word), each once."""
+    n = model.n_buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -328,130 +436,152 @@ def _measured(model: ClassModel):
             out = is_held_out(ids)
             null = np.array([i is None for i in ids], bool)
             number = np.array([i or 0 for i in ids], np.int64)
-            heads, rare = [], []
-            for lo, hi, (hashes, shape, places) in _pieces(batch):
+            found = []
+            for _, _, (hashes, shape, places) in _pieces(batch):
                 words = identity(hashes, n)
-                unit, count = model.units(words, shape)
-                now = model.unit_class[unit]
-                before = np.empty_like(now)
-                before[1:] = now[:-1]
-                before[places[:-1]] = model.unit_class[end]
+                at, hit = _found(model.top_words, words)
+                # A byte a token: its class, or CLASSES and its shape if it must be asked for.
+                own = np.where(hit, model.top_class[at], CLASSES + shape) if len(model.top_words) else CLASSES + shape
+                counted = np.where(hit, np.log10(model.top_counts[at] + 0.5), 0.0) if len(model.top_words) else np.zeros(len(words))
                 sums = lambda x, at=places[:-1]: np.add.reduceat(x, at)
-                known = count >= 0
-                own = np.arange(lo, hi)
-                heads.append((row + own, number[own], null[own].astype(np.uint8), out[own].astype(np.uint8), np.diff(places), sums(known.astype(np.int64)), sums(np.where(known, np.log10(np.maximum(count, 0) + 0.5), 0.0)), sums(model.log_transition[before, now] - model.log_emission_base[now])))
-                some = np.flatnonzero(~known)
-                doc = np.repeat(own, np.diff(places))[some]
-                rare.append((row + doc, words[some]))
-            if not heads:
+                found.append((np.diff(places), sums(hit.astype(np.int64)), sums(counted), own.astype(np.uint8), words[~hit]))
+            if not found:
                 continue
-            head = [np.concatenate(c) for c in zip(*heads, strict=True)]
-            yield from split(head[0] % n, n, HEADS, [c.astype(t) for c, t in zip(head, _HEAD_TYPES, strict=True)])
-            doc, words = (np.concatenate(c) for c in zip(*rare, strict=True))
-            yield from _rare_rows(doc, words, n)
+            n_tokens, n_known, counted, own, words = (np.concatenate(c) for c in zip(*found, strict=True))
+            words, number_of = np.unique(words, return_inverse=True)
+            head = (np.array([row], np.int64), number, null.astype(np.uint8), out.astype(np.uint8), n_tokens, own, number_of.astype(np.int32))
+            at = bucket_of(head[0], n)
+            yield rows([(int(at[0]), TEXTS, pack((*head, n_known, counted)))])
+            bucket = (words >> U64(KEY_BITS)).astype(np.int64)
+            edges = np.searchsorted(bucket, np.arange(n + 1))
+            parts, size = [], 0
+            for b in np.unique(bucket).tolist():
+                w = words[edges[b] : edges[b + 1]]
+                parts.append((b, RARE, pack((np.array([row, edges[b]], np.int64), w.astype(np.uint32), (w >> U64(32)).astype(np.uint8)))))
+                size += len(parts[-1][2])
+                if size > 8 << 20:
+                    yield rows(parts)
+                    parts, size = [], 0
+            if parts:
+                yield rows(parts)
             row += batch.num_rows
 
     return run
 
 
-def _rare_rows(doc: np.ndarray, words: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((words & U64((1 << KEY_BITS) - 1), doc, words >> U64(KEY_BITS)))
-    doc, words = doc[order], words[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(doc))).astype(np.int32)
-    doc, words = doc[first], words[first]
-    bucket = (words >> U64(KEY_BITS)).astype(np.int64)
-    new = np.ones(len(doc), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
-    heads = np.flatnonzero(new)
-    counts = np.diff(np.append(heads, len(doc))).astype(np.int32)
-    word_edges, run_edges = np.searchsorted(bucket, np.arange(n + 1)), np.searchsorted(bucket[heads], np.arange(n + 1))
-    low, more = words.astype(np.uint32), (words >> U64(32)).astype(np.uint8)
-    parts, size = [], 0
-    for b in np.unique(bucket).tolist():
-        w, r = slice(word_edges[b], word_edges[b + 1]), slice(run_edges[b], run_edges[b + 1])
-        parts.append((b, RARE, pack((doc[heads[r]], counts[r], low[w], more[w], times[w]))))
-        size += len(parts[-1][2])
-        if size > 8 << 20:
-            yield rows(parts)
-            parts, size = [], 0
-    if parts:
-        yield rows(parts)
+def _answered(n: int):
+    """Class and count of the words that the batches ask for, CLASSES and 0 of unknown ones; texts pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in gather(batches):
+            known = [unpack(b, _PLACED_TYPES) for k, b in held if k == WORDS]
+            words, count, _, own = known[0] if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None, np.zeros(0, np.uint8))
+            for kind, blob in held:
+                if kind == TEXTS:
+                    yield rows([(bucket, TEXTS, blob)])
+                elif kind == RARE:
+                    head, low, more = unpack(blob, _RARE_TYPES)
+                    at, hit = _found(words, low.astype(np.uint64) | more.astype(np.uint64) << U64(32))
+                    classes, counts = np.full(len(at), CLASSES, np.uint8), np.zeros(len(at), np.int64)
+                    classes[hit], counts[hit] = own[at[hit]], count[at[hit]]
+                    yield rows([(int(bucket_of(head[:1], n)[0]), ANSWERS, pack((head, classes, counts)))])
+
+    return run
 
 
-def _looked_up(n: int):
-    """Sums of log10(count + 0.5) of each document's words in the bucket's slice; heads pass through."""
+def _resolved(shape_class: np.ndarray):
+    """Each batch with the classes of all tokens, and of each document its known tokens and the sum of log10(count + 0.5)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in gather(batches):
-            known = [unpack(b, _SLICE_TYPES) for k, b in held if k == WORDS]
-            words, count = (known[0][0], known[0][1]) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            heads = [(bucket, HEADS, b) for k, b in held if k == HEADS]
-            if heads:
-                yield rows(heads)
-            asked = [unpack(b, _RARE_TYPES) for k, b in held if k == RARE]
-            if not asked:
-                continue
-            doc, counts, low, more, times = (np.concatenate(c) for c in zip(*asked, strict=True))
-            word = low.astype(np.uint64) | more.astype(np.uint64) << U64(32)
-            found = np.zeros(len(word), np.int64)
-            if len(words):
-                at = np.searchsorted(words, word)
-                at[at == len(words)] = 0
-                hit = words[at] == word
-                found[hit] = count[at[hit]]
-            first = np.cumsum(counts) - counts
-            total = np.add.reduceat(times * np.log10(found + 0.5), first)
-            seen = np.add.reduceat(np.where(found > 0, times, 0), first).astype(np.int32)
-            yield from split(doc % n, n, SUMS, (doc, total, seen))
+            answers: dict[int, list] = {}
+            for blob in (b for k, b in held if k == ANSWERS):
+                head, classes, counts = unpack(blob, _ANSWER_TYPES)
+                answers.setdefault(int(head[0]), []).append((int(head[1]), classes, counts))
+            for blob in (b for k, b in held if k == TEXTS):
+                head, number, null, out, n_tokens, own, word, n_known, counted = unpack(blob, _TEXT_TYPES)
+                own = own.copy()
+                rare = np.flatnonzero(own >= CLASSES)
+                told = sorted(answers.pop(int(head[0]), []), key=lambda a: a[0])
+                if told:
+                    classes, counts = (np.concatenate([a[c] for a in told])[word] for c in (1, 2))
+                    own[rare] = np.where(classes < CLASSES, classes, shape_class[np.minimum(own[rare] - CLASSES, SHAPES)])
+                    doc = np.repeat(np.arange(len(n_tokens)), n_tokens)[rare]
+                    counted = counted + np.bincount(doc, np.log10(counts + 0.5), len(n_tokens))
+                    n_known = n_known + np.bincount(doc, counts > 0, len(n_tokens)).astype(np.int64)
+                yield rows([(bucket, TEXTS, pack((number, null, out, n_tokens, n_known, counted, own)))])
 
     return run
 
 
+def _before(own: np.ndarray, n_tokens: np.ndarray, end: int) -> np.ndarray:
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[np.cumsum(n_tokens) - n_tokens] = end
+    return before
+
+
+def resolve(docs: DataFrame, placed: DataFrame, model: ClassModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    n = model.n_buckets
+    asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(_asked(model), PACKED)
+    found = exchange(placed.unionByName(asked), n).mapInArrow(_answered(n), PACKED)
+    return cut(exchange(found, n).mapInArrow(_resolved(model.shape_class), PACKED), "classes")
+
+
+def finish(resolved: DataFrame, placed: DataFrame, model: ClassModel) -> ClassModel:
+    """The class tables from the final classes of all training tokens."""
+    end = int(model.shape_class[END_SHAPE])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CLASSES * CLASSES, np.int64)
+        for _, held in gather(batches):
+            for _, blob in held:
+                _, _, out, n_tokens, _, _, own = unpack(blob, _RESOLVED_TYPES)
+                pair = _before(own, n_tokens, end).astype(np.int64) * CLASSES + own
+                seen += np.bincount(pair[np.repeat(out == 0, n_tokens)], minlength=len(seen))
+        where = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(seen[where])], ["pair", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    summed = resolved.mapInArrow(paired, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
+    table = table.reshape(CLASSES, CLASSES)
+    often = table.sum(0)
+    share = (often + 0.5) / (often.sum() + 0.5 * CLASSES)
+    model.log_transition = np.log10((table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF))
+    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in placed.mapInArrow(_totals, "class int, n bigint, v bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        size[r["class"]], kinds[r["class"]] = r["n"], r["v"]
+    model.train_tokens, model.vocabulary = int(size.sum()), int(kinds.sum())
+    model.log_emission_base = np.log10(size + 0.5 * (kinds + 1))
+    return model
+
+
 OUT = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
 
 
 def _scored(model: ClassModel, key: str):
     names = [key, *(c.split()[0] for c in OUT.split(", "))]
     base = np.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
+    end = int(model.shape_class[END_SHAPE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in gather(batches):
-            heads = [unpack(b, _HEAD_TYPES) for k, b in held if k == HEADS]
-            if not heads:
-                continue
-            row, ids, null, out, n_tokens, n_known, counted, rest = (np.concatenate(c) for c in zip(*heads, strict=True))
-            order = np.argsort(row)
-            row, ids, null, out, n_tokens, rest = (c[order] for c in (row, ids, null, out, n_tokens, rest))
-            n_known, counted = n_known[order].copy(), counted[order].copy()
-            sums = [unpack(b, _SUM_TYPES) for k, b in held if k == SUMS]
-            if sums:
-                doc, total, seen = (np.concatenate(c) for c in zip(*sums, strict=True))
-                # Buckets are added in an order of their own, so that repeated runs give equal sums.
-                by = np.lexsort((total, doc))
-                at = np.searchsorted(row, doc[by])
-                counted += np.bincount(at, total[by], len(row))
-                n_known += np.bincount(at, seen[by], len(row)).astype(np.int64)
-            score = counted + rest
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(row), model.train_tokens)), pa.array(counted - n_tokens * base), pa.array(score), pa.array(10 ** np.minimum(-score / n_tokens, 300))], names
-            )
+            for _, blob in held:
+                ids, null, out, n_tokens, n_known, counted, own = unpack(blob, _RESOLVED_TYPES)
+                rest = model.log_transition[_before(own, n_tokens, end), own] - model.log_emission_base[own]
+                score = counted + np.add.reduceat(rest, np.cumsum(n_tokens) - n_tokens)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(ids), model.train_tokens)), pa.array(counted - n_tokens * base), pa.array(score), pa.array(10 ** np.minimum(-score / n_tokens, 300))], names
+                )
 
     return run
 
 
-def score_documents(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    n = model.n_buckets
-    kind = docs.schema[key].dataType.simpleString()
-    asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(_measured(model), PACKED)
-    found = exchange(vocabulary.unionByName(asked), n).mapInArrow(_looked_up(n), PACKED)
-    return exchange(found, n).mapInArrow(_scored(model, key), f"`{key}` bigint, {OUT}").withColumn(key, F.col(key).cast(kind))
-
-
 def class_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Trains on the documents outside the held-out fold and scores all of them."""
     n = buckets(docs)
-    vocabulary = vocabulary_table(docs, n, key, text)
-    return score_documents(docs, train(docs, vocabulary, n, key, text), vocabulary, key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    placed, model = place(docs, vocabulary_table(docs, n, key, text), n, key, text)
+    resolved = resolve(docs, placed, model, key, text)
+    return resolved.mapInArrow(_scored(finish(resolved, placed, model), key), f"`{key}` bigint, {OUT}").withColumn(key, F.col(key).cast(kind))
