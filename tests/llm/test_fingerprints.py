@@ -65,6 +65,20 @@ def test_near_duplicate_classes(spark):
     assert got == {10: (10, 1), 11: (10, 1), 12: (10, 1), 13: (13, 0), 14: (14, 0), 15: (15, 0), None: (None, 0)}
 
 
+def test_pairs_meet_past_a_smaller_id(spark):
+    """In the buckets of three near documents, among templates of lower ids, all three pairs are compared and count as links."""
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(name, places):
+        return " ".join(f"{name}{i}" if i in places else w for i, w in enumerate(base))
+
+    own = range(0, 80, 10)
+    rows = [(i, edited(f"t{i}x", range(i % 7, 300, 13))) for i in range(1, 41)]
+    rows += [(100, edited("q", own)), (101, edited("q", [*own, 150])), (102, edited("q", [*own, 210]))]
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in near_duplicates(frame(spark, rows)).collect()}
+    assert {d: got[d] for d in (100, 101, 102)} == {d: (100, 2) for d in (100, 101, 102)}
+
+
 def test_buckets_equal_sparks(spark):
     ids = [0, 1, -5, 2**40, -(2**62)]
     rows = spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "pmod(xxhash64(i), 7) AS b").collect()

@@ -239,11 +239,10 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links) of each document: classes by bands of the fingerprint, every link verified by the shingles' Jaccard likeness.
 
-    Documents of one fingerprint are one class at once. The others meet, in each band
-    bucket, the bucket's smallest id, so a bucket of any size gives one pair a member and
-    its minimum is pre-aggregated. n_links counts the verified pairs of the class's
-    representative. A link is found if any band agrees, and if it leads to a bucket's
-    smallest id directly or through others; jaccard_groups finds all links, without bands.
+    Documents of one fingerprint are one class at once. Of the others, all pairs that
+    share a band are verified, each once, so their number grows with the square of a hot
+    bucket. n_links counts the verified pairs of the class's representative. A link is
+    found if any band agrees; jaccard_groups finds all links, without bands.
     """
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -253,7 +252,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     parts = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * width + 1, width)) for b in range(bands)])
     empty = F.lit(b"\xff" * (4 * PERMUTATIONS))
     banded = reps.where(F.col("fingerprint") != empty).select("rep", F.explode(parts).alias("band"))
-    pairs = banded.join(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "band").where("rep <> lead").select("rep", "lead").distinct()
+    pairs = banded.join(banded.select(F.col("rep").alias("lead"), "band"), "band").where("lead < rep").select("rep", "lead").distinct()
     # One text an id, whatever the number of rows that repeat it.
     texts = base.groupBy("id").agg(F.min("text").alias("text"))
     joined = pairs.join(texts.withColumnRenamed("id", "rep"), "rep").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("other")), "lead").select("rep", "lead", "text", "other")
