@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from weft.llm.substring_dedup import digest_kept, factors, remove_repeats
+from weft.llm.substring_dedup import ANCHOR, digest_kept, factors, parse_block, remove_repeats, segments
+from weft.llm.textcore import hash_words, ngrams, spans
 
 DATA = "/root/testdata/sf0.001"
 
@@ -96,3 +98,25 @@ def test_factors_name_their_source(spark):
         assert r["start"] - r["source_start"] == 1 and r["n_words"] >= 20
         covered |= set(range(r["start"], r["start"] + r["n_words"]))
     assert covered == set(range(1, 31))
+
+
+def test_many_different_windows_of_one_anchor():
+    """300,000 windows with one phrase of small hash: 32 bits would take some ten pairs of them for equal."""
+    r = np.random.default_rng(8)
+    pool = [f"w{i}" for i in r.integers(0, 10**6, 10**6).tolist()]
+    raw = np.frombuffer(" ".join(pool).encode(), np.uint8)
+    start, end, _ = spans(raw, np.array([0, len(raw)]))
+    least = int(np.argmin(ngrams(hash_words(raw, start, end, lower=False), ANCHOR)))
+    phrase, n = " ".join(pool[least : least + ANCHOR]), 300_000
+    texts = [f"{phrase} " + " ".join(f"u{i}" for i in range(12 * k, 12 * k + 12)) for k in range(n)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    row, anchor, at, lengths, symbols = segments(raw, np.append(0, np.cumsum([len(t) for t in texts])))
+    assert len(symbols) == n and np.unique(anchor, return_counts=True)[1].max() > 0.99 * n
+    assert not len(parse_block(anchor, row, at, lengths, symbols)[0])
+
+
+def test_one_symbol_under_two_anchors():
+    anchor, doc = np.array([1, 2, 1, 2], np.uint64), np.array([1, 2, 3, 4])
+    zero, one = np.zeros(4, np.int64), np.ones(4, np.int64)
+    found = parse_block(anchor, doc, zero, one, np.full(4, 9, np.uint64))
+    assert sorted(zip(found[0].tolist(), found[3].tolist(), strict=True)) == [(3, 1), (4, 2)]

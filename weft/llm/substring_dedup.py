@@ -16,6 +16,9 @@ its text is moved once. Segments and factors travel packed, a row for each batch
 block; the number of blocks grows with the input. A passage shared by a third of all
 documents is a few segments of each of them, a small share of any block.
 
+Windows are equal if their 64-bit hashes and their anchors' are; an anchor with c windows
+meets c * c / 2**65 false matches on average.
+
 "Earlier" is a smaller id, or in one document an earlier start. Null text has no words.
 Rows of a null id take no part: they are neither parsed nor indexed, and keep all words.
 Rows that repeat an id and text are one document and get equal results; rows of one id
@@ -34,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import PACKED, buckets, exchange, gather, split, unpack
-from .textcore import U64, as_bytes, bucket_of, hash_words, mix, ngrams, ranges, slices, spans, windows
+from .textcore import U64, as_bytes, bucket_of, hash_words, ngrams, ranges, slices, spans, windows
 
 WINDOW, ANCHOR = 20, 8
 TAG_BITS = 24
 SEGMENTS, FACTORS, TEXTS = 0, 1, 2
-_SEGMENT_TYPES = ("u8", "i8", "i8", "i4", "u4")
+_SEGMENT_TYPES = ("u8", "i8", "i8", "i4", "u8")
 _FACTOR_TYPES = ("i8", "i8", "i4", "i8", "i8")
 
 
@@ -53,20 +56,20 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor, first window, windows in it) of each segment, and the 32-bit symbols of all windows in order."""
+    """(row, anchor, first window, windows in it) of each segment, and the 64-bit symbols of all windows in order."""
     start, end, first = spans(raw, offsets)
     words = hash_words(raw, start, end, lower=False)
     at, row = windows(first, WINDOW)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint32)
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)
     anchor = _least(ngrams(words, ANCHOR), WINDOW - ANCHOR + 1)[at]
     symbol = ngrams(words, WINDOW)[at]
     begins = np.ones(len(at), bool)
     begins[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     where = np.flatnonzero(begins)
     lengths = np.diff(np.append(where, len(at)))
-    return row[where], anchor[where], at[where] - first[row[where]], lengths, (symbol >> U64(32)).astype(np.uint32)
+    return row[where], anchor[where], at[where] - first[row[where]], lengths, symbol
 
 
 def _index(n: int):
@@ -111,10 +114,14 @@ def parse_block(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, lengths: np
     place = ranges(begin[chosen], lengths)
     segment = np.repeat(np.arange(len(chosen)), lengths)
     inside = ranges(np.zeros(len(chosen), np.int64), lengths)
-    key = mix(anchor[chosen])[segment] ^ (symbols[place].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    key, owner = symbols[place], anchor[chosen][segment]
     order = np.argsort(key, kind="stable")
-    head = np.ones(len(order), bool)
+    head, other = np.ones(len(order), bool), owner[order][1:] != owner[order][:-1]
     head[1:] = key[order][1:] != key[order][:-1]
+    # Equal windows agree in all bits of symbol and anchor; one symbol under two anchors is a chance in 2**64.
+    if (other & ~head[1:]).any():
+        order = np.lexsort((owner, key))
+        head[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     leader = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
     source = np.empty(len(order), np.int64)
     source[order] = order[leader]
