@@ -653,8 +653,15 @@ c AS (SELECT f.*, 0 AS direct, CASE WHEN alone = 1 THEN 3 WHEN ticket_in_root =
   1 AS routing, priority, coalesce(fusion, 0) AS fusion FROM f JOIN conf ON conf.id = conversation_id LEFT JOIN fz USING (thread_id) WHERE explicit_ticket = 1 OR matched_terms > 0)"""
 
 
+def _candidate_rows(s, d):
+    return ranking.candidates(_posts(s, d), "PROJ-1", "still unclear", ["ops", "proj"], routing.route(tables.conversations(s)), rrf_fusion(s, d))
+
+
 @query(f"{_CANDIDATES} SELECT thread_id, {', '.join(f'{x}::DOUBLE AS {x}' for x in ranking.FULL_VECTOR)} FROM c ORDER BY {', '.join(f'{x}::DOUBLE DESC' for x in ranking.FULL_VECTOR)}, thread_id LIMIT 20")
 def candidate_rank_vector(s, d):
-    fused = rrf_fusion(s, d)
-    rows = ranking.candidates(_posts(s, d), "PROJ-1", "still unclear", ["ops", "proj"], routing.route(tables.conversations(s)), fused)
-    return ranking.order(rows, 20)
+    return ranking.order(_candidate_rows(s, d), 20)
+
+
+@query(f"{_CANDIDATES} SELECT thread_id, {', '.join(f'{x}::DOUBLE AS {x}' for x in ranking.FULL_VECTOR)} FROM c ORDER BY {', '.join(f'{x}::DOUBLE DESC' for x in ranking.FULL_VECTOR)}, thread_id")
+def candidate_rank_vector_all(s, d):
+    return ranking.order(_candidate_rows(s, d))
