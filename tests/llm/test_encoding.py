@@ -53,8 +53,7 @@ def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    texts = ["", "  \x01 a", "ΑΣ Σ ΑΣ Β", "a\x01b c", "<|endoftext|> x", "é ́", "don't we'll\x85x", "The the THE."] * 2
+    texts = ["", "  \x01 a", "ΑΣ Σ ΑΣ Β", "a\x01b c", "<|endoftext|> x", "x <|endoftext|> y", "a<|startoftext|><|endoftext|>B's", "<|endoftext|", "<|EndOfText|>", "é ́", "don't we'll\x85x", "The the THE."] * 2
     got = word_ids(WORDS).encode([x.encode() for x in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 

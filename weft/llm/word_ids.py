@@ -1,7 +1,8 @@
 """Token ids of whole texts with the tokenizers library, each distinct word encoded once.
 
 The tokenizer splits at white space before merging, so a text's ids are its words' ids
-in order. Words new to the worker are encoded together in one call, with a control
+in order. Strings of special tokens in a text become those tokens, as the library's plain
+call has it; none of them holds white space, so they lie within words. Words new to the worker are encoded together in one call, with a control
 character between them that gives a token of its own.
 """
 
@@ -20,7 +21,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         fence = self._call(FENCE)
         self.fence = int(fence[0]) if len(fence) == 1 else None
         self.young: dict[bytes, bytes] = {}
