@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Chunks kept in each of the cache's two generations, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Pairs kept in each generation of the compatibility tests.
+PAIR_ENTRIES = 1_000_000
 
 
 class PieceModel:
@@ -57,6 +59,9 @@ class PieceModel:
         self.text[self.unk] = " ⁇ ".encode()
         if any(MARK in p.lstrip(MARK) for p in self.of):
             raise ValueError("a piece holds a word mark after another character: chunks would not be independent")
+        # Compatible pairs in two bounded generations, as the chunks below; keys are this model's ids.
+        self._pairs: dict[tuple[int, int], bool] = {}
+        self._old_pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.of.items():
             self.automaton.add_word(piece, (len(piece), i))
@@ -94,11 +99,14 @@ class PieceModel:
         and see that no pair across the border would have been merged before the merge undone."""
         known = self._pairs.get((a, b))
         if known is None:
-            known = self._pairs[a, b] = self._compatible(a, b)
+            known = self._old_pairs.get((a, b))
+            if known is None:
+                known = self._compatible(a, b)
+            if len(self._pairs) >= PAIR_ENTRIES:
+                self._old_pairs, self._pairs = self._pairs, {}
+            self._pairs[a, b] = known
         return known
 
-    _pairs: dict[tuple[int, int], bool] = {}
-
     def _compatible(self, a: int, b: int) -> bool:
         left, right, pieces, rank, parts = a, b, self.pieces, self.rank, self.parts
         limit, strict = float("inf"), False
@@ -122,7 +130,7 @@ class PieceModel:
         last: list[int] = [-1] * (n + 1)
         size: list[int] = [1] * (n + 1)
         missing = -2
-        parts, pairs = self.parts, self._pairs
+        parts, known = self.parts, self._pairs.get
         found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(chunk):
             found[end].append(match)
@@ -136,7 +144,7 @@ class PieceModel:
                 if start == 0 or before == missing:
                     ok = True
                 else:
-                    ok = pairs.get((before, piece))
+                    ok = known((before, piece))
                     if ok is None:
                         ok = self.compatible(before, piece)
                 if ok:
