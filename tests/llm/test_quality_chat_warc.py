@@ -138,3 +138,21 @@ def test_broken_archives_are_refused(harm):
 def test_broken_records_are_refused(old, new):
     with pytest.raises(InvalidArchive):
         parse_record(archive(1)[0].replace(old, new, 1))
+
+
+def test_kept_documents_keep_columns_that_measures_are_named_after(spark):
+    from weft.llm.quality_rules import keep_good
+
+    text = "the cat and the dog went to a house in the old town, where it was warm and they had all that a cat or a dog needs"
+    df = frame(spark, [(1, text), (2, "a")], "doc_id long, text string").selectExpr("doc_id", "text", "111 AS n_words", "'a' AS kept", "5 AS `x.y`", "6 AS n_lines")
+    out = keep_good(df)
+    assert [tuple(r) for r in out.collect()] == [(1, text, 111, "a", 5, 6)] and out.columns == df.columns
+
+
+def test_the_filter_of_kept_documents_stays_behind_the_measures(spark):
+    from weft.llm.quality_rules import keep_good
+
+    df = frame(spark, [(1, "a")], "doc_id long, text string")
+    plan = keep_good(df)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Filter" in line)
+    assert "__weft_keep" in top and "split" not in top

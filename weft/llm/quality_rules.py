@@ -5,8 +5,8 @@ compile_rules() turns the table into one boolean column; adding a rule is adding
 
 Null text counts as empty: no words, so the document fails on its length. Rows are
 judged one by one; repeated rows get equal verdicts, and an empty table gives an empty
-result. Columns other than the text are passed through untouched, except that the
-measures replace columns of the same name.
+result. Columns other than the text are passed through untouched; in quality_rules()
+the measures replace columns of the same name, in keep_good() nothing does.
 """
 
 from __future__ import annotations
@@ -139,11 +139,14 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The documents that the rules keep, with their own columns.
+    """The documents that the rules keep, with their own columns, whatever their names.
 
     The optimiser would copy the measures into a filter behind them, and evaluate them
     there element by element. It leaves a condition alone that it takes for not
-    deterministic, so the verdict is joined with one that always holds.
+    deterministic, so the verdict is joined with one that always holds; a test reads the plan.
     """
-    judged = quality_rules(docs, text, rules)
-    return judged.withColumn("__weft_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("__weft_keep").select(*docs.columns)
+    # Columns go by number while they are judged, so that none can clash with a measure.
+    scratch = [f"__weft_own{i}" for i in range(len(docs.columns))]
+    judged = quality_rules(docs.toDF(*scratch), scratch[docs.columns.index(text)], rules)
+    kept = judged.withColumn("__weft_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("__weft_keep")
+    return kept.select(*(F.col(a).alias(b) for a, b in zip(scratch, docs.columns, strict=True)))
