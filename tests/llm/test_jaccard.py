@@ -84,3 +84,31 @@ def test_one_of_each_stays_with_all_columns(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges, "a", "b").collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "u v w x y z")]
+    assert sorted((r["doc_id"], r["text"]) for r in keep_one_of_each(frame(spark, rows)).collect()) == [(1, "a b c d e f"), (7, "u v w x y z")]
+
+
+def test_string_keys_and_odd_columns(spark):
+    df = frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, "q")]).selectExpr("concat('k', doc_id) AS `my.id`", "text", "1 AS t", "2 AS least")
+    found = {r["my.id"]: r["component_id"] for r in jaccard_components(df, "my.id").collect()}
+    assert found == {"k1": "k1", "k2": "k1", "k3": "k3"}
+    out = keep_one_of_each(df, "my.id")
+    assert sorted(r["my.id"] for r in out.collect()) == ["k1", "k3"] and out.columns == df.columns
+
+
+def test_a_frequent_key_is_dealt_out_by_salt(spark, monkeypatch):
+    """All documents share one least token; many batches have leaders of it, and links still join all near copies."""
+    from weft.llm import jaccard_groups
+
+    monkeypatch.setattr(jaccard_groups, "SALTED", 2)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    assert got(jaccard_components(frame(spark, rows, 16))) == brute(rows)

@@ -114,12 +114,80 @@ def test_words_outside_the_core_get_classes_of_their_own(spark):
     own = {}
     for row in placed.collect():
         words, _, _, classes = class_ngrams.unpack(row["blob"], class_ngrams._PLACED_TYPES)
-        own |= {(row["bucket"] << class_ngrams.KEY_BITS) | w: c for w, c in zip(words.tolist(), classes.tolist(), strict=True)}
+        own |= dict(zip(words.tolist(), classes.tolist(), strict=True))
 
     def classes(kind):
         import pyarrow as pa
 
         hashes = class_ngrams.tokens(*class_ngrams.as_bytes(pa.array([" ".join(kind)])))[0][:-1]
-        return {own[w] for w in class_ngrams.identity(hashes, n).tolist()}
+        return {own[w] for w in hashes.tolist()}
 
     assert not classes(rare[0]) & classes(rare[1])
+
+
+def plain_classes(texts, order):
+    """Exchange in plain Python: every move is judged by the likelihood counted anew."""
+    k = class_ngrams.CLASSES
+    pairs = Counter(p for t in texts for p in zip([None, *t], t))
+    seen = Counter(w for p, n in pairs.items() for w in p for _ in range(n))
+    units = sorted(order, key=lambda w: -seen[w])
+    own = {w: i % k for i, w in enumerate(units)}
+
+    def table(own):
+        out = np.zeros((k, k))
+        for (a, b), n in pairs.items():
+            out[own[a], own[b]] += n
+        return out
+
+    moved = True
+    while moved:
+        moved = False
+        for w in units:
+            if not seen[w]:
+                continue
+            gain = [likelihood(table({**own, w: c})) for c in range(k)]
+            if max(gain) > gain[own[w]] + 1e-6:
+                own[w] = int(np.argmax(gain))
+                moved = True
+    return own, table(own)
+
+
+def test_score_against_a_plain_class_model(spark):
+    """All words are common enough for the core, so classes come from exchange alone."""
+    r = random.Random(12)
+    kinds = [[f"{c}{i}" for i in range(4)] for c in "abc"]
+    rows = [(i, " ".join(r.choice(kinds[j % 3]) for j in range(r.randint(6, 30)))) for i in range(60)]
+    docs = frame(spark, rows)
+    got = {x["doc_id"]: x["score"] for x in class_scores(docs).collect()}
+    texts = {d: [*t.split(), None] for d, t in rows}
+    train = [t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+
+    import pyarrow as pa
+
+    words = sorted({w for t in texts.values() for w in t[:-1]})
+    hashes = class_ngrams.tokens(*class_ngrams.as_bytes(pa.array([" ".join(words)])))[0][:-1]
+    order = [words[i] for i in np.argsort(hashes)] + [None]  # units are numbered by hash, the end comes last
+    own, table = plain_classes(train, order)
+    count = Counter(w for t in train for w in t)
+    often = table.sum(0)
+    share = (often + 0.5) / (often.sum() + 0.5 * class_ngrams.CLASSES)
+    size, kinds_of = Counter(), Counter()
+    for w, n in count.items():
+        size[own[w]] += n
+        kinds_of[own[w]] += 1
+    for d, t in texts.items():
+        want, before = 0.0, own[None]
+        for w in t:
+            c = own[w]
+            want += math.log10((table[before, c] + class_ngrams.BACK_OFF * share[c]) / (table[before].sum() + class_ngrams.BACK_OFF))
+            want += math.log10((count[w] + 0.5) / (size[c] + 0.5 * (kinds_of[c] + 1)))
+            before = c
+        assert math.isclose(got[d], want, rel_tol=1e-9), d
+
+
+def test_the_most_frequent_are_exactly_the_top(spark, monkeypatch):
+    """Ties beyond the bound are cut by hash, never by whole grades of counts."""
+    monkeypatch.setattr(class_ngrams, "TOP", 7)
+    rows = [(i, " ".join(f"w{j}" for j in range(20)) + " often" * 3) for i in range(30)]
+    words, counts, _ = class_ngrams.most_frequent(class_ngrams.vocabulary_table(frame(spark, rows), 4))
+    assert len(words) == 7 and counts[0] > counts[1] and len(set(counts[1:].tolist())) == 1

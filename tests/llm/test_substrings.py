@@ -120,3 +120,69 @@ def test_one_symbol_under_two_anchors():
     zero, one = np.zeros(4, np.int64), np.ones(4, np.int64)
     found = parse_block(anchor, doc, zero, one, np.full(4, 9, np.uint64))
     assert sorted(zip(found[0].tolist(), found[3].tolist(), strict=True)) == [(3, 1), (4, 2)]
+
+
+def test_a_longer_later_source_beats_the_earliest():
+    """Windows 5 and 6 stand in documents 1 and 2; only document 2 has them in one run with 7."""
+    anchor = np.full(4, 3, np.uint64)
+    doc, at = np.array([1, 2, 3, 4]), np.array([0, 0, 0, 0])
+    lengths = np.array([2, 3, 4, 2])
+    symbols = np.array([5, 6, 5, 6, 7, 9, 5, 6, 7, 6, 7], np.uint64)
+    got = sorted(zip(*(x.tolist() for x in parse_block(anchor, doc, at, lengths, symbols)), strict=True))
+    step = 1 << 24
+    assert got == [(2, 0, 2, 1, 0), (3, step, 3, 2, 0), (4, 0, 2, 2, step)]
+
+
+def plain_parse(segments_):
+    """Greedy parsing word by word: segments are (doc, at, symbols) in order."""
+    out = []
+    for k, (doc, at, own) in enumerate(segments_):
+        p = 0
+        while p < len(own):
+            best = (0, None, None)
+            for d, a, other in segments_[: k + 1]:
+                for q in range(len(other)):
+                    if (d, a + q) >= (doc, at + p):
+                        continue
+                    n = 0
+                    while p + n < len(own) and q + n < len(other) and own[p + n] == other[q + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, d, a + q)
+            if best[0]:
+                out.append((doc, at + p, *best))
+            p += max(best[0], 1)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_factors_of_a_block_equal_a_plain_greedy_parse(seed):
+    r = np.random.default_rng(seed)
+    lengths = r.integers(1, 17, 30)
+    symbols = r.integers(0, 4, int(lengths.sum())).astype(np.uint64)
+    doc, at = np.arange(30) // 2, np.where(np.arange(30) % 2, 40, 0)
+    cuts = np.split(symbols, np.cumsum(lengths)[:-1])
+    want = plain_parse([(int(d), int(a), c.tolist()) for d, a, c in zip(doc, at, cuts, strict=True)])
+    order = r.permutation(30)
+    got = parse_block(np.full(30, 8, np.uint64), doc[order], at[order] << 24, lengths[order], np.concatenate([cuts[i] for i in order]))
+    assert sorted(zip(got[0].tolist(), (got[1] >> 24).tolist(), got[2].tolist(), got[3].tolist(), (got[4] >> 24).tolist(), strict=True)) == want
+
+
+def test_a_block_that_is_too_large_is_dealt_out_again(spark, monkeypatch):
+    """A phrase within ever new words fills one block; windows then meet by their symbols."""
+    from weft.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
+    r = random.Random(5)
+    phrase = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join([f"a{r.randint(0, 9)}" for _ in range(8)] + phrase + [f"b{r.randint(0, 9)}" for _ in range(8)])) for i in range(300)]
+    assert got(digest_kept(frame(spark, rows))) == brute(rows)
+
+
+def test_keys_and_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    df = frame(spark, [(1, text), (2, text)]).selectExpr("cast(doc_id AS int) AS doc_id", "text", "'k' AS `a.b`", "7 AS row", "8 AS kind")
+    out = {r["doc_id"]: r for r in remove_repeats(df).collect()}
+    assert out[1]["text"] == text and out[2]["text"] == "" and out[2]["a.b"] == "k" and out[2]["row"] == 7
+    with pytest.raises(TypeError):
+        remove_repeats(df.selectExpr("cast(doc_id AS string) AS doc_id", "text"))

@@ -9,7 +9,8 @@
    number of steps follows the number of lengths and not the number of bins.
 3. The plan (lengths x few slots) is broadcast, bounded by the capacity. Each remainder
    takes the slot of its rank within its length. Ranks come from counts by (length,
-   salt), so that one length with most rows is not ranked in one task.
+   salt), with a salt for each RANKED rows of a length, so that no task ranks more of them
+   however many rows one length has.
 
 Null text counts as empty: a document of the end token alone. Rows that repeat an id are
 packed as rows of their own. A null id is packed too. Ties in length are ranked by id,
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import cut
+from .exchange import cut, ddl, named
 from .word_ids import word_ids
 
-CAPACITY, END_ID, SALTS = 2048, 0, 64
+CAPACITY, END_ID, RANKED = 2048, 0, 1 << 20
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     [batch.schema.names[0], "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(named(key), named(text)).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -120,18 +121,26 @@ def slots(planned: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[n
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """The pieces with sequence_id and offset. cut_pieces is read several times and should be a written table."""
     full = cut_pieces.where(F.col("length") == capacity)
-    rest = cut_pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # At most capacity x SALTS rows, however many documents.
-    counts = rest.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    held = before.collect()
-    total: dict[int, int] = {}
-    for r in held:
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
-    placed = slots(plan(total, capacity))
-    bins = sum(b for _, b in plan(total, capacity))
-    ahead = {(r["length"], r["salt"]): r["before"] or 0 for r in held}
-    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col(key), "piece", "ids_crc32")))
+    rest = cut_pieces.where(F.col("length") < capacity)
+    # At most capacity - 1 rows, however many documents.
+    total = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    planned = plan(total, capacity)
+    placed, bins = slots(planned), sum(b for _, b in planned)
+    salts = {n: -(-c // RANKED) for n, c in total.items()}
+    if max(salts.values(), default=1) > 1:
+        table = F.broadcast(rest.sparkSession.createDataFrame(list(salts.items()), "length bigint, salts int"))
+        salt = F.pmod(F.xxhash64(named(key), "piece", "ids_crc32"), F.col("salts")).cast("int")
+        rest = rest.join(table, "length").withColumn("salt", salt).drop("salts")
+        # A row for each RANKED documents and each length.
+        counts = rest.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
+    else:
+        rest, counts = rest.withColumn("salt", F.lit(0)), []
+    ahead: dict[tuple[int, int], int] = {}
+    before: dict[int, int] = {}
+    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
+        ahead[r["length"], r["salt"]] = before.get(r["length"], 0)
+        before[r["length"]] = before.get(r["length"], 0) + r["n"]
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(named(key), "piece", "ids_crc32")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +149,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length).tolist():
                 own = np.flatnonzero(length == n)
-                r = rank[own].astype(np.int64) - 1 + np.array([ahead[n, s] for s in salt[own].tolist()], np.int64)
+                r = rank[own].astype(np.int64) - 1 + np.array([ahead.get((n, s), 0) for s in salt[own].tolist()], np.int64)
                 begin, copies, first, at = placed[n]
                 k = np.searchsorted(begin, r, "right") - 1
                 slot = r - begin[k]
@@ -149,7 +158,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out_names[:-2]), pa.array(sequence), pa.array(offset)], out_names)
 
     out_names = [*cut_pieces.columns, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id bigint, offset bigint"
+    schema = ddl(cut_pieces.schema) + ", sequence_id bigint, offset bigint"
     packed = ranked.mapInArrow(place, schema)
     # Full pieces stand alone: numbers that no two tasks share, above those of the planned bins.
     alone = full.withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(bins)).withColumn("offset", F.lit(0).cast("long"))

@@ -2,10 +2,10 @@
 
 P(text) is the product over its tokens of P(class | class before) * P(word | class).
 
-Counting: every training word is counted exactly, in buckets of its hash, packed; the
-counts stay distributed as a table of vocabulary slices. The most frequent words, up to
-TOP of them (a bound, not a sample), are also broadcast, so that common words are looked up where
-they stand and only rarer ones travel.
+Counting: every training word is counted exactly, in buckets of its 64-bit hash, packed;
+the counts stay distributed as a table of vocabulary slices. The TOP most frequent words
+are also broadcast, so that common words are looked up where they stand and only rarer
+ones travel; that changes where a word is looked up, and no count.
 
 Classes: the UNITS most frequent words, the end of text, and SHAPES groups of all other
 words by length and last character are the units of a first exchange clustering. Their
@@ -46,18 +46,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import PACKED, buckets, cut, exchange, gather, pack, rows, split, unpack
-from .textcore import U64, as_bytes, bucket_of, hash_words, slices, spans
+from .exchange import PACKED, buckets, cut, exchange, gather, integer_key, named, pack, rows, split, unpack
+from .textcore import U64, as_bytes, bucket_of, hash_bucket, hash_words, slices, spans
 
 TOP, UNITS, SHAPES, CLASSES, PLACED, BACK_OFF = 65_536, 1000, 16, 64, 3, 10.0
 END_WORD, END_SHAPE = U64(0x5DEECE66D1234567), SHAPES
-KEY_BITS = 40
 WORDS, RARE, TEXTS, ANSWERS, CONTEXTS = 0, 1, 2, 3, 4
-_WORD_TYPES = ("u4", "u1", "i4", "u1")
+_WORD_TYPES = ("u8", "i4", "u1")
 _SLICE_TYPES = ("u8", "i8", "u1")
 _PLACED_TYPES = ("u8", "i8", "u1", "u1")
-_CONTEXT_TYPES = ("u4", "u1", "i4", "u1", "i4", "u1")
-_RARE_TYPES = ("i8", "u4", "u1")
+_CONTEXT_TYPES = ("u8", "i4", "u1", "i4", "u1")
+_RARE_TYPES = ("i8", "u8")
 _ANSWER_TYPES = ("i8", "u1", "i8")
 _TEXT_TYPES = ("i8", "i8", "u1", "u1", "i8", "u1", "i4", "i8", "f8")
 _RESOLVED_TYPES = ("i8", "u1", "u1", "i8", "i8", "f8", "u1")
@@ -90,11 +89,6 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, out_shape, places
 
 
-def identity(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A word's bucket and KEY_BITS bits of its hash."""
-    return (hashes >> U64(44)) % U64(n) << U64(KEY_BITS) | hashes & U64((1 << KEY_BITS) - 1)
-
-
 def _pieces(batch: pa.RecordBatch):
     raw, offsets = as_bytes(batch.column(1))
     for lo, hi in slices(offsets):
@@ -112,14 +106,13 @@ def _counted(n: int):
         for batch in batches:
             found = []
             for _, _, (hashes, shape, _) in _pieces(_training(batch)):
-                words, at, count = np.unique(identity(hashes, n), return_index=True, return_counts=True)
+                words, at, count = np.unique(hashes, return_index=True, return_counts=True)
                 found.append((words, count, shape[at]))
             if not found:
                 continue
             words, count, shape = (np.concatenate(c) for c in zip(*found, strict=True))
             words, count, shape = _summed(words, count, shape)
-            bucket = (words >> U64(KEY_BITS)).astype(np.int64)
-            yield from split(bucket, n, WORDS, (words.astype(np.uint32), (words >> U64(32)).astype(np.uint8), count.astype(np.int32), shape))
+            yield from split(hash_bucket(words, n), WORDS, (words, count.astype(np.int32), shape))
 
     return run
 
@@ -134,13 +127,12 @@ def _summed(words: np.ndarray, count: np.ndarray, shape: np.ndarray) -> tuple[np
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The vocabulary slice of each bucket: keys ascending, counts, shapes."""
     for bucket, held in gather(batches):
-        low, more, count, shape = (np.concatenate(c) for c in zip(*(unpack(b, _WORD_TYPES) for _, b in held), strict=True))
-        yield rows([(bucket, WORDS, pack(_summed(low.astype(np.uint64) | more.astype(np.uint64) << U64(32), count, shape)))])
+        yield rows([(bucket, WORDS, pack(_summed(*(np.concatenate(c) for c in zip(*(unpack(b, _WORD_TYPES) for _, b in held), strict=True)))))])
 
 
 def vocabulary_table(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, kind, blob): exact counts of all training words."""
-    return cut(exchange(docs.select(key, text).mapInArrow(_counted(n), PACKED), n).mapInArrow(_sliced, PACKED), "vocabulary")
+    return cut(exchange(docs.select(named(key), named(text)).mapInArrow(_counted(n), PACKED), n).mapInArrow(_sliced, PACKED), "vocabulary")
 
 
 def _grade(count: np.ndarray) -> np.ndarray:
@@ -157,32 +149,29 @@ def _graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _from_grade(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in gather(batches):
+        for _, held in gather(batches):
             for _, blob in held:
                 words, count, shape = unpack(blob, _SLICE_TYPES)
                 some = _grade(count) >= least
-                yield pa.RecordBatch.from_arrays([pa.array((words[some] | U64(bucket) << U64(KEY_BITS)).view(np.int64)), pa.array(count[some]), pa.array(shape[some].astype(np.int32))], ["word", "count", "shape"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(count[some]), pa.array(shape[some].astype(np.int32))], ["word", "count", "shape"])
 
     return run
 
 
 def most_frequent(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, counts, shapes) by falling count: whole grades from the top, at most TOP words.
+    """(words, counts, shapes) of the TOP most frequent words by falling count, equals by hash.
 
-    Grades are counted first, so no task and no driver ever holds more than TOP words.
+    Grades of counts are counted first, so that only words near the top are sorted at all.
     """
     grades = sorted(vocabulary.mapInArrow(_graded, "grade int, n bigint").groupBy("grade").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["grade"])
     least, total = 1 << 30, 0
     for r in grades:
-        total += r["n"]
-        if total > TOP:
+        total, least = total + r["n"], r["grade"]
+        if total >= TOP:
             break
-        least = r["grade"]
-    top = vocabulary.mapInArrow(_from_grade(least), "word bigint, count bigint, shape int").toArrow()
+    top = vocabulary.mapInArrow(_from_grade(least), "word bigint, count bigint, shape int").orderBy(F.desc("count"), "word").limit(TOP).toArrow()
     words, counts, shapes = (top.column(c).to_numpy() for c in range(3))
-    words = words.view(np.uint64)
-    order = np.lexsort((words, -counts))
-    return words[order], counts[order], shapes[order]
+    return words.view(np.uint64), counts, shapes
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +314,7 @@ def _contexts(n: int, core: np.ndarray, core_class: np.ndarray, shape_class: np.
         for batch in batches:
             found = []
             for _, _, (hashes, shape, _) in _pieces(_training(batch)):
-                words = identity(hashes, n)
+                words = hashes
                 at, hit = _found(core, words)
                 now = np.where(hit, core_class[at], shape_class[shape]) if len(core) else shape_class[shape]
                 # The end of text is no such word, so each has a token behind it; the first one follows an end.
@@ -339,8 +328,7 @@ def _contexts(n: int, core: np.ndarray, core_class: np.ndarray, shape_class: np.
             words, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(words, kind="stable")
             words, times = np.unique(words, return_counts=True)
-            bucket = (words >> U64(KEY_BITS)).astype(np.int64)
-            yield from split(bucket, n, CONTEXTS, (words.astype(np.uint32), (words >> U64(32)).astype(np.uint8)), ((times, before[order]), (times, after[order])))
+            yield from split(hash_bucket(words, n), CONTEXTS, (words,), ((times, before[order]), (times, after[order])))
 
     return run
 
@@ -355,13 +343,13 @@ def _placed(core: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray, t
                 continue
             words, count, shape = slices_[0]
             own = shape_class[shape].astype(np.uint8)
-            at, hit = _found(core, words | U64(bucket) << U64(KEY_BITS))
+            at, hit = _found(core, words)
             own[hit] = core_class[at[hit]]
             move = np.flatnonzero(~hit & (count >= PLACED) & (shape != END_SHAPE))
             met = [unpack(b, _CONTEXT_TYPES) for k, b in held if k == CONTEXTS]
             if met and len(move):
-                low, more, times, before, _, after = (np.concatenate(c) for c in zip(*met, strict=True))
-                at, hit = _found(words[move], low.astype(np.uint64) | more.astype(np.uint64) << U64(32))
+                met_words, times, before, _, after = (np.concatenate(c) for c in zip(*met, strict=True))
+                at, hit = _found(words[move], met_words)
                 at = np.repeat(np.where(hit, at, -1), times)
                 order = np.argsort(at, kind="stable")
                 order = order[np.searchsorted(at[order], 0) :]
@@ -373,10 +361,9 @@ def _placed(core: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray, t
 
 def _classes_of(top: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in gather(batches):
+        for _, held in gather(batches):
             for _, blob in held:
                 words, _, _, own = unpack(blob, _PLACED_TYPES)
-                words = words | U64(bucket) << U64(KEY_BITS)
                 hit = _found(top, words)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(words[hit].view(np.int64)), pa.array(own[hit].astype(np.int32))], ["word", "class"])
 
@@ -393,7 +380,7 @@ def place(docs: DataFrame, vocabulary: DataFrame, n: int, key: str = "doc_id", t
         seen = np.zeros(n_units * n_units, np.int64)
         for batch in batches:
             for _, _, (hashes, shape, places) in _pieces(_training(batch)):
-                at, hit = _found(core, identity(hashes, n))
+                at, hit = _found(core, hashes)
                 now = np.where(hit, at, UNITS + shape.astype(np.int64))
                 before = np.empty_like(now)
                 before[1:] = now[:-1]
@@ -403,7 +390,7 @@ def place(docs: DataFrame, vocabulary: DataFrame, n: int, key: str = "doc_id", t
         yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(seen[where])], ["pair", "n"])
 
     pairs = np.zeros(n_units * n_units)
-    summed = docs.select(key, text).mapInArrow(paired, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    summed = docs.select(named(key), named(text)).mapInArrow(paired, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
     pairs = pairs.reshape(n_units, n_units)
     member = exchange_classes(pairs)
@@ -412,7 +399,7 @@ def place(docs: DataFrame, vocabulary: DataFrame, n: int, key: str = "doc_id", t
     table = one_hot.T @ pairs @ one_hot
 
     core_class, shape_class = member[: len(core)].astype(np.uint8), member[UNITS:].astype(np.uint8)
-    met = docs.select(key, text).mapInArrow(_contexts(n, core, core_class, shape_class), PACKED)
+    met = docs.select(named(key), named(text)).mapInArrow(_contexts(n, core, core_class, shape_class), PACKED)
     placed = cut(exchange(vocabulary.unionByName(met), n).mapInArrow(_placed(core, core_class, shape_class, table), PACKED), "placed")
     order = np.argsort(words)
     words, counts = words[order], counts[order]
@@ -438,7 +425,7 @@ def _asked(model: ClassModel):
             number = np.array([i or 0 for i in ids], np.int64)
             found = []
             for _, _, (hashes, shape, places) in _pieces(batch):
-                words = identity(hashes, n)
+                words = hashes
                 at, hit = _found(model.top_words, words)
                 # A byte a token: its class, or CLASSES and its shape if it must be asked for.
                 own = np.where(hit, model.top_class[at], CLASSES + shape) if len(model.top_words) else CLASSES + shape
@@ -452,12 +439,11 @@ def _asked(model: ClassModel):
             head = (np.array([row], np.int64), number, null.astype(np.uint8), out.astype(np.uint8), n_tokens, own, number_of.astype(np.int32))
             at = bucket_of(head[0], n)
             yield rows([(int(at[0]), TEXTS, pack((*head, n_known, counted)))])
-            bucket = (words >> U64(KEY_BITS)).astype(np.int64)
-            edges = np.searchsorted(bucket, np.arange(n + 1))
+            present, edges = np.unique(hash_bucket(words, n), return_index=True)
+            edges = np.append(edges, len(words)).tolist()
             parts, size = [], 0
-            for b in np.unique(bucket).tolist():
-                w = words[edges[b] : edges[b + 1]]
-                parts.append((b, RARE, pack((np.array([row, edges[b]], np.int64), w.astype(np.uint32), (w >> U64(32)).astype(np.uint8)))))
+            for i, b in enumerate(present.tolist()):
+                parts.append((b, RARE, pack((np.array([row, edges[i]], np.int64), words[edges[i] : edges[i + 1]]))))
                 size += len(parts[-1][2])
                 if size > 8 << 20:
                     yield rows(parts)
@@ -480,8 +466,8 @@ def _answered(n: int):
                 if kind == TEXTS:
                     yield rows([(bucket, TEXTS, blob)])
                 elif kind == RARE:
-                    head, low, more = unpack(blob, _RARE_TYPES)
-                    at, hit = _found(words, low.astype(np.uint64) | more.astype(np.uint64) << U64(32))
+                    head, asked = unpack(blob, _RARE_TYPES)
+                    at, hit = _found(words, asked)
                     classes, counts = np.full(len(at), CLASSES, np.uint8), np.zeros(len(at), np.int64)
                     classes[hit], counts[hit] = own[at[hit]], count[at[hit]]
                     yield rows([(int(bucket_of(head[:1], n)[0]), ANSWERS, pack((head, classes, counts)))])
@@ -523,7 +509,7 @@ def _before(own: np.ndarray, n_tokens: np.ndarray, end: int) -> np.ndarray:
 
 def resolve(docs: DataFrame, placed: DataFrame, model: ClassModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     n = model.n_buckets
-    asked = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(_asked(model), PACKED)
+    asked = docs.select(named(key).cast("long").alias(key), named(text)).mapInArrow(_asked(model), PACKED)
     found = exchange(placed.unionByName(asked), n).mapInArrow(_answered(n), PACKED)
     return cut(exchange(found, n).mapInArrow(_resolved(model.shape_class), PACKED), "classes")
 
@@ -581,7 +567,8 @@ def _scored(model: ClassModel, key: str):
 def class_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Trains on the documents outside the held-out fold and scores all of them."""
     n = buckets(docs)
-    kind = docs.schema[key].dataType.simpleString()
-    placed, model = place(docs, vocabulary_table(docs, n, key, text), n, key, text)
-    resolved = resolve(docs, placed, model, key, text)
-    return resolved.mapInArrow(_scored(finish(resolved, placed, model), key), f"`{key}` bigint, {OUT}").withColumn(key, F.col(key).cast(kind))
+    kind = integer_key(docs, key)
+    docs = docs.select(named(key).alias(key), named(text).alias("text"))
+    placed, model = place(docs, vocabulary_table(docs, n, key), n, key)
+    resolved = resolve(docs, placed, model, key)
+    return resolved.mapInArrow(_scored(finish(resolved, placed, model), key), f"`{key}` bigint, {OUT}").withColumn(key, named(key).cast(kind))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import cut
+from .exchange import cut_at, replaced
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,10 +29,10 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of any edge; nodes are longs."""
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    now, path = cut_at(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small(_large(now)), "edges")
+        now, path = replaced(_small(_large(now)), "edges", path)
         new = _mark(now)
         if new == mark:
             break

@@ -13,7 +13,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKED = "bucket int, kind int, blob binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -21,6 +22,24 @@ SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.bi
 BUCKET_BYTES = 32 << 20
 
 
+def named(column: str) -> Column:
+    """A column by its plain name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def ddl(fields) -> str:
+    """Fields as a schema string, whatever characters their names hold."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+
+
+def integer_key(df: DataFrame, key: str) -> str:
+    """The type of a key that travels as a 64-bit integer; other types are refused by name."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key!r} must be of an integer type, not {kind}")
+    return kind
+
+
 def buckets(df: DataFrame) -> int:
     """As many as shuffle partitions, or more if the estimated size of what is scanned asks for more."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -50,10 +69,13 @@ def rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], schema=SCHEMA)
 
 
-def split(bucket: np.ndarray, n: int, kind: int, columns: Sequence[np.ndarray], hanging: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> Iterator[pa.RecordBatch]:
+def split(bucket: np.ndarray, kind: int, columns: Sequence[np.ndarray], hanging: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> Iterator[pa.RecordBatch]:
     """Rows for each bucket. hanging: (counts, values) of variable length for each element; counts are packed before their values."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
+    own_bucket = bucket[order]
+    heads = np.flatnonzero(np.append(True, own_bucket[1:] != own_bucket[:-1]))
     columns = [c[order] for c in columns]
     hung = []
     for counts, values in hanging:
@@ -63,10 +85,8 @@ def split(bucket: np.ndarray, n: int, kind: int, columns: Sequence[np.ndarray],
         offset = np.cumsum(counts) - counts
         hung.append((counts, np.append(offset, total), values[np.arange(total) + np.repeat(begin - offset, counts)]))
     parts, size = [], 0
-    for b in range(n):
-        lo, hi = int(edges[b]), int(edges[b + 1])
-        if lo == hi:
-            continue
+    for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+        b = int(own_bucket[lo])
         own = [c[lo:hi] for c in columns]
         for counts, offset, values in hung:
             own += [counts[lo:hi].astype(np.int32), values[offset[lo] : offset[hi]]]
@@ -103,17 +123,40 @@ _own: dict[str, str] = {}
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own only in local mode where the session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="weft-")
         where = _own["dir"]
-    return where
+    return f"{where.rstrip('/')}/weft-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has cut; call it once their results are written elsewhere."""
+    _delete(spark, shared(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which ends its lineage."""
-    path = f"{shared(df.sparkSession).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
+    return cut_at(df, name)[0]
+
+
+def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def replaced(df: DataFrame, name: str, before: str) -> tuple[DataFrame, str]:
+    """Cuts a step of an iteration and deletes the step before it, which only this one read."""
+    now = cut_at(df, name)
+    _delete(df.sparkSession, before)
+    return now

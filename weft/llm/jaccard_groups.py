@@ -2,14 +2,16 @@
 
 Documents are sets of 5-word shingles, linked when 100 * shared >= 75 * united.
 
-1. Equal sets are one class; its smallest id stands for it.
+1. Equal sets are one class, named by a 64-bit digest of its tokens.
 2. Tokens go to buckets by their hash, packed, and come back to the documents with a
    frequency class, those that stand in one document alone left out. A document of
    which less than 75 % comes back is linked with nothing. What remains is exact: for
    any link, the shared part lies within what came back.
 3. Documents are partitioned into groups: those that share a least token under one of
    GROUP_KEYS hash orders are compared with a few leaders, and join the group of a
-   leader they are linked with. Members of one group are connected.
+   leader they are linked with. Members of one group are connected. Leaders are found
+   in each batch first, then for each key and salt, then, of salted keys, among the
+   salts' leaders; so no task meets more of a hot key than leaders of batches.
 4. The token-group matrix has a cell for each token of a group's union of prefix tokens
    (rarest first; a link must share one), with the sizes of the members behind it. A
    query document meets the groups in whose columns its own prefix tokens stand, where
@@ -23,8 +25,11 @@ Documents are sets of 5-word shingles, linked when 100 * shared >= 75 * united.
 
 Null or wordless text has an empty set and is linked with nothing. Fewer than five words
 are one shingle. A null id is left out of the search and stays alone, with a null
-component. Rows that repeat an id are judged row by row and share the id's component.
-An empty table gives an empty result.
+component. Rows that repeat an id are judged row by row, each by its own text: one may
+have another component than the other. An empty table gives an empty result. Keys may be
+of any type that Spark can order; other columns are not touched, whatever their names.
+
+Tokens and classes are told apart by 64-bit hashes, equal classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -37,14 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import PACKED, buckets, cut, exchange, gather, pack, rows, split, unpack
+from .exchange import PACKED, buckets, cut, exchange, gather, named, pack, rows, split, unpack
 from .fingerprints import shingle_rows
-from .textcore import U64, as_bytes, bucket_of, mix, ranges, slices
+from .textcore import U64, as_bytes, bucket_of, hash_bucket, mix, ranges, slices
 
 PERCENT = 75
 GROUP_KEYS, LEADERS, CHUNK = 2, 32, 256
+#: Documents of one key in a batch from which on its leaders are dealt out by salt.
+SALTED = 8
 TOKENS, HEADS = 1, 0
-_TOKEN_TYPES = ("i8", "i4", "u4", "u1")
+_TOKEN_TYPES = ("i8", "i4", "u8")
 _BACK_TYPES = ("i8", "u8", "u1")
 _HEAD_TYPES = ("i8", "i4")
 _CELL_TYPES = ("u8", "i8", "i8", "i4", "i4")
@@ -77,20 +84,19 @@ def linked(shared, a, b):
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = as_bytes(batch.column(1))
+        raw, offsets = as_bytes(batch.column(2))
         for lo, hi in slices(offsets):
             hashes, places = sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             a, b = set_marks(hashes, places)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(places)), pa.array(a), pa.array(b)], ["id", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(places)), pa.array(a), pa.array(b)], ["id", "t", "n", "a", "b"])
 
 
 def _tokens(n: int):
-    """Each batch's distinct sets, packed by token bucket: ids, tokens of each, and 40 bits of each token."""
+    """Each batch's distinct sets, packed by token bucket: class, number of tokens, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw, offsets = as_bytes(batch.column(1))
+            raw, offsets = as_bytes(batch.column(0))
             found = []
             for lo, hi in slices(offsets):
                 hashes, places = sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -98,33 +104,29 @@ def _tokens(n: int):
             if not found:
                 continue
             hashes, counts, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            # Of equal sets in a batch the smallest id speaks for all: if any of them stands for its class, it is that one.
-            order = np.lexsort((ids, b, a))
-            first = np.ones(len(order), bool)
-            first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-            keep = np.zeros(len(order), bool)
-            keep[order[first]] = True
-            hashes, doc = hashes[np.repeat(keep, counts)], np.repeat(ids[keep], counts[keep])
+            keep = np.zeros(len(a), bool)
+            keep[np.unique(a, return_index=True)[1]] = True  # of equal sets in a batch one speaks for all
+            hashes, doc = hashes[np.repeat(keep, counts)], np.repeat(a[keep], counts[keep])
             yield from _runs(hashes, doc, n)
 
     return run
 
 
 def _runs(hashes: np.ndarray, doc: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    bucket = ((hashes >> U64(44)) % U64(n)).astype(np.int64)
+    bucket = hash_bucket(hashes, n)
     order = np.argsort(bucket, kind="stable")
     bucket, doc, hashes = bucket[order], doc[order], hashes[order]
     new = np.ones(len(bucket), bool)
     new[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
     heads = np.flatnonzero(new)
     counts = np.diff(np.append(heads, len(bucket))).astype(np.int32)
-    token_edges = np.searchsorted(bucket, np.arange(n + 1))
-    run_edges = np.searchsorted(bucket[heads], np.arange(n + 1))
-    low, more = hashes.astype(np.uint32), (hashes >> U64(32)).astype(np.uint8)
+    present = np.unique(bucket)
+    token_edges = np.append(np.searchsorted(bucket, present), len(bucket)).tolist()
+    run_edges = np.append(np.searchsorted(bucket[heads], present), len(heads)).tolist()
     parts, size = [], 0
-    for b in np.unique(bucket).tolist():
-        t, r = slice(token_edges[b], token_edges[b + 1]), slice(run_edges[b], run_edges[b + 1])
-        parts.append((b, TOKENS, pack((doc[heads[r]], counts[r], low[t], more[t]))))
+    for i, b in enumerate(present.tolist()):
+        t, r = slice(token_edges[i], token_edges[i + 1]), slice(run_edges[i], run_edges[i + 1])
+        parts.append((b, TOKENS, pack((doc[heads[r]], counts[r], hashes[t]))))
         size += len(parts[-1][2])
         if size > 8 << 20:
             yield rows(parts)
@@ -134,35 +136,50 @@ def _runs(hashes: np.ndarray, doc: np.ndarray, n: int) -> Iterator[pa.RecordBatc
 
 
 def _frequencies(n: int):
-    """Tokens of a bucket back to their documents with a frequency class, without those of a single document."""
+    """Tokens of a bucket back to their classes with a frequency grade, without those of a single class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in gather(batches):
-            doc, counts, low, more = (np.concatenate(c) for c in zip(*(unpack(blob, _TOKEN_TYPES) for _, blob in held), strict=True))
+            doc, counts, token = (np.concatenate(c) for c in zip(*(unpack(blob, _TOKEN_TYPES) for _, blob in held), strict=True))
             doc = np.repeat(doc, counts)
-            token = low.astype(np.uint64) | more.astype(np.uint64) << U64(32)
             order = np.argsort(token, kind="stable")
             token, doc = token[order], doc[order]
+            again = np.zeros(len(token), bool)
+            again[1:] = token[1:] == token[:-1]
+            some = again.copy()
+            some[:-1] |= again[1:]
+            token, doc = token[some], doc[some]
+            # Equal sets of several batches have sent their tokens more than once.
+            order = np.lexsort((doc, token))
+            token, doc = token[order], doc[order]
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            size = np.diff(np.append(np.flatnonzero(new), len(token)))
-            frequency = np.repeat(size, size)
+            new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+            token, doc = token[new], doc[new]
+            frequency = _frequency(token)
             keep = frequency > 1
             if not keep.any():
                 continue
-            token, doc = token[keep] | U64(bucket) << U64(40), doc[keep]
+            token, doc = token[keep], doc[keep]
             kind = np.ceil(np.log2(frequency[keep])).astype(np.uint8)
-            yield from split(bucket_of(doc, n), n, TOKENS, (doc, token, kind))
+            yield from split(bucket_of(doc, n), TOKENS, (doc, token, kind))
 
     return run
 
 
+def _frequency(token: np.ndarray) -> np.ndarray:
+    """How often each element of an ascending array stands in it."""
+    if not len(token):
+        return np.zeros(0, np.int64)
+    edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+    return np.repeat(np.diff(edges), np.diff(edges))
+
+
 def _headed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32)
             if len(ids):
-                yield from split(bucket_of(ids, n), n, HEADS, (ids, size))
+                yield from split(bucket_of(ids, n), HEADS, (ids, size))
 
     return run
 
@@ -221,32 +238,84 @@ def shared_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, sizes, tokens = batch.column(0), batch.column(1), batch.column(2)
-        keys = [[int((mix(np.frombuffer(t.as_py(), np.uint64) ^ s)).min().view(np.int64)) for t in tokens] for s in _SEEDS]
-        for k in keys:
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), ids, sizes, tokens], ["key", "id", "n", "tokens"])
+#: A row of the search for leaders: a document that leads so far, or a link to its leader (without tokens).
+LED = "key bigint, salt int, id bigint, n bigint, tokens binary, leader bigint"
+_LED = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("leader", pa.int64())])
+
+
+def _led_rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, _LED.types, strict=True)], schema=_LED)
+
+
+def _follow(i: int, n: int, tokens: np.ndarray, leaders: list[tuple]) -> int | None:
+    """The leader that a document is linked with, if any."""
+    for leader, size, own in leaders:
+        if PERCENT * size <= 100 * n and PERCENT * n <= 100 * size and linked(shared_size(tokens, own), n, size):
+            return leader
+    return None
+
+
+def _leaders_here(salts: int):
+    """Each batch's own leaders of each key, and links of the rest to them. Leaders of keys that are frequent here are dealt out by salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = 1 + TaskContext.get().partitionId() % salts
+        for batch in batches:
+            ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            blobs = batch.column(2).to_pylist()
+            sets_ = [np.frombuffer(t, np.uint64) for t in blobs]
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            for seed in _SEEDS:
+                by: dict[int, list[int]] = {}
+                for r in order:
+                    by.setdefault(int(mix(sets_[r] ^ seed).min().view(np.int64)), []).append(r)
+                out: list[tuple] = []
+                for key, own in by.items():
+                    leaders: list[tuple] = []
+                    for r in own:
+                        leader = _follow(ids[r], sizes[r], sets_[r], leaders)
+                        if leader is not None:
+                            out.append((ids[r], 0, ids[r], sizes[r], None, leader))
+                        elif len(leaders) < LEADERS:
+                            leaders.append((ids[r], sizes[r], sets_[r]))
+                            out.append((key, salt if len(own) >= SALTED else 0, ids[r], sizes[r], blobs[r], None))
+                yield _led_rows(out)
+
+    return run
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, leader) links: each document against the first few leaders of its key; who is linked with none leads."""
-    key, leaders = None, []
+    """Links of each document to one of the first few leaders of its key and salt; leaders of salted keys go on, links pass."""
+    place, leaders = None, []
     for batch in batches:
-        a, b = [], []
-        for k, i, n, t in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            if k != key:
-                key, leaders = k, []
+        out: list[tuple] = []
+        for key, salt, i, n, t, leader in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            if leader is not None:
+                out.append((key, salt, i, n, None, leader))
+                continue
+            if (key, salt) != place:
+                place, leaders = (key, salt), []
             tokens = np.frombuffer(t, np.uint64)
-            for leader, size, own in leaders:
-                if PERCENT * size <= 100 * n and PERCENT * n <= 100 * size and linked(shared_size(tokens, own), n, size):
-                    a.append(i)
-                    b.append(leader)
-                    break
-            else:
-                if len(leaders) < LEADERS:
-                    leaders.append((i, n, tokens))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            leader = _follow(i, n, tokens, leaders)
+            if leader is not None:
+                out.append((key, salt, i, n, None, leader))
+            elif len(leaders) < LEADERS:
+                leaders.append((i, n, tokens))
+                if salt:
+                    out.append((key, 0, i, n, t, None))
+        yield _led_rows(out)
+
+
+def _led_links(survivors: DataFrame, n: int) -> DataFrame:
+    """(a, b): links of documents to the leaders of their groups; b is the smaller one."""
+    together = lambda df: df.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(_led, LED)
+    first = cut(together(survivors.select("id", "n", "tokens").mapInArrow(_leaders_here(1 + int(n**0.5)), LED)), "led")
+    found, salted = first.where("leader IS NOT NULL"), first.where("leader IS NULL")
+    if not salted.isEmpty():
+        found = found.unionByName(cut(together(salted), "led").where("leader IS NOT NULL"))
+    return found.select(F.col("id").alias("a"), F.col("leader").alias("b"))
 
 
 def _cells(n: int):
@@ -262,7 +331,7 @@ def _cells(n: int):
             token = np.concatenate(prefixes)
             held = np.array([len(x.as_py()) // 8 for x in batch.column(4)])  # tokens of this document alone come first and are not held
             rest = np.repeat(held, counts) - ranges(np.zeros(len(counts), np.int64), counts)
-            yield from split((mix(token) % U64(n)).astype(np.int64), n, TOKENS, (token, np.repeat(ids, counts), np.repeat(group, counts), np.repeat(size, counts).astype(np.int32), rest.astype(np.int32)))
+            yield from split(hash_bucket(token, n), TOKENS, (token, np.repeat(ids, counts), np.repeat(group, counts), np.repeat(size, counts).astype(np.int32), rest.astype(np.int32)))
 
     return run
 
@@ -345,10 +414,12 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(survivors: DataFrame, n: int) -> DataFrame:
     """(a, b) links that connect what is connected, among distinct sets."""
-    first = cut(survivors.select("id", "n", "tokens").mapInArrow(_keyed, "key bigint, id bigint, n bigint, tokens binary").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_led, "a bigint, b bigint"), "led")
+    first = _led_links(survivors, n)
     up = first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("up"))
-    # A leader may follow another leader under the other key: one step further makes fewer groups.
-    group = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left").select("id", F.coalesce("upper", "up").alias("grp"))
+    # A leader may follow another one, of its salt or under the other key: some steps further make fewer groups.
+    for _ in range(2):
+        up = cut(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left").select("id", F.coalesce("upper", "up").alias("up")), "up")
+    group = up.withColumnRenamed("up", "grp")
     grouped = cut(survivors.join(group, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"), "n", "tokens", "prefix"), "groups")
     cells = exchange(grouped.select("id", "grp", "n", "prefix", "tokens").mapInArrow(_cells(n), PACKED), n)
     met = cut(cells.mapInArrow(_meet, "id bigint, met bigint").distinct(), "met")
@@ -361,25 +432,37 @@ def links(survivors: DataFrame, n: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for each row."""
+def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, t, n, least): each row's key, 64-bit text hash and set size, and the smallest (id, t) of its component."""
+    base = docs.select(named(key).alias("id"), F.xxhash64(named(text)).alias("t"), named(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     n = buckets(docs)
-    heads = cut(base.mapInArrow(_sizes, "id bigint, n bigint, a bigint, b bigint"), "sizes")
-    classes = heads.where("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    tokens = exchange(base.where("id IS NOT NULL").mapInArrow(_tokens(n), PACKED), n).mapInArrow(_frequencies(n), PACKED)
-    reps = classes.select(F.col("rep").alias("id"), "n").mapInArrow(_headed(n), PACKED)
+    heads = cut(base.mapInArrow(_sizes, f"id {kind}, t bigint, n bigint, a bigint, b bigint"), "sizes")
+    held = (F.col("n") > 0) & F.col("id").isNotNull()
+    classes = heads.where(held).groupBy("a", "b").agg(F.min(F.struct("id", "t")).alias("rep"), F.max("n").alias("n"))
+    tokens = exchange(base.where("id IS NOT NULL").select("text").mapInArrow(_tokens(n), PACKED), n).mapInArrow(_frequencies(n), PACKED)
+    reps = classes.select(F.col("a").alias("id"), "n").mapInArrow(_headed(n), PACKED)
     survivors = cut(exchange(tokens.unionByName(reps), n).mapInArrow(_survivors, "id bigint, n bigint, tokens binary, prefix binary"), "survivors")
-    found = components(links(survivors, n), "a", "b")
-    named = classes.select("a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    out = heads.join(named, ["a", "b"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
+    found = components(links(survivors, n), "a", "b").withColumnRenamed("node", "a")
+    # Only linked classes, which are few, are grouped by component; the others stand for themselves.
+    linked_ = cut(classes.select("a", "rep").join(found, "a"), "linked")
+    least = linked_.groupBy("component").agg(F.min("rep").alias("least"))
+    least = linked_.join(least, "component").select("a", "least")
+    standing = classes.select("a", "b", "rep").join(least, "a", "left").select("a", "b", F.coalesce("least", "rep").alias("least"))
+    out = heads.join(standing, ["a", "b"], "left")
+    return out.select("id", "t", "n", F.when(held, F.col("least")).alias("least"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) for each row."""
+    return _judged(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("least").isNotNull(), F.col("least.id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all columns, of each component the one with the smallest id; null ids stay."""
-    found = jaccard_components(docs, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """The documents with all columns, of each component the one with the smallest id.
+
+    Null ids stay, and so do texts without words. Rows that repeat an id are told apart by
+    their texts; rows that repeat both the id and the text that stays are one document.
+    """
+    gone = _judged(docs, key, text).where(F.struct("id", "t") != F.col("least")).select(F.col("id").alias("__weft_id"), F.col("t").alias("__weft_t")).distinct()
+    return docs.join(gone, (named(key) == F.col("__weft_id")) & (F.xxhash64(named(text)) == F.col("__weft_t")), "left_anti")

@@ -142,6 +142,11 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - begin, counts)
 
 
+def hash_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of well-mixed 64-bit hashes as n equal ranges: what is sorted by hash is sorted by bucket too."""
+    return ((hashes >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+
+
 def _rotate(x: np.ndarray, r: int) -> np.ndarray:
     return (x << U64(r)) | (x >> U64(64 - r))
 
