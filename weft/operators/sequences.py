@@ -54,11 +54,13 @@ def author_runs(posts: DataFrame) -> DataFrame:
     return live.withColumn("new", new).withColumn("run", F.sum("new").over(thread_order())).groupBy("thread_id", "run").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("posts"), F.min("id").alias("first_id")).withColumn("run", F.col("run").cast("long"))
 
 
-def outcome_window(posts: DataFrame, mention: Column, tail: int = 3) -> DataFrame:
-    """The last posts behind a thread's last mention of the subject."""
+def outcome_window(posts: DataFrame, mention: Column, tail: int = 3, live: bool = False) -> DataFrame:
+    """The last posts behind a thread's last mention of the subject; live: without tombstones."""
     p = placed(posts).withColumn("m", F.when(mention, F.col("pos")))
     last = p.groupBy("thread_id").agg(F.max("m").alias("last_mention"))
     after = p.join(last, "thread_id").where("pos > last_mention")
+    if live:
+        after = after.where("delete_at = 0")
     back = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("pos")))
     return after.withColumn("back", back.cast("long")).where(F.col("back") <= tail).select("thread_id", "id", "back")
 
@@ -72,16 +74,6 @@ def replies_after(posts: DataFrame) -> DataFrame:
     return live.select("id", n.alias("replies_after"))
 
 
-def acknowledgements(posts: DataFrame, decision: Column, ack: Column, within: int = 2) -> DataFrame:
-    """For each decision the first acknowledgement by another author among the next `within` posts by others."""
-    p = placed(posts.where("delete_at = 0"))
-    made = p.where(decision).select("thread_id", F.col("pos").alias("dpos"), F.col("id").alias("decision_id"), F.col("user_id").alias("duser"))
-    # A post by another author at most: the next ones are found within the frame of a thread, one row a decision and post.
-    later = p.join(made, "thread_id").where("pos > dpos AND user_id <> duser")
-    ranked = later.withColumn("nth", F.row_number().over(Window.partitionBy("decision_id").orderBy("pos"))).where(F.col("nth") <= within)
-    return ranked.where(ack).groupBy("decision_id").agg(F.min_by("id", "pos").alias("ack_id"))
-
-
 def around(posts: DataFrame, anchor: Column, before: int, after: int) -> DataFrame:
     """Posts within a span of an anchor post, by frames over one ordering."""
     p = placed(posts).withColumn("a", F.coalesce(anchor, F.lit(False)).cast("int"))

@@ -2,69 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
-from weft.operators import metrics, ranking, retrieval, routing, sequences, signals, threads, writes
+from weft.operators import metrics, ranking, retrieval, routing, sequences, threads, writes
 from weft.plans.search import search
+from weft.registry import NOW_MS, QUERIES, SQL, _live, _posts, query
 from weft.sources import tables
 
-NOW_MS = 1_704_500_000_000
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-# What tables.posts() derives, in SQL.
-POSTS = """
-raw0 AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS ft FROM conversations),
-posts AS (
-  SELECT lpad(conv_id::VARCHAR, 10, '0') || '-' || lpad(turn::VARCHAR, 4, '0') AS id,
-         CASE WHEN turn = ft THEN '' ELSE lpad(conv_id::VARCHAR, 10, '0') || '-' || lpad(ft::VARCHAR, 4, '0') END AS root_id,
-         lpad(conv_id::VARCHAR, 10, '0') || '-' || lpad(ft::VARCHAR, 4, '0') AS thread_id,
-         'c' || (conv_id % 5)::VARCHAR AS conversation_id, role AS user_id,
-         1704067200000 + conv_id * 3600000 + turn * 60000 AS create_at,
-         CASE WHEN (conv_id * 7 + turn) % 29 = 0 AND turn > 0 THEN 1704067200000 + conv_id * 3600000 + turn * 60000 + 1 ELSE 0 END AS delete_at,
-         CASE WHEN (conv_id * 7 + turn) % 29 = 0 AND turn > 0 THEN '' ELSE coalesce(text, '') ||
-           CASE (conv_id + turn) % 5 WHEN 0 THEN ' PROJ-' || (conv_id % 11)::VARCHAR WHEN 1 THEN ' see OPS-' || (conv_id % 7)::VARCHAR || ' and PROJ-' || (turn % 3)::VARCHAR ELSE '' END ||
-           CASE (conv_id * 3 + turn) % 6 WHEN 0 THEN ' approved.' WHEN 1 THEN ' still unclear?' WHEN 2 THEN ' I propose we wait.' WHEN 4 THEN ' ok' ELSE '' END END AS message
-  FROM raw0),
-live AS (SELECT * FROM posts WHERE delete_at = 0),
-users AS (SELECT DISTINCT role AS id, role AS username, role = 'system' AS is_bot FROM conversations),
-files AS (SELECT page_id::VARCHAR AS id, lpad((page_id % 100)::VARCHAR, 10, '0') || '-0000' AS post_id,
-  'page' || page_id::VARCHAR || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.csv' WHEN 2 THEN '.html' ELSE '' END AS name,
-  length(html)::BIGINT AS size, CASE WHEN page_id % 13 = 0 THEN 1 ELSE 0 END AS delete_at FROM pages),
-conf(id, alias, priority, scopes, repositories) AS (VALUES
-  ('c0', 'payments', 100, ['payments'], ['pay']), ('c1', 'platform', 80, ['platform', 'core'], ['api']), ('c2', 'support', 60, ['support'], CAST([] AS VARCHAR[])),
-  ('c3', 'leads', 40, ['leadership'], CAST([] AS VARCHAR[])), ('c4', 'random', 20, CAST([] AS VARCHAR[]), ['api', 'web'])),
-keys AS (SELECT DISTINCT thread_id, id, create_at, upper(unnest(regexp_extract_all(message, '\\b[A-Za-z][A-Za-z0-9]+-[0-9]+\\b'))) AS ticket_key FROM live),
-placed AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY create_at, id) AS pos FROM posts),
-toks AS (SELECT id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token FROM (SELECT id, regexp_extract_all(lower(message), '[\\p{L}\\p{N}]+') AS w FROM live))
-"""
-
-
-def query(sql: str | None = None, posts: bool = True):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = f"WITH {POSTS}{sql}" if posts else sql
-        return f
-
-    return register
-
-
-def _posts(s, d):
-    return tables.posts(s, d)
-
-
-def _live(s, d):
-    return tables.posts(s, d).where("delete_at = 0")
-
-
 # --- lookups, joins, filters ----------------------------------------------------------
 
 
@@ -411,12 +356,6 @@ def replies_after(s, d):
     return sequences.replies_after(_posts(s, d))
 
 
-@query("""SELECT decision_id, min(id) AS ack_id FROM (SELECT d.id AS decision_id, p.id, p.message, row_number() OVER (PARTITION BY d.id ORDER BY p.create_at) AS nth
-  FROM live d JOIN live p ON p.thread_id = d.thread_id AND p.create_at > d.create_at AND p.user_id <> d.user_id WHERE d.message LIKE '%approved%') WHERE nth <= 2 AND message LIKE '% ok' GROUP BY 1""")
-def ack_pairing(s, d):
-    return sequences.acknowledgements(_posts(s, d), F.col("message").contains("approved"), F.col("message").endswith(" ok"))
-
-
 @query("""SELECT thread_id, id, pos FROM (SELECT *, max(CASE WHEN message LIKE '%approved%' THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM placed) WHERE near = 1""")
 def around_window(s, d):
     return sequences.around(_posts(s, d), F.col("message").contains("approved"), before=1, after=2)
@@ -437,41 +376,6 @@ def substantive_depth(s, d):
     return ranking.thread_features(_posts(s, d), F.lit(False), ["proj"]).select("thread_id", "depth")
 
 
-# --- signals --------------------------------------------------------------------------
-
-_SPANS = r""", said AS (SELECT id, generate_subscripts(x, 1) - 1 AS sentence, unnest(x) AS s FROM (SELECT id, list_filter(regexp_extract_all(lower(message), '[^.!?\n]*[.!?\n]|[^.!?\n]+$'), lambda y: regexp_matches(y, '[.!?\n]$') OR trim(y) <> '') AS x FROM live)),
-  spans AS (SELECT id, family, cue, max(weight) AS weight, min(sentence)::BIGINT AS sentence FROM said, (VALUES ('decision', 'approved', 0.65), ('decision', 'going with', 0.6), ('decision', 'we''ll go with', 0.65), ('open_question', 'unclear', 0.6), ('open_question', '?', 0.5), ('hedge', 'propose', 0.5)) c(family, cue, weight)
-  WHERE (cue = '?' AND contains(s, '?') OR cue <> '?' AND regexp_matches(s, '(^|[^\p{L}\p{N}_])' || cue || '($|[^\p{L}\p{N}_])')) AND (family <> 'decision' OR s NOT LIKE '%?') GROUP BY 1, 2, 3)"""
-
-
-@query(f"{_SPANS} SELECT id, family, cue, weight::DOUBLE AS weight, sentence FROM spans")
-def cue_spans(s, d):
-    return signals.cue_spans(_posts(s, d))
-
-
-@query(f"{_SPANS} SELECT id, family, count(*) AS n_cues, round(least(0.95, max(weight) + least(0.25, (count(*) - 1) * 0.08))::DOUBLE, 2) AS confidence FROM spans GROUP BY 1, 2")
-def cue_confidence(s, d):
-    return signals.scored_posts(signals.cue_spans(_posts(s, d)))
-
-
-@query(f"{_SPANS} SELECT family, cue, count(DISTINCT id) AS posts FROM spans GROUP BY 1, 2")
-def cue_telemetry(s, d):
-    return signals.telemetry(signals.cue_spans(_posts(s, d)))
-
-
-@query(f"""{_SPANS} SELECT thread_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY create_at DESC, id) AS place FROM live WHERE id IN (SELECT id FROM spans WHERE family = 'open_question')) WHERE place <= 2""")
-def open_questions(s, d):
-    p = _posts(s, d)
-    return signals.open_questions(p, signals.cue_spans(p), 2)
-
-
-@query(f"""{_SPANS} SELECT id, CASE WHEN bool_or(family = 'hedge') THEN 'proposal' ELSE 'approved_decision' END AS kind FROM spans WHERE family IN ('hedge', 'decision') GROUP BY 1""")
-def decision_kinds(s, d):
-    p = _posts(s, d)
-    acks = sequences.acknowledgements(p, F.col("message").contains("approved"), F.col("message").endswith(" ok"))
-    return signals.decision_kind(p, signals.cue_spans(p), acks)
-
-
 # --- selection and quality ------------------------------------------------------------
 
 
@@ -537,21 +441,6 @@ def packed_timeline(s, d):
     return packing.timeline(_packed(s, d))
 
 
-@query("""SELECT DISTINCT post_id, decision_id FROM (SELECT d.id AS decision_id, p.id AS post_id, p.message, row_number() OVER (PARTITION BY d.id ORDER BY p.create_at) AS nth,
-  (SELECT min(e.create_at) FROM live e WHERE e.thread_id = d.thread_id AND e.create_at > d.create_at AND e.message LIKE '%approved%') AS stop, p.create_at
-  FROM live d JOIN live p ON p.thread_id = d.thread_id AND p.create_at > d.create_at WHERE d.message LIKE '%approved%')
-  WHERE nth <= 6 AND message LIKE '%OPS-%' AND (stop IS NULL OR create_at < stop)""")
-def scope_refinements(s, d):
-    return signals.refinements(_posts(s, d), F.col("message").contains("approved"), F.col("message").contains("OPS-"))
-
-
-@query("""SELECT d.id AS decision_id, max(a.id) AS ack_id FROM live d JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY create_at DESC, id DESC) AS back FROM live) WHERE back <= 8 AND message LIKE '% ok') a
-  ON a.thread_id = d.thread_id AND a.create_at > d.create_at AND a.user_id <> d.user_id WHERE d.message LIKE '%approved%'
-  AND (SELECT count(*) FROM live b WHERE b.thread_id = d.thread_id AND b.user_id <> d.user_id AND b.create_at > d.create_at AND b.create_at < a.create_at) > 2 GROUP BY 1""")
-def late_acknowledgements(s, d):
-    return signals.late_acks(_posts(s, d), F.col("message").contains("approved"), F.col("message").endswith(" ok"))
-
-
 @query("""SELECT conversation_id, count(DISTINCT thread_id) AS threads, count(*) FILTER (delete_at = 0) AS live_posts, max(create_at) AS newest_at,
   CASE WHEN (1704500000000 - max(create_at)) / 1000 > 300 THEN 'stale' ELSE 'current' END AS currency,
   CASE WHEN count(*) FILTER (delete_at = 0 AND message LIKE '%approved%') > 0 THEN 'decided' WHEN count(*) FILTER (delete_at = 0 AND message LIKE '%unclear%') > 0 THEN 'open' ELSE 'thin' END AS adequacy FROM posts GROUP BY 1""")
@@ -665,3 +554,6 @@ def candidate_rank_vector(s, d):
 @query(f"{_CANDIDATES} SELECT thread_id, {', '.join(f'{x}::DOUBLE AS {x}' for x in ranking.FULL_VECTOR)} FROM c ORDER BY {', '.join(f'{x}::DOUBLE DESC' for x in ranking.FULL_VECTOR)}, thread_id")
 def candidate_rank_vector_all(s, d):
     return ranking.order(_candidate_rows(s, d))
+
+
+from weft import queries_brief  # noqa: E402, F401

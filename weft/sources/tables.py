@@ -25,8 +25,9 @@ def posts(spark: SparkSession, sf_dir: str, marked: bool = True) -> DataFrame:
     first = raw.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
     name = lambda turn: f"concat(lpad(cast(conv_id as string), 10, '0'), '-', lpad(cast({turn} as string), 4, '0'))"
     ticket = "CASE (conv_id + turn) % 5 WHEN 0 THEN concat(' PROJ-', cast(conv_id % 11 as string)) WHEN 1 THEN concat(' see OPS-', cast(conv_id % 7 as string), ' and PROJ-', cast(turn % 3 as string)) ELSE '' END"
-    cue = "CASE (conv_id * 3 + turn) % 6 WHEN 0 THEN ' approved.' WHEN 1 THEN ' still unclear?' WHEN 2 THEN ' I propose we wait.' WHEN 4 THEN ' ok' ELSE '' END"
-    text = f"concat(coalesce(text, ''), {ticket}, {cue})" if marked else "coalesce(text, '')"
+    cue = "CASE (conv_id * 3 + turn) % 6 WHEN 0 THEN ' approved.' WHEN 1 THEN ' still unclear?' WHEN 2 THEN ' I propose we wait.' WHEN 3 THEN ' Maybe we keep it on the backend, I think.' WHEN 4 THEN ' ok' ELSE ' To be clear: only for the qa stand, I\\'ll go with that.' END"
+    ack = "CASE turn % 2 WHEN 0 THEN '+ thanks' ELSE 'Ok, sounds good.' END"
+    text = f"CASE WHEN (conv_id * 5 + turn) % 7 = 4 AND turn > 0 THEN {ack} ELSE concat(coalesce(text, ''), {ticket}, {cue}) END" if marked else "coalesce(text, '')"
     stamped = raw.join(first, "conv_id").selectExpr(
         f"{name('turn')} AS id",
         f"CASE WHEN turn = first_turn THEN '' ELSE {name('first_turn')} END AS root_id",
