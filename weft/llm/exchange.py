@@ -69,8 +69,8 @@ def rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], schema=SCHEMA)
 
 
-def split(bucket: np.ndarray, kind: int, columns: Sequence[np.ndarray], hanging: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> Iterator[pa.RecordBatch]:
-    """Rows for each bucket. hanging: (counts, values) of variable length for each element; counts are packed before their values."""
+def split(bucket: np.ndarray, kind: int, columns: Sequence[np.ndarray], hanging: Sequence[tuple[np.ndarray, np.ndarray]] = (), counted: str = "i4") -> Iterator[pa.RecordBatch]:
+    """Rows for each bucket. hanging: (counts, values) of variable length for each element; counts are packed before their values, in the type named by counted."""
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
@@ -89,7 +89,7 @@ def split(bucket: np.ndarray, kind: int, columns: Sequence[np.ndarray], hanging:
         b = int(own_bucket[lo])
         own = [c[lo:hi] for c in columns]
         for counts, offset, values in hung:
-            own += [counts[lo:hi].astype(np.int32), values[offset[lo] : offset[hi]]]
+            own += [counts[lo:hi].astype(counted), values[offset[lo] : offset[hi]]]
         parts.append((b, kind, pack(own)))
         size += len(parts[-1][2])
         if size > 8 << 20:

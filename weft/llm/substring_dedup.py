@@ -20,8 +20,9 @@ earliest travels: a passage that a third of all documents share is sent once a b
 A block over BLOCK_BYTES (a phrase within ever new words) is dealt out once more, by
 windows in place of anchors, so that no task holds more.
 
-Windows are equal if their 64-bit hashes and their anchors' are; an anchor with c windows
-meets c * c / 2**65 false matches on average. Words themselves are not compared.
+Windows are equal if their 64-bit hashes and 32 bits of their anchors' hashes are; an
+anchor with c windows meets c * c / 2**65 false matches on average. Words themselves are
+not compared.
 
 "Earlier" is a smaller id, or in one document an earlier start. Null text has no words.
 Rows of a null id take no part: they are neither parsed nor indexed, and keep all words.
@@ -49,7 +50,7 @@ WINDOW, ANCHOR = 20, 8
 RUN, BLOCK_BYTES = 16, 128 << 20
 TAG_BITS = 24
 SEGMENTS, FACTORS, TEXTS = 0, 1, 2
-_SEGMENT_TYPES = ("u8", "i8", "i8", "i4", "u8")
+_SEGMENT_TYPES = ("u4", "i8", "i8", "u1", "u8")
 _FACTOR_TYPES = ("i8", "i8", "i4", "i8", "i8")
 KEYS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
 
@@ -103,7 +104,9 @@ def _sent(found: tuple[np.ndarray, ...], n: int, by_symbol: bool) -> Iterator[pa
     """Segments to their blocks and the factors found at once to their documents."""
     (anchor, doc, at, lengths, symbols), (d, a, count, source, source_at) = found
     if len(doc):
-        yield from split(hash_bucket(symbols if by_symbol else anchor_block(anchor), n), SEGMENTS, (anchor, doc, at), ((lengths, symbols),))
+        # Half of the anchor's mixed hash travels: windows are told apart by 96 bits.
+        own = anchor if by_symbol else anchor_block(anchor)
+        yield from split(hash_bucket(symbols if by_symbol else own, n), SEGMENTS, (own.astype(np.uint32), doc, at), ((lengths, symbols),), "u1")
     if len(d):
         yield from split(bucket_of(d, n), FACTORS, (d, a, count.astype(np.int32), source, source_at))
 
@@ -163,6 +166,7 @@ def longest(key: np.ndarray, inside: np.ndarray, lengths: np.ndarray) -> tuple[n
 def parse_block(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
     """Factors of all segments of a block by greedy parsing: (doc, at, windows, source doc, source at), where at is start << TAG_BITS | tag."""
     none = np.zeros(0, np.int64)
+    lengths = lengths.astype(np.int64)
     # Segments whose anchor stands alone repeat nothing, unless they repeat themselves.
     by = np.argsort(anchor, kind="stable")
     same = anchor[by][1:] == anchor[by][:-1]
@@ -181,7 +185,7 @@ def parse_block(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, lengths: np
     # A repeated row is the same document.
     a, d, o = at[chosen], doc[chosen], anchor[chosen]
     chosen = chosen[np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (o[1:] != o[:-1]))]
-    d, a, lengths = doc[chosen], at[chosen], lengths[chosen].astype(np.int64)
+    d, a, lengths = doc[chosen], at[chosen], lengths[chosen]
     place = ranges(begin[chosen], lengths)
     segment = np.repeat(np.arange(len(chosen)), lengths)
     inside = ranges(np.zeros(len(chosen), np.int64), lengths)
@@ -230,9 +234,10 @@ def _parse(n: int, most: int | None):
 
     def scattered(blob: bytes) -> Iterator[pa.RecordBatch]:
         anchor, doc, at, lengths, symbols = unpack(blob, _SEGMENT_TYPES)
+        lengths = lengths.astype(np.int64)
         segment = np.repeat(np.arange(len(doc)), lengths)
         inside = ranges(np.zeros(len(lengths), np.int64), lengths)
-        yield from _sent(combine(anchor[segment], doc[segment], at[segment] + (inside << TAG_BITS), np.ones(len(segment), np.int64), symbols), n, True)
+        yield from _sent(combine(anchor.astype(np.uint64)[segment], doc[segment], at[segment] + (inside << TAG_BITS), np.ones(len(segment), np.int64), symbols), n, True)
 
     def parsed(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if held:
