@@ -387,7 +387,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, members, chunk = None, [], None
     for batch in batches:
         a, b = [], []
-        for group, part, ask, i, n, t in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        for group, part, ask, i, n, t in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):  # part: a chunk's shard
             if (group, part) != place:
                 place, members, chunk = (group, part), [], None
             tokens = np.frombuffer(t, np.uint64)
@@ -425,10 +425,13 @@ def links(survivors: DataFrame, n: int) -> DataFrame:
     met = cut(cells.mapInArrow(_meet, "id bigint, met bigint").distinct(), "met")
     opened = met.select(F.col("met").alias("grp")).distinct()
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).join(opened, "grp", "left_semi").select("grp", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    member = grouped.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("part"), F.lit(0).alias("ask"), "id", "n", "tokens")
+    # A chunk meets its queries in shards of bounded size; the chunk goes to each shard.
+    asks = met.groupBy(F.col("met").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("shards"))
+    sizes = cut(sizes.join(asks, "grp"), "chunks")
+    member = grouped.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(0).alias("ask"), "id", "n", "tokens")
     query = met.join(sizes.withColumnRenamed("grp", "met"), "met").join(grouped.select("id", "n", "tokens"), "id")
-    query = query.select(F.col("met").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(1).alias("ask"), "id", "n", "tokens")
-    second = member.unionByName(query).repartition("grp", "part").sortWithinPartitions("grp", "part", "ask", "id").mapInArrow(_open, "a bigint, b bigint")
+    query = query.select(F.col("met").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int").alias("shard"), F.lit(1).alias("ask"), "id", "n", "tokens")
+    second = member.unionByName(query).repartition("grp", "part", "shard").sortWithinPartitions("grp", "part", "shard", "ask", "id").select("grp", F.struct("part", "shard").alias("part"), "ask", "id", "n", "tokens").mapInArrow(_open, "a bigint, b bigint")
     return first.unionByName(second)
 
 
