@@ -124,3 +124,12 @@ def test_section_counts_against_brute_force(spark):
             at += len(enc.decode_single_token_bytes(token))
         assert {k: v for k, v in got[d].items() if v} == want
     assert token_counts(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_sections_may_be_given_by_offsets(spark):
+    df = spark.createDataFrame([(1, "aa bb cc", [2, 5]), (2, "aa", [9, 1, None]), (3, None, None)], "doc_id long, text string, ends array<long>")
+    got = {}
+    for r in token_counts(df, RANKS, public_tokenizers.PATTERN, sections="ends").collect():
+        got.setdefault(r["doc_id"], []).append((r["section"], r["start_byte"], r["n_bytes"], r["n_tokens"], r["doc_tokens"]))
+    assert [x[1:3] for x in sorted(got[1])] == [(0, 2), (2, 3), (5, 3)] and sum(x[3] for x in got[1]) == got[1][0][4] > 2
+    assert [x[1:3] for x in sorted(got[2])] == [(0, 2), (2, 0), (2, 0)] and got[3] == [(0, 0, 0, 0, 0)]

@@ -92,3 +92,29 @@ def test_ngrams_depend_on_their_words_alone():
         assert len(whole) == 101 - k
         assert all(ngrams(words[i : i + k].copy(), k)[0] == whole[i] for i in range(0, 101 - k, 7))
         assert len(np.unique(whole)) == len(whole)
+
+
+def test_recall_of_classes_against_the_exact_join(spark):
+    from weft.llm.jaccard_groups import jaccard_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    exact = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    linked = [d for d, c in exact.items() if c != d]
+    assert linked and sum(found[d] == exact[d] for d in linked) >= 0.9 * len(linked)
+    assert all(exact[d] == exact[c] for d, c in found.items())
+
+
+def test_a_hot_band_bucket_goes_through_the_exact_search(spark, monkeypatch):
+    from weft.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "BUCKET", 4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[(i * 7) % 120] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows.append((99, "quite another text of some more words"))
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, rows)).collect()}
+    assert {got[i] for i in range(60)} == {0} and got[99] == 99

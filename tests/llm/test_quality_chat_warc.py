@@ -156,3 +156,39 @@ def test_the_filter_of_kept_documents_stays_behind_the_measures(spark):
     plan = keep_good(df)._jdf.queryExecution().optimizedPlan().toString()
     top = next(line for line in plan.splitlines() if "Filter" in line)
     assert "__weft_keep" in top and "split" not in top
+
+
+def test_unknown_and_malformed_parts_have_defined_results(spark):
+    rows = [(1, 0, "user", None, json.dumps([{"type": "video", "x": 1}, {"type": None}, 7, {"type": "image", "width": "wide"}])), (1, 1, "user", None, "{broken <|end|>"), (1, 2, "user", None, json.dumps({"type": "text", "text": "one"}))]
+    a, b, c = (parse_turn(r["segment"])[1] for r in format_conversations(frame(spark, rows, TURNS), parts="parts").orderBy("seq").collect())
+    assert a == [("text", '{"type": "video", "x": 1}{"type": null}7'), ("image", 0)]
+    assert b == [("text", "{broken <|end|>")] and c == [("text", "one")]
+
+
+def foreign(kind, block, extra=""):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:6e1a>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n{extra}Content-Length: {len(block)}"
+    return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_from_elsewhere_and_broken_records_become_rows(spark):
+    info = foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields\r\n")
+    page = foreign("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello", "Content-Type: application/http\r\nWARC-Target-URI: http://x/a\\b\r\n")
+    bad = foreign("response", b"no header", "Content-Type: application/http\r\n")
+    whole = build_archive([info, page, bad])
+    rows = read_records(spark.createDataFrame([("a", whole), ("b", whole[:-4])], "path string, content binary")).collect()
+    kinds = [(r["record_type"], r["payload_bytes"], r["error"] is None) for r in rows]
+    assert kinds.count(("warcinfo", 13, True)) == 2 and kinds.count(("response", 5, True)) == 2 and sum(not ok for *_, ok in kinds) == 2
+    own = next(r for r in rows if r["record_type"] == "response")
+    assert own["page_id"] is None and own["record_uri"] == "<urn:uuid:6e1a>" and own["url"] == "http://x/a\\b" and bytes(own["payload"]) == b"hello"
+
+
+def test_archives_are_saved_as_files_and_read_back(spark, tmp_path):
+    from weft.llm.warc import save_archives
+
+    df = frame(spark, [(i, f"http://x/{i}", f"<p>{i % 7}</p>") for i in range(60)], "page_id long, url string, html string").selectExpr("cast(page_id AS int) AS page_id", "url", "html")
+    archives = write_archives(df)
+    saved = save_archives(archives, f"file://{tmp_path}/out").collect()
+    assert saved and all(r["path"].endswith(".warc.zst") for r in saved)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/out/*.warc.zst").select("path", "content")
+    want = sorted(tuple(r) for r in read_records(archives, kind="int").select("page_id", "record_type", "refers_to").collect())
+    assert sorted(tuple(r) for r in read_records(files, kind="int").select("page_id", "record_type", "refers_to").collect()) == want

@@ -13,13 +13,17 @@ conversation of any length never stands in memory as a whole.
 
 Order within a conversation: turn, then role, then text; nulls first. Null role or text
 counts as empty; rows of a null conv_id form a conversation of their own. Repeated rows
-are turns of their own. An empty table gives an empty result.
+are turns of their own. An empty table gives an empty result. Parts of unknown types are
+kept as the text of their JSON, and parts that are no JSON as a text. A conversation is
+formatted in one task, as each turn's place follows from those before it, but streams
+through it turn by turn; one that holds a third of all turns takes a third of the time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import named
+
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Tokens that a placeholder stands for: a fixed number, or one for each unit of its size (rounded up).
 IMAGE_TILE_PIXELS, IMAGE_TILE_TOKENS, AUDIO_TOKENS_A_SECOND, DOCUMENT_TOKENS_A_PAGE = 512, 256, 25, 600
@@ -49,6 +55,23 @@ class Flat:
     attachments: list[dict] = field(default_factory=list)
 
 
+def _size(part: dict, name: str) -> int:
+    """A size rounded up; what is missing, no finite number, or under 1 counts as 1."""
+    value = part.get(name)
+    return max(1, math.ceil(value)) if isinstance(value, int | float) and not isinstance(value, bool) and math.isfinite(value) else 1
+
+
+def parts_of(parts: str | None, text: str) -> list:
+    """The parts of a turn: a JSON list; other JSON is one part, and what is no JSON at all is a text."""
+    if parts is None:
+        return [{"type": "text", "text": text}]
+    try:
+        found = json.loads(parts)
+    except ValueError:
+        return [{"type": "text", "text": parts}]
+    return found if isinstance(found, list) else [found]
+
+
 class PartVisitor:
     """One method for each type of part; placeholders are numbered in order through the conversation."""
 
@@ -56,23 +79,27 @@ class PartVisitor:
         self.number = 0
 
     def visit(self, part: dict, out: Flat) -> None:
-        method = getattr(self, f"visit_{part.get('type', 'text')}", None)
-        if method is None:
-            raise ValueError(f"unknown type of part: {part.get('type')!r}")
-        method(part, out)
+        kind = part.get("type", "text") if isinstance(part, dict) else None
+        method = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind) if isinstance(kind, str) else None
+        (method or self.visit_unknown)(part, out)
 
     def visit_text(self, part: dict, out: Flat) -> None:
-        out.content.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        out.content.append(escape(text if isinstance(text, str) else "" if text is None else json.dumps(text, ensure_ascii=False)))
+
+    def visit_unknown(self, part: object, out: Flat) -> None:
+        """What is no known part is kept as the text of its JSON."""
+        out.content.append(escape(json.dumps(part, ensure_ascii=False)))
 
     def visit_image(self, part: dict, out: Flat) -> None:
-        tiles = -(-(part.get("width") or 1) // IMAGE_TILE_PIXELS) * -(-(part.get("height") or 1) // IMAGE_TILE_PIXELS)
+        tiles = -(-_size(part, "width") // IMAGE_TILE_PIXELS) * -(-_size(part, "height") // IMAGE_TILE_PIXELS)
         self._attach("image", part, tiles * IMAGE_TILE_TOKENS, out)
 
     def visit_audio(self, part: dict, out: Flat) -> None:
-        self._attach("audio", part, max(1, int(-(-(part.get("seconds") or 0) // 1)) * AUDIO_TOKENS_A_SECOND), out)
+        self._attach("audio", part, _size(part, "seconds") * AUDIO_TOKENS_A_SECOND, out)
 
     def visit_document(self, part: dict, out: Flat) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 1) * DOCUMENT_TOKENS_A_PAGE, out)
+        self._attach("document", part, _size(part, "pages") * DOCUMENT_TOKENS_A_PAGE, out)
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flat) -> None:
         out.content.append(f"<|{kind}:{self.number}|>")
@@ -112,9 +139,9 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     parts names a column with a JSON list of typed parts to be used where it is not null; attachments is JSON.
     """
     kind = turns.schema[conv].dataType.simpleString()
-    body: Column = F.col(parts) if parts else F.lit(None).cast("string")
-    rows = turns.select(F.col(conv), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), body.alias("parts"))
-    dealt = rows.repartition(conv).sortWithinPartitions(conv, "turn", "role", "text", "parts")
+    body: Column = named(parts) if parts else F.lit(None).cast("string")
+    rows = turns.select(named(conv), named(turn).alias("turn"), F.coalesce(named(role), F.lit("")).alias("role"), F.coalesce(named(text), F.lit("")).alias("text"), body.alias("parts"))
+    dealt = rows.repartition(named(conv)).sortWithinPartitions(named(conv), "turn", "role", "text", "parts")
     return dealt.mapInArrow(_format, f"`{conv}` {kind}, {FORMATTED}")
 
 
@@ -126,7 +153,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if c != conv:
                 conv, seq, at, visitor = c, 0, 0, PartVisitor()
             flat = Flat()
-            for part in json.loads(parts) if parts is not None else [{"type": "text", "text": text}]:
+            for part in parts_of(parts, text):
                 visitor.visit(part, flat)
             content = "".join(flat.content)
             head = f"{TURN}{escape(role)}{BODY}"
@@ -149,9 +176,9 @@ def read_back(formatted: DataFrame, conv: str = "conv_id", ordered: bool = False
     ordered: the rows come straight from format_conversations(), whose tasks hold whole conversations in order.
     """
     kind = formatted.schema[conv].dataType.simpleString()
-    rows = formatted.select(conv, "seq", "segment", "start", "loss_start", "loss_chars")
+    rows = formatted.select(named(conv), "seq", "segment", "start", "loss_start", "loss_chars")
     if not ordered:
-        rows = rows.repartition(conv).sortWithinPartitions(conv, "seq")
+        rows = rows.repartition(named(conv)).sortWithinPartitions(named(conv), "seq")
     return rows.mapInArrow(_read, f"`{conv}` {kind}, {READ}")
 
 

@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import cut
+from .exchange import buckets, cut, integer_key, named
 from .textcore import U64, as_bytes, hash_words, ngrams, slices, spans
 
 PERMUTATIONS, SHINGLE, THRESHOLD = 128, 5, 0.75
 BANDS = 32
+#: Most ranges of ids that are dealt out (at most as many bounds reach the driver); most distinct fingerprints of a band bucket that are compared pair by pair.
+RANGES, BUCKET = 20_000, 64
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << U64(1) | U64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << U64(1)
@@ -117,7 +119,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
             found = signatures(*as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(">u4").tobytes() for s in found], pa.binary())], [batch.schema.names[0], "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint binary")
+    return docs.select(named(key), named(text)).mapInArrow(run, f"`{key}` {kind}, fingerprint binary")
 
 
 # --- a document and the next one ------------------------------------------------------
@@ -128,10 +130,9 @@ def _dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     The driver sees one pair of ids for each range, never one for each document.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(key).cast("long").alias("id"))
-    got = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] if parts > 1 else [0.5], 10_000).alias("q")).first()["q"] or []
+    parts = min(buckets(docs), RANGES)
+    ids = docs.select(named(key).cast("long").alias("id"))
+    got = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] if parts > 1 else [0.5], 10 * RANGES).alias("q")).first()["q"] or []
     bounds = sorted(set(got))
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def _dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
             part[column.is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", *batch.schema.names])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(named(key).cast("long").alias("id"), named(text).alias("text"))
     # The largest document of each range closes the range above it; the largest of all closes the lowest.
     tops = rows.select("id").mapInArrow(part_of, "part int, id long").groupBy("part").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).collect()
     tops = sorted((r["part"], r["top"]) for r in tops)
@@ -173,7 +174,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Edited: the last third of the code points replaced by as many from the beginning of the next document.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind = integer_key(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, closed = None, None, False
@@ -220,7 +221,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         ]
         return pa.RecordBatch.from_arrays(columns, [key, *(c.split()[0] for c in OUT.split(", "))])
 
-    return _dealt(docs, key, text).mapInArrow(run, f"`{key}` bigint, {OUT}").withColumn(key, F.col(key).cast(kind))
+    return _dealt(docs, key, text).mapInArrow(run, f"`{key}` bigint, {OUT}").withColumn(key, named(key).cast(kind))
 
 
 # --- near-duplicate classes -----------------------------------------------------------
@@ -239,29 +240,44 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links) of each document: classes by bands of the fingerprint, every link verified by the shingles' Jaccard likeness.
 
-    Documents of one fingerprint are one class at once. Of the others, all pairs that
-    share a band are verified, each once, so their number grows with the square of a hot
-    bucket. n_links counts the verified pairs of the class's representative. A link is
-    found if any band agrees; jaccard_groups finds all links, without bands.
+    Documents of one fingerprint are one class at once. Of the others, all pairs that share
+    a band bucket of at most BUCKET fingerprints are verified, each once. What stands in a
+    larger bucket goes, whole, through the token-group search of jaccard_groups, which
+    finds every link without bands and without pairing all; it needs the threshold 0.75.
+    A link outside such buckets is found if any band agrees. n_links counts, for the
+    class's representative, the verified pairs and tree links that it stands in.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    kind = integer_key(docs, key)
+    base = docs.select(named(key).cast("long").alias("id"), named(text).alias("text"))
     prints = fingerprint_documents(base, "id", "text")
     reps = prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("rep"))
     width = 4 * PERMUTATIONS // bands
     parts = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * width + 1, width)) for b in range(bands)])
     empty = F.lit(b"\xff" * (4 * PERMUTATIONS))
     banded = reps.where(F.col("fingerprint") != empty).select("rep", F.explode(parts).alias("band"))
-    pairs = banded.join(banded.select(F.col("rep").alias("lead"), "band"), "band").where("lead < rep").select("rep", "lead").distinct()
-    # One text an id, whatever the number of rows that repeat it.
-    texts = base.groupBy("id").agg(F.min("text").alias("text"))
-    joined = pairs.join(texts.withColumnRenamed("id", "rep"), "rep").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("other")), "lead").select("rep", "lead", "text", "other")
+    full = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    small = banded.join(full.where(F.col("n").between(2, BUCKET)).select("band"), "band", "left_semi")
+    hot = cut(banded.join(full.where(F.col("n") > BUCKET).select("band"), "band", "left_semi").select("rep").distinct(), "hot")
+    # Both sides of a pair lie in one small bucket, gathered as an array of at most BUCKET ids.
+    members = small.groupBy("band").agg(F.array_sort(F.collect_set("rep")).alias("m"))
+    pairs = members.select("m", F.posexplode("m").alias("i", "lead")).select("lead", F.explode(F.slice("m", F.col("i") + 2, BUCKET)).alias("rep")).distinct()
+    # The text of the fingerprint that an id stands for, of the least text hash if rows repeat the id.
+    own = base.where("id IS NOT NULL").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    joined = pairs.join(own.withColumnRenamed("id", "rep"), "rep").join(own.select(F.col("id").alias("lead"), F.col("text").alias("other")), "lead").select("rep", "lead", "text", "other")
     links = joined.mapInArrow(_jaccard, "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= threshold)
+    links = links.select("a", "b")
+    if not hot.isEmpty():
+        if threshold != THRESHOLD:
+            raise ValueError("buckets this large need the exact search, whose threshold is 0.75")
+        from .jaccard_groups import jaccard_components
+
+        exact = jaccard_components(own.join(hot.withColumnRenamed("rep", "id"), "id", "left_semi"), "id", "text")
+        links = links.unionByName(exact.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))).distinct()
     links = cut(links, "bands")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = components(links, "a", "b").withColumnRenamed("node", "rep")
-    named = reps.join(found, "rep", "left").join(degree, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = prints.join(named, "fingerprint", "left")
+    classed = reps.join(found, "rep", "left").join(degree, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = prints.join(classed, "fingerprint", "left")
     # Texts without shingles are alike but no copies of each other's words: each stays alone.
     alone = (F.col("fingerprint") == empty) | F.col("id").isNull()
     return out.select(F.col("id").cast(kind).alias(key), F.when(alone, F.col("id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
