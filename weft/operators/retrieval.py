@@ -24,13 +24,6 @@ def token_rows(docs: DataFrame, key: str = "id", text: str = "message") -> DataF
     return docs.select(F.col(key).alias("id"), F.posexplode(T.tokens(F.col(text))).alias("pos", "token"))
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "message") -> DataFrame:
-    """(token, id, tf, doc_len): built from each document's own token array, so that only distinct tokens are shuffled later."""
-    toks = docs.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("toks"))
-    rows = toks.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("token"))
-    return rows.groupBy("token", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def corpus_stats(docs: DataFrame, text: str = "message") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_len"))
 
@@ -89,13 +82,6 @@ def typo(docs: DataFrame, probe: str, key: str = "id", text: str = "message", le
     return found if limit is None else found.orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-def thread_ranks(hits: DataFrame, posts: DataFrame, order: list) -> DataFrame:
-    """(thread_id, rank): threads in the order of their first hit."""
-    best = hits.join(posts.select("id", "thread_id"), "id").groupBy("thread_id").agg(F.min(F.struct(*order)).alias("first"))
-    # One row for each matching thread of one request; a ranking has one order.
-    return best.select("thread_id", F.row_number().over(Window.orderBy("first")).cast("long").alias("rank"))
-
-
 def fuse(ranked: DataFrame) -> DataFrame:
     """(thread_id, fusion): of rows (thread_id, probe, source, rank) the best of each probe and source, weighted and summed."""
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])

@@ -1,33 +1,50 @@
-"""The search plan: probes to channels to fusion to ranked threads."""
+"""The search plan: probes to channels to fusion to ranked threads, over the stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.operators import ranking, retrieval
+from weft.operators.index import PostIndex
 
+MOST_HITS = 100
+_open: dict[tuple[str, str], PostIndex] = {}
 
-def search(posts: DataFrame, subject: str, terms: list[str], limit: int = 10) -> DataFrame:
-    """(thread_id, features, fusion) of the best threads for a subject and its terms.
 
-    Channels run over the same live posts; each gives post hits, ranked by thread, and
-    fusion takes the best of each probe and channel. A request's hits have one order,
-    so its ranking is one window over matching threads only.
-    """
-    live = posts.where("delete_at = 0")
+def opened(spark: SparkSession, name: str, path: str, posts) -> PostIndex:
+    """The index under a path, built from posts() if there is none; held by name for the session."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _open:
+        index = PostIndex(spark, path)
+        _open[key] = index if index.built else index.build(posts())
+    return _open[key]
+
+
+def channel_hits(index: PostIndex, subject: str, terms: list[str]) -> DataFrame:
+    """(id, thread_id, probe, source, score): the subject as a phrase, each term, and the terms' union."""
     words = [w for w in (x.lower() for x in subject.replace("-", " ").split()) if w]
-    exact = retrieval.phrase(live, words).select("id", F.lit(0).alias("probe"), F.lit("exact_phrase").alias("source"), (-F.col("n")).cast("double").alias("score"))
-    # One pass over the postings of all terms serves every term's channel and their union.
-    scored = retrieval.term_scores(live, terms)
+    exact = index.phrase(words).select("id", "thread_id", F.lit(0).alias("probe"), F.lit("exact_phrase").alias("source"), (-F.col("n")).cast("double").alias("score"))
+    scored = index.scored(terms)
     number = F.create_map(*[F.lit(x) for i, t in enumerate(dict.fromkeys(t.lower() for t in terms)) for x in (t, i + 1)])
-    each = scored.select("id", number[F.col("token")].alias("probe"), F.lit("term_fts").alias("source"), "score")
-    broad = scored.select("id", F.lit(len(terms) + 1).alias("probe"), F.lit("broad_fts").alias("source"), "score")
-    union = each.unionByName(broad).groupBy("id", "probe", "source").agg(F.sum("score").alias("score"))
-    hits = exact.unionByName(union)
-    first = hits.join(live.select("id", "thread_id"), "id").groupBy("probe", "source", "thread_id").agg(F.min(F.struct(F.round("score", 9).alias("score"), "id")).alias("first"))
+    # One pass over the postings of all terms serves every term's channel and their union.
+    both = F.array(F.struct(number[F.col("token")].alias("probe"), F.lit("term_fts").alias("source")), F.struct(F.lit(len(terms) + 1).alias("probe"), F.lit("broad_fts").alias("source")))
+    union = scored.select("id", "thread_id", "score", F.explode(both).alias("c")).groupBy("id", "thread_id", "c.probe", "c.source").agg(F.sum("score").alias("score"))
+    return exact.unionByName(union.select("id", "thread_id", "probe", "source", "score"))
+
+
+def search(index: PostIndex, subject: str, terms: list[str], limit: int = 10) -> DataFrame:
+    """(thread_id, features, fusion) of the best threads for a subject and its terms.
+
+    Each channel's hits are ranked by thread, and fusion takes the best of each probe and
+    channel. Features are computed for matching threads alone: texts are read of hits
+    only, of other posts the lengths and times.
+    """
+    hits = channel_hits(index, subject, terms)
+    first = hits.groupBy("probe", "source", "thread_id").agg(F.min(F.struct(F.round("score", 9).alias("score"), "id")).alias("first"))
     order = Window.partitionBy("probe", "source").orderBy("first")
-    fused = retrieval.fuse(first.withColumn("rank", F.row_number().over(order)))
-    features = ranking.thread_features(posts, T.contains_exact(F.lower("message"), subject.lower()), [t.lower() for t in terms])
-    return ranking.rank(features.join(fused.withColumn("fusion", F.round("fusion", 9)), "thread_id"), limit)
+    fused = retrieval.fuse(first.withColumn("rank", F.row_number().over(order))).withColumn("fusion", F.round("fusion", 9))
+    docs = index.docs.read().where("delete_at = 0").join(fused.select("thread_id"), "thread_id", "left_semi")
+    features = ranking.thread_features(docs, T.contains_exact(F.lower("message"), subject.lower()), [t.lower() for t in terms])
+    return ranking.rank(features.join(fused, "thread_id"), limit)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.plans.search import opened
 from weft.sources import tables
 
 NOW_MS = 1_704_500_000_000
@@ -57,5 +60,25 @@ def _posts(s, d):
     return tables.posts(s, d)
 
 
+def _index(s, d):
+    """The stored index over the derived posts: built once for a session and folder, in the shared folder if the session names one."""
+    return opened(s, d, f"{scratch(s)}/index-{uuid.uuid4().hex}", lambda: _posts(s, d))
+
+
+def scratch(s) -> str:
+    """The folder that driver and executors share; in local mode one of our own, where the session names none."""
+    where = s.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='weft-')}")
+    return _own[0]
+
+
+_own: list[str] = []
+
+
 def _live(s, d):
     return tables.posts(s, d).where("delete_at = 0")
