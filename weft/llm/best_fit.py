@@ -9,8 +9,8 @@
    number of steps follows the number of lengths and not the number of bins.
 3. The plan (lengths x few slots) is broadcast, bounded by the capacity. Each remainder
    takes the slot of its rank within its length. Ranks come from counts by (length,
-   salt), with a salt for each RANKED rows of a length, so that no task ranks more of them
-   however many rows one length has.
+   salt): up to SALTS salts for frequent lengths, and one for each RANKED rows of the most
+   frequent ones, so that no task ranks more of them however many rows one length has.
 
 Null text counts as empty: a document of the end token alone. Rows that repeat an id are
 packed as rows of their own. A null id is packed too. Ties in length are ranked by id,
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .exchange import cut, ddl, named
 from .word_ids import word_ids
 
-CAPACITY, END_ID, RANKED = 2048, 0, 1 << 20
+CAPACITY, END_ID, RANKED, SALTS, SALTED = 2048, 0, 1 << 20, 64, 256
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,15 +126,12 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -
     total = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     planned = plan(total, capacity)
     placed, bins = slots(planned), sum(b for _, b in planned)
-    salts = {n: -(-c // RANKED) for n, c in total.items()}
-    if max(salts.values(), default=1) > 1:
-        table = F.broadcast(rest.sparkSession.createDataFrame(list(salts.items()), "length bigint, salts int"))
-        salt = F.pmod(F.xxhash64(named(key), "piece", "ids_crc32"), F.col("salts")).cast("int")
-        rest = rest.join(table, "length").withColumn("salt", salt).drop("salts")
-        # A row for each RANKED documents and each length.
-        counts = rest.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    else:
-        rest, counts = rest.withColumn("salt", F.lit(0)), []
+    salts = {n: max(-(-c // RANKED), min(SALTS, -(-c // SALTED))) for n, c in total.items()}
+    table = F.broadcast(rest.sparkSession.createDataFrame(list(salts.items()), "length bigint, salts int"))
+    salt = F.pmod(F.xxhash64(named(key), "piece", "ids_crc32"), F.col("salts")).cast("int")
+    rest = rest.join(table, "length").withColumn("salt", salt).drop("salts")
+    # At most capacity x SALTS rows, and one more for each RANKED documents.
+    counts = rest.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
     ahead: dict[tuple[int, int], int] = {}
     before: dict[int, int] = {}
     for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
