@@ -53,55 +53,6 @@ FULL_VECTOR = (
 )
 
 
-def candidates(posts: DataFrame, ticket: str, phrase: str, terms: list[str], routed: DataFrame, fused: DataFrame) -> DataFrame:
-    """(thread_id and FULL_VECTOR) of all threads with any match: one aggregate over live posts, joined with routing and fusion.
-
-    terms are index tokens. Proximity is the shortest span of all terms within one post:
-    tier 3 within 8 tokens, 1 beyond, window 513 less the span.
-    """
-    from weft.functions import text as T
-
-    from .retrieval import token_rows
-    from .sequences import covering_window
-
-    live = posts.where("delete_at = 0")
-    keys, root = T.ticket_keys(F.col("message")), F.col("id") == F.col("thread_id")
-    low = F.lower("message")
-    spans = covering_window(token_rows(live), terms)
-    p = live.join(spans, "id", "left").withColumns({"keys": keys, "root": root, "has_phrase": T.contains_exact(low, phrase), "toks": T.tokens(F.col("message"))})
-    p = p.withColumns({"named": F.array_contains("keys", ticket), "words": F.array_intersect("toks", F.array(*[F.lit(t) for t in terms]))})
-    flag = lambda c: F.max(c.cast("int"))
-    hit = F.col("named") | (F.size("words") > 0)
-    by = p.groupBy("thread_id", "conversation_id").agg(
-        flag(F.col("named")).alias("explicit_ticket"),
-        flag(F.col("named") & F.col("root")).alias("ticket_in_root"),
-        flag(F.col("named") & ~F.col("root")).alias("ticket_in_reply"),
-        flag(F.col("named") & F.col("root") & (F.size("keys") == 1)).alias("alone_in_root"),
-        flag(low.contains(ticket.lower()) & F.col("root")).alias("subject_in_root"),
-        flag(F.col("has_phrase") & F.col("root")).alias("phrase_in_root"),
-        flag(F.col("has_phrase") & ~F.col("root")).alias("phrase_in_reply"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("matched_terms"),
-        F.min("span").alias("span"),
-        F.least(F.lit(5), F.count_if(F.size("toks") >= 6)).alias("thread_depth"),
-        F.max(F.when(hit, F.col("create_at"))).alias("latest_match_at"),
-        F.max("create_at").alias("latest_activity_at"),
-    ).where("explicit_ticket = 1 OR matched_terms > 0")
-    focus = F.when(F.col("alone_in_root") == 1, 3).when(F.col("ticket_in_root") == 1, 2).when(F.col("ticket_in_reply") == 1, 1).otherwise(0)
-    full = by.withColumns(
-        {
-            "direct": F.lit(0),
-            "ticket_focus": focus,
-            "full_coverage": (F.col("matched_terms") == len(terms)).cast("int"),
-            "matched_probes": F.col("matched_terms") + F.col("explicit_ticket"),
-            "proximity_tier": F.when(F.col("span") <= 8, 3).when(F.col("span").isNotNull(), 1).otherwise(0),
-            "proximity_window": F.coalesce(513 - F.col("span"), F.lit(0)),
-            "structured_matches": F.col("explicit_ticket"),
-        }
-    )
-    full = full.join(routed.select(F.col("id").alias("conversation_id"), F.col("weight").alias("routing"), "priority"), "conversation_id")
-    return full.join(fused, "thread_id", "left").withColumn("fusion", F.coalesce("fusion", F.lit(0.0))).select("thread_id", *[F.col(c).cast("double").alias(c) for c in FULL_VECTOR])
-
-
 def order(rows: DataFrame, limit: int | None = None) -> DataFrame:
     ordered = rows.withColumn("vector", F.array(*FULL_VECTOR)).orderBy(F.desc("vector"), "thread_id").drop("vector")
     return ordered.limit(limit) if limit else ordered

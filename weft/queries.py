@@ -540,34 +540,4 @@ def concept_hits(s, d):
     return rows.select("id", F.replace(F.col("token"), F.lit("zzconcept"), F.lit("")).alias("concept"))
 
 
-_CANDIDATES = f""", {_HITS}, fz AS (SELECT thread_id, round(sum(w / (60 + rank)), 9) AS fusion FROM (
-  SELECT thread_id, CASE source WHEN 'exact_phrase' THEN 1.0 ELSE 0.75 END AS w, row_number() OVER (PARTITION BY probe, source ORDER BY min(id)) AS rank FROM h GROUP BY thread_id, probe, source) GROUP BY 1),
-sp AS (SELECT id, min(greatest(a, b) - least(a, b) + 1) AS span FROM (SELECT x.id, x.pos AS a, y.pos AS b FROM toks x JOIN toks y USING (id) WHERE x.token = 'ops' AND y.token = 'proj') GROUP BY 1),
-kk AS (SELECT id, count(DISTINCT ticket_key) AS n, max(CASE WHEN ticket_key = 'PROJ-1' THEN 1 ELSE 0 END) AS named FROM keys GROUP BY 1),
-tt AS (SELECT id, max(CASE WHEN token = 'ops' THEN 1 ELSE 0 END) AS o, max(CASE WHEN token = 'proj' THEN 1 ELSE 0 END) AS p, count(*) AS len FROM toks GROUP BY 1),
-f AS (SELECT thread_id, conversation_id, max(coalesce(named, 0)) AS explicit_ticket, max(CASE WHEN id = thread_id THEN coalesce(named, 0) ELSE 0 END) AS ticket_in_root,
-  max(CASE WHEN id <> thread_id THEN coalesce(named, 0) ELSE 0 END) AS ticket_in_reply, max(CASE WHEN id = thread_id AND named = 1 AND n = 1 THEN 1 ELSE 0 END) AS alone,
-  max(CASE WHEN id = thread_id AND lower(message) LIKE '%proj-1%' THEN 1 ELSE 0 END) AS subject_in_root, max(CASE WHEN id = thread_id AND message LIKE '%still unclear%' THEN 1 ELSE 0 END) AS phrase_in_root,
-  max(CASE WHEN id <> thread_id AND message LIKE '%still unclear%' THEN 1 ELSE 0 END) AS phrase_in_reply, max(coalesce(o, 0)) + max(coalesce(p, 0)) AS matched_terms, min(span) AS span,
-  least(5, count(*) FILTER (len >= 6)) AS thread_depth, max(CASE WHEN named = 1 OR o = 1 OR p = 1 THEN create_at END) AS latest_match_at, max(create_at) AS latest_activity_at
-  FROM live LEFT JOIN kk USING (id) LEFT JOIN sp USING (id) LEFT JOIN tt USING (id) GROUP BY 1, 2),
-c AS (SELECT f.*, 0 AS direct, CASE WHEN alone = 1 THEN 3 WHEN ticket_in_root = 1 THEN 2 WHEN ticket_in_reply = 1 THEN 1 ELSE 0 END AS ticket_focus, CASE WHEN matched_terms = 2 THEN 1 ELSE 0 END AS full_coverage,
-  matched_terms + explicit_ticket AS matched_probes, CASE WHEN span <= 8 THEN 3 WHEN span IS NOT NULL THEN 1 ELSE 0 END AS proximity_tier, coalesce(513 - span, 0) AS proximity_window, explicit_ticket AS structured_matches,
-  1 AS routing, priority, coalesce(fusion, 0) AS fusion FROM f JOIN conf ON conf.id = conversation_id LEFT JOIN fz USING (thread_id) WHERE explicit_ticket = 1 OR matched_terms > 0)"""
-
-
-def _candidate_rows(s, d):
-    return ranking.candidates(_posts(s, d), "PROJ-1", "still unclear", ["ops", "proj"], routing.route(tables.conversations(s)), rrf_fusion(s, d))
-
-
-@query(f"{_CANDIDATES} SELECT thread_id, {', '.join(f'{x}::DOUBLE AS {x}' for x in ranking.FULL_VECTOR)} FROM c ORDER BY {', '.join(f'{x}::DOUBLE DESC' for x in ranking.FULL_VECTOR)}, thread_id LIMIT 20")
-def candidate_rank_vector(s, d):
-    return ranking.order(_candidate_rows(s, d), 20)
-
-
-@query(f"{_CANDIDATES} SELECT thread_id, {', '.join(f'{x}::DOUBLE AS {x}' for x in ranking.FULL_VECTOR)} FROM c ORDER BY {', '.join(f'{x}::DOUBLE DESC' for x in ranking.FULL_VECTOR)}, thread_id")
-def candidate_rank_vector_all(s, d):
-    return ranking.order(_candidate_rows(s, d))
-
-
-from weft import queries_brief  # noqa: E402, F401
+from weft import queries_brief, queries_evidence  # noqa: E402, F401
