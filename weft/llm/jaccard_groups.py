@@ -11,7 +11,8 @@ Documents are sets of 5-word shingles, linked when 100 * shared >= 75 * united.
    GROUP_KEYS hash orders are compared with a few leaders, and join the group of a
    leader they are linked with. Members of one group are connected. Leaders are found
    in each batch first, then for each key and salt, then, of salted keys, among the
-   salts' leaders; so no task meets more of a hot key than leaders of batches.
+   salts' leaders; so no task meets more of a hot key than leaders of batches. Leaders
+   that share a follower make one group.
 4. The token-group matrix has a cell for each token of a group's union of prefix tokens
    (rarest first; a link must share one), with the sizes of the members behind it. A
    query document meets the groups in whose columns its own prefix tokens stand, where
@@ -19,7 +20,7 @@ Documents are sets of 5-word shingles, linked when 100 * shared >= 75 * united.
 5. Such a group is opened in chunks of bounded size. A chunk's token union bounds what
    any member can share with the query; only chunks that reach 75 % of the query's
    size are compared member by member.
-6. Links of steps 3 and 5 give the components. Any link between two documents is either
+6. Links of groups in step 5 give the components. Any link between two documents is either
    inside a group or found in step 5, so none is lost; copies and groups are never
    expanded into pairs.
 
@@ -383,7 +384,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) links between queries and a chunk's members; members (ask = 0) come before queries."""
+    """(a, b): queries that are linked with a member of a chunk, and its group; members (ask = 0) come before queries."""
     place, members, chunk = None, [], None
     for batch in batches:
         a, b = [], []
@@ -399,27 +400,22 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if chunk is None:
                 flat = np.concatenate([m[2] for m in members])
                 lengths = np.array([len(m[2]) for m in members])
-                chunk = (np.array([m[0] for m in members]), np.array([m[1] for m in members]), flat, np.cumsum(lengths) - lengths, np.unique(flat))
-            ids, sizes, flat, starts, union = chunk
+                chunk = (np.array([m[1] for m in members]), flat, np.cumsum(lengths) - lengths, np.unique(flat))
+            sizes, flat, starts, union = chunk
             if 100 * shared_size(tokens, union) < PERCENT * n:
                 continue
             at = np.searchsorted(tokens, flat)
             at[at == len(tokens)] = 0
             shared = np.add.reduceat((tokens[at] == flat).astype(np.int64), starts)
-            hit = np.flatnonzero(linked(shared, sizes, n))
-            a += [i] * len(hit[:1])
-            b += ids[hit[:1]].tolist()
+            if linked(shared, sizes, n).any():
+                a.append(i)
+                b.append(group)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def links(survivors: DataFrame, n: int) -> DataFrame:
-    """(a, b) links that connect what is connected, among distinct sets."""
-    first = _led_links(survivors, n)
-    up = first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("up"))
-    # A leader may follow another one, of its salt or under the other key: some steps further make fewer groups.
-    for _ in range(2):
-        up = cut(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left").select("id", F.coalesce("upper", "up").alias("up")), "up")
-    group = up.withColumnRenamed("up", "grp")
+def connected(survivors: DataFrame, n: int) -> DataFrame:
+    """(node, component) of all sets that are linked with another."""
+    group = cut(components(_led_links(survivors, n), "a", "b"), "led-groups").select(F.col("node").alias("id"), F.col("component").alias("grp"))
     grouped = cut(survivors.join(group, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"), "n", "tokens", "prefix"), "groups")
     cells = exchange(grouped.select("id", "grp", "n", "prefix", "tokens").mapInArrow(_cells(n), PACKED), n)
     met = cut(cells.mapInArrow(_meet, "id bigint, met bigint").distinct(), "met")
@@ -432,7 +428,12 @@ def links(survivors: DataFrame, n: int) -> DataFrame:
     query = met.join(sizes.withColumnRenamed("grp", "met"), "met").join(grouped.select("id", "n", "tokens"), "id")
     query = query.select(F.col("met").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int").alias("shard"), F.lit(1).alias("ask"), "id", "n", "tokens")
     second = member.unionByName(query).repartition("grp", "part", "shard").sortWithinPartitions("grp", "part", "shard", "ask", "id").select("grp", F.struct("part", "shard").alias("part"), "ask", "id", "n", "tokens").mapInArrow(_open, "a bigint, b bigint")
-    return first.unionByName(second)
+    # Queries by their groups: few edges are left, between groups.
+    between = second.join(grouped.select(F.col("id").alias("a"), "grp"), "a").select(F.col("grp").alias("a"), "b").distinct()
+    joined = components(between, "a", "b")
+    inside = group.join(joined.withColumnRenamed("node", "grp"), "grp", "left").select(F.col("id").alias("node"), F.coalesce("component", "grp").alias("component"))
+    alone = joined.join(group.select(F.col("id").alias("node")), "node", "left_anti")
+    return inside.unionByName(alone)
 
 
 def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -446,7 +447,7 @@ def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
     tokens = exchange(base.where("id IS NOT NULL").select("text").mapInArrow(_tokens(n), PACKED), n).mapInArrow(_frequencies(n), PACKED)
     reps = classes.select(F.col("a").alias("id"), "n").mapInArrow(_headed(n), PACKED)
     survivors = cut(exchange(tokens.unionByName(reps), n).mapInArrow(_survivors, "id bigint, n bigint, tokens binary, prefix binary"), "survivors")
-    found = components(links(survivors, n), "a", "b").withColumnRenamed("node", "a")
+    found = connected(survivors, n).withColumnRenamed("node", "a")
     # Only linked classes, which are few, are grouped by component; the others stand for themselves.
     linked_ = cut(classes.select("a", "rep").join(found, "a"), "linked")
     least = linked_.groupBy("component").agg(F.min("rep").alias("least"))
