@@ -16,7 +16,10 @@ FLOOR, ACK_BONUS, MOST_SPANS = 0.5, 0.15, 12
 PRIORITY = ["approved_decision", "discussion_outcome", "implementation_intent", "proposal"]
 PURPOSES = ["decision", "open_question", "debugging", "announce", "status", "noise"]
 LOOK = 6
-_ORDER = Window.partitionBy("thread_id").orderBy("create_at", "id")
+
+
+def _order():
+    return Window.partitionBy("thread_id").orderBy("create_at", "id")
 
 
 def _choice(of: Column, values: list[str]) -> Column:
@@ -30,7 +33,7 @@ def read(posts: DataFrame) -> DataFrame:
     r = F.col("ready")
     return said.withColumns(
         {
-            "pos": F.row_number().over(_ORDER),
+            "pos": F.row_number().over(_order()),
             "decision": F.when(C.is_meta(r), F.array().cast("array<struct<rank:int,minus:double,cue:string,family:string,note:string,exact:boolean,key:string>>")).otherwise(C.matched(r, C.DECISION, asks=True, negated=True)),
             "rejected": C.matched(r, C.FAMILIES["rejected"]),
             "question": C.matched(r, C.FAMILIES["open_question"]),
@@ -47,8 +50,8 @@ def acknowledgements(said: DataFrame) -> DataFrame:
     three runs that follow, as the third is not by the second's author.
     """
     rows = said.select("thread_id", "id", "user_id", "create_at", "ack")
-    change = F.coalesce((F.lag("user_id").over(_ORDER) != F.col("user_id")).cast("int"), F.lit(1))
-    rows = rows.withColumn("run", F.sum(change).over(_ORDER))
+    change = F.coalesce((F.lag("user_id").over(_order()) != F.col("user_id")).cast("int"), F.lit(1))
+    rows = rows.withColumn("run", F.sum(change).over(_order()))
     first = F.row_number().over(Window.partitionBy("thread_id", "run").orderBy("create_at", "id"))
     runs = rows.withColumn("nth", first).groupBy("thread_id", "run").agg(
         F.first("user_id").alias("author"),
@@ -94,7 +97,7 @@ def brief_decisions(spans: DataFrame, most: int = 5) -> DataFrame:
 def antecedents(said: DataFrame, decisions: DataFrame, most: int = 2) -> DataFrame:
     """(decision_id, id, back): proposals and intents among the six posts before a short agreement or outcome, nearest first."""
     floated = C.decision_kind(F.col("ready"), _own(F.col("decision")), F.lit(False)).isin("proposal", "implementation_intent")
-    w = _ORDER.rowsBetween(-LOOK, -1)
+    w = _order().rowsBetween(-LOOK, -1)
     marked = said.withColumn("before", F.collect_list(F.when((F.size(_own(F.col("decision"))) > 0) & floated, F.struct("pos", "id"))).over(w))
     short = decisions.where(F.col("decision_kind").isin("approved_decision", "discussion_outcome") & (F.length(T.excerpt(F.col("message"))) <= 80)).select(F.col("id").alias("decision_id"))
     own = marked.join(short, marked["id"] == short["decision_id"], "left_semi").select(F.col("id").alias("decision_id"), F.posexplode(F.slice(F.reverse("before"), 1, most)).alias("back", "p"))
@@ -108,7 +111,7 @@ def _own(hit: Column) -> Column:
 
 def refinements(said: DataFrame, decisions: DataFrame, most: int = 2) -> DataFrame:
     """(decision_id, id, nth): posts that narrow a decision among the next six, before the next post that looks like a decision."""
-    w = _ORDER.rowsBetween(1, LOOK)
+    w = _order().rowsBetween(1, LOOK)
     ahead = said.withColumn("after", F.collect_list(F.struct("pos", "id", (F.size("decision") > 0).alias("stop"), (F.size("scope") > 0).alias("hit"))).over(w))
     stop = F.coalesce(F.array_min(F.transform(F.filter("after", lambda p: p["stop"]), lambda p: p["pos"])), F.lit(1 << 30))
     ahead = ahead.withColumn("stop_at", stop)
@@ -127,7 +130,7 @@ def open_questions(said: DataFrame, spans: DataFrame, decisions: DataFrame, subj
     named = F.array_contains(T.ticket_keys(F.col("message")), subject.upper()) if subject else F.lit(False)
     asked = asked.where(~bare | (C.is_asked(F.col("message")) & named))
     by_user = Window.partitionBy("thread_id", "user_id").orderBy("create_at", "id")
-    after = F.count(F.lit(1)).over(_ORDER.rowsBetween(1, Window.unboundedFollowing)) - F.count(F.lit(1)).over(by_user.rowsBetween(1, Window.unboundedFollowing))
+    after = F.count(F.lit(1)).over(_order().rowsBetween(1, Window.unboundedFollowing)) - F.count(F.lit(1)).over(by_user.rowsBetween(1, Window.unboundedFollowing))
     placed = said.select("id", "pos", "thread_id", "user_id", "create_at", after.alias("replies_after"), (F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("create_at"), F.desc("id"))) == 1).alias("last"))
     rows = asked.select("thread_id", "id", "create_at", "question_kind", "confidence", "cues").join(placed.select("id", "replies_after", "last"), "id")
     tail = F.col("last") if complete else F.lit(False)

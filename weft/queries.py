@@ -455,15 +455,6 @@ def packed_timeline(s, d):
     return packing.timeline(_packed(s, d))
 
 
-@query("""SELECT conversation_id, count(DISTINCT thread_id) AS threads, count(*) FILTER (delete_at = 0) AS live_posts, max(create_at) AS newest_at,
-  CASE WHEN (1704500000000 - max(create_at)) / 1000 > 300 THEN 'stale' ELSE 'current' END AS currency,
-  CASE WHEN count(*) FILTER (delete_at = 0 AND message LIKE '%approved%') > 0 THEN 'decided' WHEN count(*) FILTER (delete_at = 0 AND message LIKE '%unclear%') > 0 THEN 'open' ELSE 'thin' END AS adequacy FROM posts GROUP BY 1""")
-def evidence_status(s, d):
-    from weft.plans import evidence
-
-    return evidence.status(_posts(s, d), NOW_MS)
-
-
 @query("SELECT p.id, nullif(regexp_extract(x, '/pl/([a-z0-9]{26})(?:[/?#]|$)', 1), '') AS target FROM (SELECT id, 'https://h/t/pl/' || lpad(replace(id, '-', ''), 26, 'a') || CASE WHEN delete_at = 0 THEN '' ELSE 'zz' END AS x FROM posts) p")
 def permalinks(s, d):
     p = _posts(s, d).withColumn("x", F.concat(F.lit("https://h/t/pl/"), F.lpad(F.replace(F.col("id"), F.lit("-"), F.lit("")), 26, "a"), F.when(F.col("delete_at") == 0, "").otherwise("zz")))
@@ -540,4 +531,4 @@ def concept_hits(s, d):
     return rows.select("id", F.replace(F.col("token"), F.lit("zzconcept"), F.lit("")).alias("concept"))
 
 
-from weft import queries_brief, queries_evidence  # noqa: E402, F401
+from weft import queries_brief, queries_evidence, queries_lookups, queries_packets  # noqa: E402, F401
