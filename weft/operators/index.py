@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions import stems
 from weft.functions import text as T
 from weft.operators.retrieval import B, K1
 from weft.operators.writes import tombstones, versioned_upsert
@@ -19,15 +20,24 @@ POSTINGS = "token string, id string, thread_id string, conversation_id string, c
 _DOC_NAMES, _POSTING_NAMES = ([c.split()[0] for c in ddl.split(", ")] for ddl in (DOCS, POSTINGS))
 
 
-def posting_rows(docs: DataFrame) -> DataFrame:
-    """Postings of live posts with a text."""
-    toks = docs.where((F.col("delete_at") == 0) & (F.col("n_tokens") > 0)).select("id", "thread_id", "conversation_id", "create_at", F.col("n_tokens").alias("doc_len"), F.posexplode(T.tokens(F.col("message"))).alias("pos", "token"))
+STEM = "s:"
+
+
+def posting_rows(docs: DataFrame, concepts: dict[str, list[str]] | None = None) -> DataFrame:
+    """Postings of live posts with a text: tokens, stems of Cyrillic tokens (under "s:"), and the tokens of concepts that a text names."""
+    live = docs.where((F.col("delete_at") == 0) & (F.col("n_tokens") > 0)).select("id", "thread_id", "conversation_id", "create_at", F.col("n_tokens").alias("doc_len"), "message")
+    base = ["id", "thread_id", "conversation_id", "create_at", "doc_len"]
+    toks = live.select(*base, F.posexplode(T.tokens(F.col("message"))).alias("pos", "token"))
+    cyrillic = live.where(F.col("message").rlike("[а-яёА-ЯЁ]")).select(*base, F.posexplode(stems.stems(F.col("message"))).alias("pos", "token")).where(F.col("token").rlike("^[а-яё]+$"))
+    toks = toks.unionByName(cyrillic.withColumn("token", F.concat(F.lit(STEM), F.translate("token", "ё", "е"))))
+    if concepts:
+        toks = toks.unionByName(live.select(*base, F.lit(0).alias("pos"), F.explode(stems.concept_tokens(F.col("message"), concepts)).alias("token")))
     return toks.groupBy("token", "id", "thread_id", "conversation_id", "create_at", "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select(*_POSTING_NAMES)
 
 
 class PostIndex:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, concepts: dict[str, list[str]] | None = None):
+        self.spark, self.concepts = spark, concepts
         self.docs = BucketedTable(spark, f"{path.rstrip('/')}/docs", DOCS, buckets)
         self.table = BucketedTable(spark, f"{path.rstrip('/')}/postings", POSTINGS, buckets)
 
@@ -41,7 +51,7 @@ class PostIndex:
     def build(self, posts: DataFrame) -> PostIndex:
         every = range(self.docs.n)
         self.docs.commit(self._rows(posts), F.col("thread_id"), every)
-        self.table.commit(posting_rows(self.docs.read()), F.col("token"), every, self._totals())
+        self.table.commit(posting_rows(self.docs.read(), self.concepts), F.col("token"), every, self._totals())
         return self
 
     def _totals(self) -> dict:
@@ -58,7 +68,7 @@ class PostIndex:
         merged = versioned_upsert(self.docs.read(touched).withColumn("arrival", F.lit(0)).unionByName(rows)).select(*_DOC_NAMES)
         self.docs.commit(merged, F.col("thread_id"), touched)
         ids = rows.select("id").distinct()
-        fresh = posting_rows(self.docs.read(touched).join(ids, "id", "left_semi"))
+        fresh = posting_rows(self.docs.read(touched).join(ids, "id", "left_semi"), self.concepts)
         where = self.table.bucket(F.col("token"))
         stale = self.table.read().join(ids, "id", "left_semi")
         hit = [r[0] for r in stale.select(where).union(fresh.select(where)).distinct().collect()]
@@ -76,7 +86,9 @@ class PostIndex:
 
     def scored(self, tokens: list[str]) -> DataFrame:
         """(id, thread_id, conversation_id, create_at, token, score): the part of each token in a post's BM25, negative is better."""
-        hits = self.postings(tokens)
+        return self._bm25(self.postings(tokens))
+
+    def _bm25(self, hits: DataFrame) -> DataFrame:
         meta = self.table.manifest()["meta"]
         n, average = meta["n_docs"], meta["total_len"] / max(meta["n_docs"], 1)
         df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -85,6 +97,12 @@ class PostIndex:
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(average)))
         return hits.join(F.broadcast(idf), "token").select("id", "thread_id", "conversation_id", "create_at", "token", (-part).alias("score"))
 
+    def scored_phrase(self, words: list[str]) -> DataFrame:
+        """As scored(), with the phrase as one term."""
+        found = self.phrase(words).withColumnRenamed("n", "tf")
+        held = self.postings(words[:1]).select("id", "conversation_id", "create_at", "doc_len")
+        return self._bm25(found.join(held, "id").withColumn("token", F.lit(" ".join(words).lower())))
+
     def phrase(self, words: list[str]) -> DataFrame:
         """(id, thread_id, n): how often the words stand one behind the other."""
         words = [w.lower() for w in words]
