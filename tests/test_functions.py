@@ -102,3 +102,10 @@ def test_delimited():
     assert A.parse_delimited('a,"b ""x"",\n2"\nc,d\n') == ([["a", 'b "x",\n2'], ["c", "d"]], True)
     assert A.parse_delimited('a,"open')[1] is False
     assert [A.column_index(c) for c in ("A", "Z", "AA")] == [0, 25, 26]
+
+
+def test_every_kind_of_entity(spark):
+    text = "see https://github.com/acme/tool/pull/3, https://h/t/pl/abcdefghij0123456789abcdef repo: core/api service billing in src/app/main.py with @scope/pkg and run_it( x"
+    got = {(e["kind"], e["value"]) for e in one(spark, T.entities, text)}
+    assert got >= {("url", "https://github.com/acme/tool/pull/3"), ("permalink", "https://h/t/pl/abcdefghij0123456789abcdef"), ("repository", "acme/tool"), ("repository", "core/api"), ("service", "billing"), ("file_path", "src/app/main.py"), ("package", "@scope/pkg"), ("symbol", "run_it")}
+    assert "это" in T.STOP_WORDS and len(T.STOP_WORDS) == len(set(T.STOP_WORDS))

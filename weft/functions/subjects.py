@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 from weft.functions.text import STOP_WORDS
 
 TICKET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]+-[0-9]+(?![A-Za-z0-9_])")
+# Patterns of tickets, permalinks and post ids.
 PERMALINK = re.compile(r"/pl/([a-z0-9]{26})(?:[/?#]|$)", re.I)
 POST_ID = re.compile(r"[a-z0-9]{26}")
 MOST_TERMS, MOST_EXPANSIONS, MOST_SYNONYMS = 8, 24, 8

@@ -9,24 +9,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# English stop words.
-STOP_WORDS = ["a", "an", "and", "are", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with"]
-
+# English and Russian stop words, normalised.
+STOP_WORDS = (
+    "a an and are for from in is of on or the to with "
+    "без более был была были было быть вам вас весь все всего всех во вы где даже для до его ее если есть еще же за здесь или им их как ко когда кто ли либо мне может мы над надо наш не него нее нет ни но ну он от по под почему при про со так "
+    "также такой там тем того тоже только уже хотя чем что чтобы эта эти это"
+).split()
+# Patterns of tickets, addresses, permalinks and words, with ASCII borders.
 TICKET = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]+-[0-9]+(?![A-Za-z0-9_])"
 URL = r"(?i)https?://[^\s<>()]+"
+PERMALINK = r"(?i)/pl/([a-z0-9]{26})(?:[/?#]|$)"
+TRACKER = r"(?:tracker\.|jira\.|[^/\s]*\.(?:tracker|jira)\.|[^/\s]*youtrack|(?:[^/\s]*\.)?atlassian\.net)"
 WORD = r"[\p{L}\p{N}]+"
 QUERY_WORD = r"[\p{L}\p{N}_-]+"
-#: Patterns of entity kinds: (kind, pattern, group).
+# Patterns of entity kinds: (kind, pattern, group).
 ENTITY_PATTERNS = [
-    ("url", URL, 0),
     ("commit", r"(?i)(?<![A-Za-z0-9_])[0-9a-f]{7,40}(?![A-Za-z0-9_])", 0),
     ("pull_request", r"(?i)(?<![A-Za-z0-9_])(?:PR|MR)\s*[#!][0-9]{1,7}(?![A-Za-z0-9_])", 0),
-    ("error_code", r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+(?![A-Za-z0-9_])", 0),
+    ("file_path", r"(?iu)(?:^|[\s(\"'`])((?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+\.(?:[cm]?[jt]sx?|py|go|rs|java|kt|rb|php|cs|cpp|h|hpp|sql|ya?ml|json|toml|ini|conf|md))(?![\p{L}\p{N}_])", 1),
+    ("package", r"(?:^|\s)(@[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)(?=$|\s|[),.;:])", 1),
     ("symbol", r"`([A-Za-z_$][A-Za-z0-9_$.]{2,})`", 1),
+    ("symbol", r"(?<![A-Za-z0-9_])([A-Za-z_$][A-Za-z0-9_$]{2,})\s*\(", 1),
+    ("error_code", r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+(?![A-Za-z0-9_])", 0),
     ("username", r"(?:^|\s)@([A-Za-z0-9._-]{2,64})(?![A-Za-z0-9_])", 1),
-    ("package", r"(?:^|\s)(@[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)(?=$|\s|[),.;:])", 1),
-    ("ticket", TICKET, 0),
+    ("repository", r"(?iu)(?:^|[\s(])(?:repo(?:sitory)?|репозитор(?:ий|ия))\s*[:=]?\s*([A-Za-z0-9][A-Za-z0-9_./-]{1,100})", 1),
+    ("service", r"(?iu)(?:^|[\s(])(?:service|сервис)\s*[:=]?\s*([A-Za-z0-9][A-Za-z0-9_./-]{1,100})", 1),
 ]
+CODE_HOST = r"(?i)^https?://[^/]*(?:github\.com|gitlab\.)[^/]*/+([^/?#]+)/+([^/?#]+)"
 # Phrases whose values are blanked, applied in this order.
 SECRETS = [
     (r"(?iu)(password|passwd|пароль|pass)\s*[:=]\s*\S+", "$1: [REDACTED]"),
@@ -73,22 +82,27 @@ def contains_exact(text: Column, needle: str) -> Column:
 
 def ticket_keys(text: Column) -> Column:
     """Distinct upper-case ticket keys in order; URLs outside of trackers are masked first."""
-    masked = F.regexp_replace(text, r"(?i)https?://(?!tracker\.|jira\.|[^/\s]*\.(?:tracker|jira)\.|[^/\s]*youtrack|(?:[^/\s]*\.)?atlassian\.net)[^\s<>()]+", " ")
+    masked = F.regexp_replace(text, rf"(?i)https?://(?!{TRACKER})[^\s<>()]+", " ")
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(TICKET), F.lit(0)), F.upper)))
 
 
 def permalink_id(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"(?i)/pl/([a-z0-9]{26})(?:[/?#]|$)", 1))
+    return F.lower(F.regexp_extract(text, PERMALINK, 1))
+
+
+def urls(text: Column) -> Column:
+    """Addresses without the punctuation behind them."""
+    return F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?\])}]+$", ""))
 
 
 def entities(text: Column) -> Column:
-    """Array of (kind, value) of all patterns, in order of kind, with repeats."""
-    lists = []
+    """Array of (kind, value) of all kinds, with repeats: addresses and permalinks, repositories, tickets, and what the patterns name."""
+    found = urls(text)
+    link = F.transform(found, lambda u: F.struct(F.when(u.rlike(PERMALINK), "permalink").otherwise("url").alias("kind"), u.alias("value")))
+    hosted = F.transform(F.filter(found, lambda u: u.rlike(CODE_HOST)), lambda u: F.struct(F.lit("repository").alias("kind"), F.concat(F.regexp_extract(u, CODE_HOST, 1), F.lit("/"), F.regexp_extract(u, CODE_HOST, 2)).alias("value")))
+    lists = [link, hosted, F.transform(ticket_keys(text), _tagged("ticket"))]
     for kind, pattern, group in ENTITY_PATTERNS:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        if kind == "url":
-            found = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?\])}]+$", ""))
-        lists.append(F.transform(found, _tagged(kind)))
+        lists.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), _tagged(kind)))
     return F.concat(*lists)
 
 
@@ -151,4 +165,4 @@ def csv_field(text: Column, delimiter: str = ",") -> Column:
 
 def file_kind(name: Column) -> Column:
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(ext.isin("png", "jpg", "jpeg", "gif", "webp"), "image").when(ext.isin("csv", "tsv", "json", "xlsx", "xml"), "data").when(ext.isin("mp3", "mp4", "wav", "mov"), "media").otherwise("other")
+    return F.when(ext.isin("png", "jpg", "jpeg", "gif", "webp"), "image").when(ext.isin("csv", "tsv", "xlsx", "xls", "ods", "json", "ndjson", "log", "sql", "txt"), "data").when(ext.isin("mp3", "mp4", "wav", "mov"), "media").otherwise("other")

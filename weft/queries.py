@@ -145,14 +145,26 @@ def ticket_keys(s, d):
     return _posts(s, d).select("id", F.array_join(T.ticket_keys(F.col("message")), ",").alias("ticket_keys"))
 
 
-@query(r"""SELECT doc_id, kind, count(*) AS n, min(v) AS first_value FROM (
-  SELECT doc_id, 'commit' AS kind, unnest(regexp_extract_all(text, '(?i)\b[0-9a-f]{7,40}\b')) AS v FROM documents
+_MASKED = r"regexp_replace(text, '(?i)https?://[^\s<>()]+', ' ', 'g')"
+
+
+@query(rf"""SELECT doc_id, kind, count(DISTINCT lower(trim(v))) AS n, min(lower(trim(v))) AS first_value FROM (
+  SELECT doc_id, 'commit' AS kind, unnest(regexp_extract_all(text, '(?i)\b[0-9a-f]{{7,40}}\b')) AS v FROM documents
   UNION ALL SELECT doc_id, 'error_code', unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b')) FROM documents
-  UNION ALL SELECT doc_id, 'symbol', unnest(regexp_extract_all(text, '`([A-Za-z_$][A-Za-z0-9_$.]{2,})`', 1)) FROM documents
-  UNION ALL SELECT doc_id, 'ticket', unnest(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9]+-[0-9]+\b')) FROM documents) GROUP BY 1, 2""", posts=False)
+  UNION ALL SELECT doc_id, 'symbol', unnest(regexp_extract_all(text, '`([A-Za-z_$][A-Za-z0-9_$.]{{2,}})`', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'symbol', unnest(regexp_extract_all(text, '\b([A-Za-z_$][A-Za-z0-9_$]{{2,}})\s*\(', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'url', regexp_replace(unnest(regexp_extract_all(text, '(?i)https?://[^\s<>()]+')), '[.,;:!?\])}}]+$', '') FROM documents
+  UNION ALL SELECT doc_id, 'pull_request', unnest(regexp_extract_all(text, '(?i)\b(?:PR|MR)\s*[#!][0-9]{{1,7}}\b')) FROM documents
+  UNION ALL SELECT doc_id, 'username', unnest(regexp_extract_all(text, '(?:^|\s)@([A-Za-z0-9._-]{{2,64}})\b', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'file_path', unnest(regexp_extract_all(text, '(?i)(?:^|[\s("''`])((?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+\.(?:[cm]?[jt]sx?|py|go|rs|java|kt|rb|php|cs|cpp|h|hpp|sql|ya?ml|json|toml|ini|conf|md))\b', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'repository', unnest(regexp_extract_all(text, '(?i)(?:^|[\s(])(?:repo(?:sitory)?|репозитор(?:ий|ия))\s*[:=]?\s*([A-Za-z0-9][A-Za-z0-9_./-]{{1,100}})', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'service', unnest(regexp_extract_all(text, '(?i)(?:^|[\s(])(?:service|сервис)\s*[:=]?\s*([A-Za-z0-9][A-Za-z0-9_./-]{{1,100}})', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'package', unnest(regexp_extract_all(text, '(?:^|\s)(@[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)(?:$|\s|[),.;:])', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'ticket', unnest(regexp_extract_all({_MASKED}, '\b[A-Za-z][A-Za-z0-9]+-[0-9]+\b')) FROM documents) GROUP BY 1, 2""", posts=False)
 def entities_extract(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(T.entities(F.coalesce("text", F.lit("")))).alias("e"))
-    return docs.where(F.col("e.kind").isin("commit", "error_code", "symbol", "ticket")).groupBy("doc_id", F.col("e.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("e.value").alias("first_value"))
+    rows = docs.select("doc_id", F.col("e.kind").alias("kind"), F.lower(F.trim("e.value")).alias("v"))
+    return rows.groupBy("doc_id", "kind").agg(F.count_distinct("v").alias("n"), F.min("v").alias("first_value"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(r) > 240 THEN left(r, 239) || '…' ELSE r END AS excerpt FROM (SELECT doc_id,
