@@ -263,26 +263,32 @@ def _leaders_here(salts: int):
         from pyspark import TaskContext
 
         salt = 1 + TaskContext.get().partitionId() % salts
-        for batch in batches:
-            ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            blobs = batch.column(2).to_pylist()
-            sets_ = [np.frombuffer(t, np.uint64) for t in blobs]
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            for seed in _SEEDS:
-                by: dict[int, list[int]] = {}
-                for r in order:
-                    by.setdefault(int(mix(sets_[r] ^ seed).min().view(np.int64)), []).append(r)
-                out: list[tuple] = []
-                for key, own in by.items():
-                    leaders: list[tuple] = []
-                    for r in own:
-                        leader = _follow(ids[r], sizes[r], sets_[r], leaders)
-                        if leader is not None:
-                            out.append((ids[r], 0, ids[r], sizes[r], None, leader))
-                        elif len(leaders) < LEADERS:
-                            leaders.append((ids[r], sizes[r], sets_[r]))
-                            out.append((key, salt if len(own) >= SALTED else 0, ids[r], sizes[r], blobs[r], None))
-                yield _led_rows(out)
+        for whole in batches:
+            for lo, hi in slices(as_bytes(whole.column(2))[1], 4 << 20):  # views of the batch, so that little is held beside it
+                batch = whole.slice(lo, hi - lo)
+                raw, at = as_bytes(batch.column(2))
+                ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                sets_ = [raw[a:b].view(np.uint64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                for seed in _SEEDS:
+                    by: dict[int, list[int]] = {}
+                    for r in order:
+                        by.setdefault(int(mix(sets_[r] ^ seed).min().view(np.int64)), []).append(r)
+                    links, lead, keys, dealt = [], [], [], []
+                    for key, own in by.items():
+                        leaders: list[tuple] = []
+                        for r in own:
+                            leader = _follow(ids[r], sizes[r], sets_[r], leaders)
+                            if leader is not None:
+                                links.append((ids[r], 0, ids[r], sizes[r], None, leader))
+                            elif len(leaders) < LEADERS:
+                                leaders.append((ids[r], sizes[r], sets_[r]))
+                                lead.append(r)
+                                keys.append(key)
+                                dealt.append(salt if len(own) >= SALTED else 0)
+                    yield _led_rows(links)
+                    some = batch.take(pa.array(lead, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(dealt, pa.int32()), *some.columns, pa.nulls(len(lead), pa.int64())], schema=_LED)
 
     return run
 
