@@ -59,12 +59,12 @@ def test_stems_concepts_prefixes_and_typos_are_found(index):
 
 
 def test_the_weak_pass_asks_only_for_uncovered_terms(index):
-    probes = [probe("gateway nonsuch"), Probe("vpn", "generic", (), ("vpn",), (("vpn", "tunnel", "synonym"),))]
+    probes = [probe("gateway nullword"), Probe("vpn", "generic", (), ("vpn",), (("vpn", "tunnel", "synonym"),))]
     strong = channels.strong_requests(probes)
     covered = channels.coverage(strong, channels.run(index, strong), probes)
     assert covered == {0: {"gateway"}}
     weak = channels.weak_requests(probes, covered, first=len(strong))
-    assert {(r.channel, r.source, r.value) for r in weak} == {("trigram", "trigram", "nonsuch"), ("term_fts", "synonym", "tunnel")}
+    assert {(r.channel, r.source, r.value) for r in weak} == {("trigram", "trigram", "nullword"), ("term_fts", "synonym", "tunnel")}
     assert channels.retrieve(index, probes, strong_ticket=True).where("source = 'synonym'").count() == 0
 
 

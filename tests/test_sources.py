@@ -3,6 +3,7 @@ import json
 import pytest
 
 from weft.plans import benchmark
+from weft.operators.index import PostIndex
 from weft.plans.search import search
 from weft.sources import downloads, paged
 
@@ -62,8 +63,9 @@ FIXTURE = {
 }
 
 
-def test_benchmark_floors(spark):
-    got = benchmark.means(benchmark.run(spark, benchmark.load_fixture(json.dumps(FIXTURE)), search)).first()
+def test_benchmark_floors(spark, tmp_path):
+    build = lambda posts: PostIndex(spark, str(tmp_path), 2).build(posts)
+    got = benchmark.means(benchmark.run(spark, benchmark.load_fixture(json.dumps(FIXTURE)), search, prepare=build)).first()
     assert got["recall"] >= 0.85 and got["rr"] >= 0.8 and got["ndcg"] >= 0.8
 
 

@@ -41,12 +41,15 @@ def fixture_posts(spark: SparkSession, fixture: dict) -> DataFrame:
     return spark.createDataFrame(rows, "id string, root_id string, thread_id string, conversation_id string, user_id string, create_at long, update_at long, delete_at long, message string")
 
 
-def run(spark: SparkSession, fixture: dict, search: Callable[[DataFrame, str, list[str]], DataFrame], k: int = 10) -> DataFrame:
-    """(case, recall, rr, ndcg) of a search function on every case; expected threads that are not found have the last rank."""
-    posts = fixture_posts(spark, fixture)
+def run(spark: SparkSession, fixture: dict, search: Callable[..., DataFrame], k: int = 10, prepare: Callable[[DataFrame], object] = lambda posts: posts) -> DataFrame:
+    """(case, recall, rr, ndcg) of a search function on every case; expected threads that are not found have the last rank.
+
+    search takes what prepare makes of the posts (an index, say), a subject and terms.
+    """
+    source = prepare(fixture_posts(spark, fixture))
     rows = []
     for c in fixture["cases"]:
-        found = [r["thread_id"] for r in search(posts, c["subject"], c.get("queries", [])).select("thread_id").collect()]
+        found = [r["thread_id"] for r in search(source, c["subject"], c.get("queries", [])).select("thread_id").collect()]
         grades = {t["threadId"]: t["grade"] for t in c["expectedThreads"]}
         rows += [(c["id"], i + 1, grades.pop(t, 0)) for i, t in enumerate(found)]
         rows += [(c["id"], 10_000 + i, g) for i, g in enumerate(grades.values())]
