@@ -51,6 +51,8 @@ PERCENT = 75
 GROUP_KEYS, LEADERS, CHUNK = 2, 32, 256
 #: Documents of one key in a batch from which on its leaders are dealt out by salt.
 SALTED = 8
+#: Tokens that a task packs at once.
+SENT = 1 << 20
 TOKENS, HEADS = 1, 0
 _TOKEN_TYPES = ("i8", "i4", "u8")
 _BACK_TYPES = ("i8", "u8", "u1")
@@ -98,17 +100,22 @@ def _tokens(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = as_bytes(batch.column(0))
-            found = []
+            found, size = [], 0
             for lo, hi in slices(offsets):
                 hashes, places = sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                found.append((hashes, np.diff(places), *set_marks(hashes, places)))
-            if not found:
-                continue
-            hashes, counts, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            keep = np.zeros(len(a), bool)
-            keep[np.unique(a, return_index=True)[1]] = True  # of equal sets in a batch one speaks for all
-            hashes, doc = hashes[np.repeat(keep, counts)], np.repeat(a[keep], counts[keep])
-            yield from _runs(hashes, doc, n)
+                found.append((hashes, np.diff(places), set_marks(hashes, places)[0]))
+                size += len(hashes)
+                if size >= SENT:
+                    yield from sent(found)
+                    found, size = [], 0
+            if found:
+                yield from sent(found)
+
+    def sent(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, a = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = np.zeros(len(a), bool)
+        keep[np.unique(a, return_index=True)[1]] = True  # of equal sets one speaks for all
+        yield from _runs(hashes[np.repeat(keep, counts)], np.repeat(a[keep], counts[keep]), n)
 
     return run
 
@@ -446,7 +453,7 @@ def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, t, n, least): each row's key, 64-bit text hash and set size, and the smallest (id, t) of its component."""
     base = docs.select(named(key).alias("id"), F.xxhash64(named(text)).alias("t"), named(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    n = buckets(docs)
+    n = 2 * buckets(docs)  # a bucket's tokens are sorted in several arrays at once
     heads = cut(base.mapInArrow(_sizes, f"id {kind}, t bigint, n bigint, a bigint, b bigint"), "sizes")
     held = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = heads.where(held).groupBy("a", "b").agg(F.min(F.struct("id", "t")).alias("rep"), F.max("n").alias("n"))
