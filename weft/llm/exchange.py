@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import give_back
+
 PACKED = "bucket int, kind int, blob binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 #: Estimated input bytes for each bucket, if the session asks for fewer shuffle partitions.
@@ -56,6 +58,7 @@ def pack(columns: Sequence[np.ndarray]) -> bytes:
 
 
 def unpack(blob: bytes, types: Sequence[str]) -> list[np.ndarray]:
+    give_back()
     lengths = np.frombuffer(blob, np.int64, len(types))
     at, out = 8 * len(types), []
     for kind, n in zip(types, lengths, strict=True):

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .memory import give_back
+
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20_240_517))
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -50,6 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its len + 1 offsets into them; null rows are empty."""
+    give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
