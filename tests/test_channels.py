@@ -61,7 +61,7 @@ def test_stems_concepts_prefixes_and_typos_are_found(index):
 def test_the_weak_pass_asks_only_for_uncovered_terms(index):
     probes = [probe("gateway nullword"), Probe("vpn", "generic", (), ("vpn",), (("vpn", "tunnel", "synonym"),))]
     strong = channels.strong_requests(probes)
-    covered = channels.coverage(strong, channels.run(index, strong), probes)
+    covered = channels.coverage(strong, {r["request"] for r in channels.run(index, strong).collect()}, probes)
     assert covered == {0: {"gateway"}}
     weak = channels.weak_requests(probes, covered, first=len(strong))
     assert {(r.channel, r.source, r.value) for r in weak} == {("trigram", "trigram", "nullword"), ("term_fts", "synonym", "tunnel")}

@@ -9,13 +9,19 @@ from weft.functions import text as T
 from weft.operators import ranking, retrieval
 from weft.operators.index import PostIndex
 
-MOST_HITS = 100
-_open: dict[tuple[str, str], PostIndex] = {}
+_open: dict[tuple[str, str, str], PostIndex] = {}
 
 
-def opened(spark: SparkSession, name: str, path: str, posts) -> PostIndex:
-    """The index under a path, built from posts() if there is none; held by name for the session."""
-    key = (spark.sparkContext.applicationId, name)
+def state(spark: SparkSession, path: str) -> str:
+    """What tells a changed file or folder from what it was: its files' names, sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
+def opened(spark: SparkSession, name: str, source: str, path: str, posts) -> PostIndex:
+    """The index under a path, built from posts() if there is none; held by name for the session, as long as the source is what it was."""
+    key = (spark.sparkContext.applicationId, name, state(spark, source))
     if key not in _open:
         index = PostIndex(spark, path)
         _open[key] = index if index.built else index.build(posts())
@@ -45,6 +51,6 @@ def search(index: PostIndex, subject: str, terms: list[str], limit: int = 10) ->
     first = hits.groupBy("probe", "source", "thread_id").agg(F.min(F.struct(F.round("score", 9).alias("score"), "id")).alias("first"))
     order = Window.partitionBy("probe", "source").orderBy("first")
     fused = retrieval.fuse(first.withColumn("rank", F.row_number().over(order))).withColumn("fusion", F.round("fusion", 9))
-    docs = index.docs.read().where("delete_at = 0").join(fused.select("thread_id"), "thread_id", "left_semi")
+    docs = index.table("docs").where("delete_at = 0").join(fused.select("thread_id"), "thread_id", "left_semi")
     features = ranking.thread_features(docs, T.contains_exact(F.lower("message"), subject.lower()), [t.lower() for t in terms])
     return ranking.rank(features.join(fused, "thread_id"), limit)

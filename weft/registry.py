@@ -62,7 +62,7 @@ def _posts(s, d):
 
 def _index(s, d):
     """The stored index over the derived posts: built once for a session and folder, in the shared folder if the session names one."""
-    return opened(s, d, f"{scratch(s)}/index-{uuid.uuid4().hex}", lambda: _posts(s, d))
+    return opened(s, d, f"{d}/conversations.parquet", f"{scratch(s)}/index-{uuid.uuid4().hex}", lambda: _posts(s, d))
 
 
 def scratch(s) -> str:

@@ -22,7 +22,7 @@ class UpsertTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "id", buckets: int = 16):
         self.key, self.schema = key, schema
-        self.table = BucketedTable(spark, path, schema, buckets)
+        self.table = BucketedTable(spark, path, schema, key, buckets)
 
     def read(self) -> DataFrame:
         return self.table.read()
@@ -30,11 +30,9 @@ class UpsertTable:
     def upsert(self, batch: DataFrame, _epoch: int = 0) -> None:
         """For foreachBatch: only buckets with a row of the batch are written anew. Repeating a batch changes nothing."""
         rows = batch.select(*self.schema.names)
-        # At most as many rows as there are buckets.
-        touched = [r[0] for r in rows.select(self.table.bucket(F.col(self.key))).distinct().collect()]
+        touched = self.table.touched(rows)
         if touched:
-            merged = versioned_upsert(self.table.read(touched).unionByName(rows), self.key)
-            self.table.commit(merged, F.col(self.key), touched)
+            self.table.commit(versioned_upsert(self.table.read(touched).unionByName(rows), self.key), touched)
 
 
 def replay(spark: SparkSession, source: str, schema: StructType, project, table: UpsertTable, checkpoint: str, files_a_batch: int = 1) -> None:
@@ -59,7 +57,7 @@ def too_many(n_rows: int, most: int = MOST_DELTA) -> bool:
 def delta(posts: DataFrame, state: DataFrame, now_ms: int, overlap_ms: int = 30_000, history_ms: int = 365 * 86_400_000) -> DataFrame:
     """(posts columns): what each conversation reads anew by its checkpoint; state: (conversation_id, last_success_at). Unknown conversations read the bounded history."""
     since = F.greatest(F.lit(0), F.coalesce(F.col("last_success_at") - overlap_ms, F.lit(now_ms - history_ms)))
-    return posts.join(F.broadcast(state.select("conversation_id", "last_success_at")), "conversation_id", "left").where(F.greatest("create_at", "update_at", "delete_at") >= since).select(*posts.columns)
+    return posts.join(state.select("conversation_id", "last_success_at"), "conversation_id", "left").where(F.greatest("create_at", "update_at", "delete_at") >= since).select(*posts.columns)
 
 
 def refused(changes: DataFrame, most: int = MOST_DELTA) -> DataFrame:
