@@ -227,6 +227,9 @@ class PostIndex:
         """Documents of these threads, from their buckets alone."""
         return self._lookup("docs", ids)
 
+    def edges(self, ticket: str) -> DataFrame:
+        return self._lookup("edges", [ticket.upper()])
+
     def entities(self, kind: str, value: str) -> DataFrame:
         return self._lookup("entities", [value.lower()]).where(F.col("kind") == kind)
 

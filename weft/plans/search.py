@@ -1,13 +1,14 @@
-"""The search plan: probes to channels to fusion to ranked threads, over the stored index."""
+"""The search plan: probes to channels to fusion to threads ranked by their evidence, over the stored index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.functions import text as T
-from weft.operators import ranking, retrieval
+from weft.functions import subjects
+from weft.operators import evidence, ranking
 from weft.operators.index import PostIndex
+from weft.plans import channels
 
 _open: dict[tuple[str, str, str], PostIndex] = {}
 
@@ -28,29 +29,44 @@ def opened(spark: SparkSession, name: str, source: str, path: str, posts) -> Pos
     return _open[key]
 
 
-def channel_hits(index: PostIndex, subject: str, terms: list[str]) -> DataFrame:
-    """(id, thread_id, probe, source, score): the subject as a phrase, each term, and the terms' union."""
-    words = [w for w in (x.lower() for x in subject.replace("-", " ").split()) if w]
-    exact = index.phrase(words).select("id", "thread_id", F.lit(0).alias("probe"), F.lit("exact_phrase").alias("source"), (-F.col("n")).cast("double").alias("score"))
-    scored = index.scored(terms)
-    number = F.create_map(*[F.lit(x) for i, t in enumerate(dict.fromkeys(t.lower() for t in terms)) for x in (t, i + 1)])
-    # One pass over the postings of all terms serves every term's channel and their union.
-    both = F.array(F.struct(number[F.col("token")].alias("probe"), F.lit("term_fts").alias("source")), F.struct(F.lit(len(terms) + 1).alias("probe"), F.lit("broad_fts").alias("source")))
-    union = scored.select("id", "thread_id", "score", F.explode(both).alias("c")).groupBy("id", "thread_id", "c.probe", "c.source").agg(F.sum("score").alias("score"))
-    return exact.unionByName(union.select("id", "thread_id", "probe", "source", "score"))
+def subject_of(subject: str, queries: list[str] = ()) -> tuple[subjects.Subject, list[subjects.Probe]]:
+    """What is searched for and its probes."""
+    classified = subjects.classify(subject)
+    return classified, subjects.resolve(classified, queries)
 
 
-def search(index: PostIndex, subject: str, terms: list[str], limit: int = 10) -> DataFrame:
-    """(thread_id, features, fusion) of the best threads for a subject and its terms.
+def fused_batch(index: PostIndex, batch: list[tuple[str, list[str]]], limit: int = 10) -> DataFrame:
+    """(subject, thread_id, fusion, sources, place): the best threads by fusion of each subject (text, further queries), all in one plan."""
+    fused = channels.fusion(channels.contributions(channels.retrieve_batch(index, [channels.Subject(subject_of(*x)[1]) for x in batch])))
+    place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc(F.round("fusion", 9)), "thread_id"))
+    return fused.withColumn("place", place).where(F.col("place") <= limit)
 
-    Each channel's hits are ranked by thread, and fusion takes the best of each probe and
-    channel. Features are computed for matching threads alone: texts are read of hits
-    only, of other posts the lengths and times.
+
+def candidates(index: PostIndex, subject: str, queries: list[str] = (), routed: DataFrame | None = None) -> DataFrame:
+    """Rows of evidence.vectors() for the threads that retrieval finds for a subject.
+
+    Hits are at most MOST_HITS a request, so their threads' ids reach the driver, and only the
+    buckets of those threads are read. A ticket whose edges the index holds needs no weak pass.
     """
-    hits = channel_hits(index, subject, terms)
-    first = hits.groupBy("probe", "source", "thread_id").agg(F.min(F.struct(F.round("score", 9).alias("score"), "id")).alias("first"))
-    order = Window.partitionBy("probe", "source").orderBy("first")
-    fused = retrieval.fuse(first.withColumn("rank", F.row_number().over(order))).withColumn("fusion", F.round("fusion", 9))
-    docs = index.table("docs").where("delete_at = 0").join(fused.select("thread_id"), "thread_id", "left_semi")
-    features = ranking.thread_features(docs, T.contains_exact(F.lower("message"), subject.lower()), [t.lower() for t in terms])
-    return ranking.rank(features.join(fused, "thread_id"), limit)
+    what, probes = subject_of(subject, queries)
+    ticket = what.value if what.kind == "ticket" else None
+    edges = index.edges(ticket) if ticket else None
+    hits = channels.retrieve_batch(index, [channels.Subject(probes, edges is not None and not edges.isEmpty())])
+    rows = [(r["request"], r["probe"], r["source"], r["query"], r["id"], r["thread_id"], r["score"], r["rank"], r["subject"]) for r in hits.collect()]
+    spark = index.spark
+    hits = spark.createDataFrame(rows, channels.HITS)
+    docs = index.threads(sorted({r[5] for r in rows}))
+    shown = evidence.thread_evidence(docs, probes, ticket)
+    metrics = structured = None
+    if ticket:
+        marked = docs.join(spark.createDataFrame(sorted({(r[4],) for r in rows}), "id string").withColumn("hit", F.lit(True)), "id", "left")
+        metrics = evidence.ticket_metrics(evidence.coverage(marked, ticket, F.coalesce("hit", F.lit(False))), ticket)
+        structured = edges.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"))
+    everywhere = docs.select(F.col("conversation_id").alias("id")).distinct().withColumns({"weight": F.lit(1), "priority": F.lit(0)})
+    fused = channels.fusion(channels.contributions(hits)).select("thread_id", F.round("fusion", 9).alias("fusion"))
+    return evidence.vectors(shown, metrics, everywhere if routed is None else routed, fused, structured)
+
+
+def search(index: PostIndex, subject: str, queries: list[str] = (), limit: int = 10, routed: DataFrame | None = None) -> DataFrame:
+    """The best threads by the full score vector."""
+    return ranking.order(candidates(index, subject, queries, routed), limit).select("thread_id", *ranking.FULL_VECTOR)

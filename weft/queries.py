@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.operators import metrics, ranking, retrieval, routing, sequences, threads, writes
-from weft.plans.search import search
-from weft.registry import NOW_MS, QUERIES, SQL, _index, _live, _posts, query
+from weft.registry import NOW_MS, QUERIES, SQL, _live, _posts, query
 from weft.sources import tables
 
 # --- lookups, joins, filters ----------------------------------------------------------
@@ -292,25 +291,6 @@ def match_dedupe(s, d):
     return retrieval.dedupe_matches(ranked)
 
 
-def _part(terms: list[str]) -> str:
-    inside = ", ".join(f"'{t}'" for t in terms)
-    return f"""pt AS (SELECT id, thread_id, token, -(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))) AS part FROM (SELECT id, token, count(*)::DOUBLE AS tf FROM toks WHERE token IN ({inside}) GROUP BY 1, 2)
-      JOIN (SELECT token, CASE WHEN x <= 0 THEN 1e-6 ELSE x END AS idf FROM (SELECT token, ln(((SELECT count(*) FROM live) - count(DISTINCT id) + 0.5) / (count(DISTINCT id) + 0.5)) AS x FROM toks WHERE token IN ({inside}) GROUP BY 1)) USING (token)
-      JOIN (SELECT id, thread_id, len(regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}]+')) AS n, avg(len(regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}]+'))) OVER () AS avg_len FROM live) USING (id))"""
-
-
-@query(f""", {_part(["approved", "unclear"])},
-  ch AS (SELECT a.id, thread_id, 0 AS probe, 'exact_phrase' AS source, -count(*)::DOUBLE AS score FROM toks a JOIN toks b ON a.id = b.id AND b.pos = a.pos + 1 JOIN live l ON l.id = a.id WHERE a.token = 'proj' AND b.token = '1' GROUP BY 1, 2
-    UNION ALL SELECT id, thread_id, CASE token WHEN 'approved' THEN 1 ELSE 2 END, 'term_fts', part FROM pt UNION ALL SELECT id, thread_id, 3, 'broad_fts', sum(part) FROM pt GROUP BY 1, 2),
-  fu AS (SELECT thread_id, round(sum(CASE source WHEN 'exact_phrase' THEN 1.0 WHEN 'term_fts' THEN 0.75 ELSE 0.55 END / (60 + rank)), 9)::DOUBLE AS fusion FROM (
-    SELECT thread_id, source, row_number() OVER (PARTITION BY probe, source ORDER BY min((round(score, 9), id))) AS rank FROM ch GROUP BY thread_id, probe, source) GROUP BY 1),
-  fe AS (SELECT thread_id, max((named AND id = thread_id)::INT) AS subject_in_root, max((named AND id <> thread_id)::INT) AS subject_in_reply, max(a)::INT + max(u)::INT AS matched_terms, least(5, count(*) FILTER (n >= 6))::INT AS depth, max(create_at) AS latest_at
-    FROM (SELECT *, regexp_matches(lower(message), '(^|[^\\p{{L}}\\p{{N}}_])proj-1($|[^\\p{{L}}\\p{{N}}_])') AS named, list_contains(w, 'approved')::INT AS a, list_contains(w, 'unclear')::INT AS u, len(w) AS n FROM (SELECT *, regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}]+') AS w FROM live)) GROUP BY 1)
-  SELECT thread_id, subject_in_root, subject_in_reply, matched_terms, depth, latest_at, fusion FROM fe JOIN fu USING (thread_id) ORDER BY subject_in_root DESC, subject_in_reply DESC, matched_terms DESC, fusion DESC, depth DESC, latest_at DESC, thread_id LIMIT 10""")
-def thread_search(s, d):
-    return search(_index(s, d), "PROJ-1", ["approved", "unclear"])
-
-
 # --- routing --------------------------------------------------------------------------
 
 
@@ -543,4 +523,4 @@ def concept_hits(s, d):
     return rows.select("id", F.replace(F.col("token"), F.lit("zzconcept"), F.lit("")).alias("concept"))
 
 
-from weft import queries_brief, queries_evidence, queries_lookups, queries_packets, queries_views  # noqa: E402, F401
+from weft import queries_brief, queries_evidence, queries_lookups, queries_packets, queries_search, queries_views  # noqa: E402, F401

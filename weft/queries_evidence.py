@@ -13,10 +13,13 @@ SUBJECT = "PROJ-1"
 PROBES = [Probe("still unclear", "generic", (), ("still", "unclear")), Probe("ops proj", "generic", (), ("ops", "proj")), Probe("approved", "generic", (), ("approved",))]
 _SAYS = r"regexp_matches(lower(message), '(^|[^\p{{L}}\p{{N}}_]){0}($|[^\p{{L}}\p{{N}}_])')"
 
-#: Segments: cov (coverage, radius 1), tm (metrics).
-SEGMENTS = f""", pk AS (SELECT p.*, count(*) OVER (PARTITION BY thread_id) AS n, id IN (SELECT id FROM keys WHERE ticket_key = '{SUBJECT}') AS ticket, message LIKE '%approved%' AS m FROM placed p),
+
+
+def _segments(match: str, ticket_radius: int, match_radius: int) -> str:
+    """Segments: cov (coverage), tm (metrics)."""
+    return f""", pk AS (SELECT p.*, count(*) OVER (PARTITION BY thread_id) AS n, id IN (SELECT id FROM keys WHERE ticket_key = '{SUBJECT}') AS ticket, {match} AS m FROM placed p),
 pe AS (SELECT *, m AND NOT ticket AS match, min(CASE WHEN ticket THEN pos END) OVER (PARTITION BY thread_id) AS f, max(CASE WHEN ticket THEN pos END) OVER (PARTITION BY thread_id) AS l FROM pk),
-cov AS (SELECT *, CASE WHEN f = 1 AND l = 1 OR pos BETWEEN f - 1 AND l + 1 THEN 'ticket' WHEN max(match::INT) OVER (PARTITION BY thread_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 THEN 'match' END AS kind FROM pe),
+cov AS (SELECT *, CASE WHEN f = 1 AND l = 1 OR pos BETWEEN f - {ticket_radius} AND l + {ticket_radius} THEN 'ticket' WHEN max(match::INT) OVER (PARTITION BY thread_id ORDER BY pos ROWS BETWEEN {match_radius} PRECEDING AND {match_radius} FOLLOWING) = 1 THEN 'match' END AS kind FROM pe),
 oc AS (SELECT thread_id, ticket_key, count(*) AS c FROM keys WHERE ticket_key <> '{SUBJECT}' GROUP BY 1, 2),
 tm0 AS (SELECT thread_id, count(*) AS posts, count(kind) AS window_posts, count(*) FILTER (ticket) AS subject_mentions, coalesce(any_value(o.other), 0)::BIGINT AS other_mentions, coalesce(bool_or(ticket AND pos = 1), false) AS ticket_in_root, coalesce(bool_or(f = 1 AND l = 1), false) AS root_anchored, any_value(o.dominant_other) AS dominant_other
   FROM cov LEFT JOIN (SELECT thread_id, sum(c) AS other, arg_min(ticket_key, (-c, ticket_key)) AS dominant_other FROM oc GROUP BY 1) o USING (thread_id) GROUP BY 1),
@@ -25,6 +28,9 @@ tm AS (SELECT *, round(window_posts / posts, 2) AS density, subject_mentions > 0
 """
 
 
+SEGMENTS = _segments("message LIKE '%approved%'", 1, 1)
+
+
 def _covered(s, d):
     return evidence.coverage(_posts(s, d), SUBJECT, F.col("message").contains("approved"), 1, 1)
 
@@ -53,23 +59,28 @@ def _shown(i: int, p: Probe) -> str:
     held = " + ".join(f"(p.id IN (SELECT id FROM toks WHERE token = {t!r} AND pos < 512))::INT" for t in terms)
     bits = ", ".join(f"CASE WHEN {_SAYS.format(t)} THEN {j} END" for j, t in enumerate(terms))
     at = ", ".join(f"CASE WHEN p.id IN (SELECT id FROM toks WHERE token = {t!r} AND pos < 512) THEN {j} END" for j, t in enumerate(terms))
-    return f"SELECT p.*, {i} AS probe, {len(terms)} AS terms, {_SAYS.format(p.value)} AS phrase, {said} AS n_said, {held} AS n_held, {spans} AS span, [{bits}] AS said, [{at}] AS held FROM posts p"
+    return f"SELECT p.*, {i} AS probe, {len(terms)} AS terms, {_SAYS.format(p.value.lower())} AS phrase, {said} AS n_said, {held} AS n_held, {spans} AS span, [{bits}] AS said, [{at}] AS held FROM posts p"
 
 
-_PROBES = f""", ev AS ({' UNION ALL '.join(_shown(i, p) for i, p in enumerate(PROBES))}),
+def _probes(probes: list[Probe]) -> str:
+    return f""", ev AS ({' UNION ALL '.join(_shown(i, p) for i, p in enumerate(probes))}),
 pb0 AS (SELECT thread_id, probe, any_value(terms) AS terms, bool_or(phrase AND id = thread_id) AS phrase_in_root, bool_or(phrase AND id <> thread_id) AS phrase_in_reply, len(list_distinct(flatten(list(said))))::INT AS exact_terms,
   len(list_distinct(list_concat(flatten(list(said)), flatten(list(held)))))::INT AS matched_terms, max(n_held) AS same_post, len(list_distinct(flatten(list(held))))::INT AS across, min(span) AS win FROM ev GROUP BY 1, 2),
 pb AS (SELECT *, CASE WHEN terms >= 2 THEN CASE WHEN win <= 8 THEN 'exact_terms_near' WHEN same_post = terms THEN 'exact_terms_same_post' WHEN across = terms THEN 'terms_across_thread' END END AS kind,
   phrase_in_root OR phrase_in_reply OR matched_terms > 0 AS matched, phrase_in_root OR phrase_in_reply OR exact_terms = terms AS exact_full, phrase_in_root OR phrase_in_reply OR matched_terms = terms AS full_ FROM pb0)"""
 
 
+_PROBES = _probes(PROBES)
+
+
 @query(f"{_PROBES} SELECT thread_id, probe, phrase_in_root, phrase_in_reply, exact_terms, matched_terms, across, win AS window_tokens, kind, matched, exact_full, full_ AS full_match FROM pb")
 def probe_proximity(s, d):
     rows = evidence.probe_evidence(evidence.post_evidence(_posts(s, d), PROBES), PROBES)
     return rows.select("thread_id", "probe", "phrase_in_root", "phrase_in_reply", "exact_terms", "matched_terms", "across", F.col("window").alias("window_tokens"), "kind", "matched", "exact_full", F.col("full").alias("full_match"))
 
 
-_THREADS = f"""{_PROBES}, tier AS (SELECT *, CASE kind WHEN 'exact_terms_near' THEN 6 WHEN 'exact_terms_same_post' THEN 4 WHEN 'terms_across_thread' THEN 1 ELSE 0 END AS tier FROM pb),
+def _threads(probes: list[Probe]) -> str:
+    return f"""{_probes(probes)}, tier AS (SELECT *, CASE kind WHEN 'exact_terms_near' THEN 6 WHEN 'exact_terms_same_post' THEN 4 WHEN 'terms_across_thread' THEN 1 ELSE 0 END AS tier FROM pb),
 tb AS (SELECT thread_id, count(*) FILTER (phrase_in_root) AS phrases_in_root, count(*) FILTER (phrase_in_reply) AS phrases_in_reply, count(*) FILTER (matched) AS matched_probes, count(*) FILTER (full_) AS full_probes, count(*) FILTER (exact_full) AS exact_full_probes,
   sum(matched_terms)::BIGINT AS matched_terms, sum(matched_terms - exact_terms)::BIGINT AS morph_terms, min(win) AS win, max(tier) AS tier, arg_max(kind, (tier, -probe)) AS kind FROM tier GROUP BY 1),
 rel AS (SELECT thread_id, max(greatest(create_at, delete_at)) AS latest_match_at, count(DISTINCT id) AS matching_posts FROM ev WHERE phrase OR n_said > 0 OR n_held > 0 GROUP BY 1),
@@ -79,6 +90,9 @@ wl AS (SELECT thread_id, any_value(conversation_id) AS conversation_id, count(*)
 te AS (SELECT *, CASE WHEN phrases_in_root > 0 AND substantive >= 3 THEN substantive ELSE 0 END AS depth, substantive < 3 AND residual <= 4 AS thin_stub, br AND NOT reply_says AS bulletin FROM wl JOIN tb USING (thread_id) LEFT JOIN rel USING (thread_id))"""
 
 
+_THREADS = _threads(PROBES)
+
+
 @query(f"""{_THREADS} SELECT thread_id, phrases_in_root, phrases_in_reply, matched_probes, full_probes, exact_full_probes, matched_terms, win AS window_tokens, tier, kind, latest_match_at, matching_posts, posts_in_thread, substantive, latest_activity_at, root_says, reply_says, depth, thin_stub, bulletin FROM te""")
 def thread_evidence(s, d):
     rows = evidence.thread_evidence(_posts(s, d), PROBES, SUBJECT).withColumnRenamed("window", "window_tokens")
@@ -88,10 +102,11 @@ def thread_evidence(s, d):
 _HITS = """h AS (SELECT id, thread_id, 'exact_phrase' AS source, 0 AS probe FROM live WHERE message LIKE '%PROJ-1' OR message LIKE '%PROJ-1 %'
   UNION ALL SELECT id, thread_id, 'term_fts', 1 FROM live WHERE message LIKE '%approved%' UNION ALL SELECT id, thread_id, 'term_fts', 0 FROM live WHERE message LIKE '%OPS-2%')"""
 _LINKS = "(SELECT thread_id FROM posts WHERE id LIKE '%7-0000')"
-_VECTORS = f"""{_THREADS}{SEGMENTS}, {_HITS}, fz AS (SELECT thread_id, round(sum(w / (60 + rank)), 9)::DOUBLE AS fusion FROM (
-  SELECT thread_id, CASE source WHEN 'exact_phrase' THEN 1.0 ELSE 0.75 END AS w, row_number() OVER (PARTITION BY probe, source ORDER BY min(id)) AS rank FROM h GROUP BY thread_id, probe, source) GROUP BY 1),
+def _vectors_sql(threads: str, segments: str, fused: str, linked: str, priority: str) -> str:
+    """v: the score vectors; fused ends with fz (thread_id, fusion)."""
+    return f"""{threads}{segments}, {fused},
 st AS (SELECT thread_id, count(*) AS structured FROM keys WHERE ticket_key = '{SUBJECT}' GROUP BY 1),
-v0 AS (SELECT te.*, tm.density, tm.root_anchored, tm.exclusive, tm.dominated, tm.nearest, coalesce(fusion, 0) AS fusion, coalesce(structured, 0) AS structured, te.thread_id IN {_LINKS} AS linked, 1 AS routing, c.priority, thin_stub OR bulletin AS low
+v0 AS (SELECT te.*, tm.density, tm.root_anchored, tm.exclusive, tm.dominated, tm.nearest, coalesce(fusion, 0) AS fusion, coalesce(structured, 0) AS structured, {linked} AS linked, 1 AS routing, {priority} AS priority, thin_stub OR bulletin AS low
   FROM te JOIN conf c ON c.id = conversation_id LEFT JOIN tm USING (thread_id) LEFT JOIN fz USING (thread_id) LEFT JOIN st USING (thread_id)),
 v AS (SELECT thread_id, bulletin, thin_stub, kind, phrases_in_root, phrases_in_reply, exact_full_probes, full_probes, morph_terms, matched_probes, depth, root_says, reply_says, linked, 0 AS direct, linked::INT AS explicit_ticket, (root_says AND NOT low)::INT AS ticket_in_root, (reply_says OR root_says AND low)::INT AS ticket_in_reply,
   CASE WHEN low OR NOT (root_says OR reply_says) OR dominated THEN 0 WHEN root_anchored OR exclusive THEN 3 WHEN density >= 0.4 THEN 2 ELSE 1 END AS ticket_focus, 0 AS subject_in_root, CASE WHEN low THEN 0 ELSE phrases_in_root END AS phrase_in_root,
@@ -99,6 +114,11 @@ v AS (SELECT thread_id, bulletin, thin_stub, kind, phrases_in_root, phrases_in_r
   CASE WHEN bulletin THEN -2 WHEN thin_stub THEN -1 ELSE depth + CASE WHEN dominated THEN 0 ELSE least(floor(density * 10 + 0.5), greatest(1, depth + 1)) + CASE WHEN root_anchored THEN 2 ELSE 0 END + CASE WHEN root_says OR coalesce(nearest = 0, false) THEN 1 ELSE 0 END END END AS thread_depth,
   fusion, matched_terms, phrases_in_reply + CASE WHEN low THEN phrases_in_root ELSE 0 END AS phrase_in_reply, priority, coalesce(latest_match_at, 0) AS latest_match_at, latest_activity_at
   FROM v0 WHERE fusion > 0 OR structured > 0 OR linked OR root_says OR reply_says)"""
+
+
+_FUSED = f"""{_HITS}, fz AS (SELECT thread_id, round(sum(w / (60 + rank)), 9)::DOUBLE AS fusion FROM (
+  SELECT thread_id, CASE source WHEN 'exact_phrase' THEN 1.0 ELSE 0.75 END AS w, row_number() OVER (PARTITION BY probe, source ORDER BY min(id)) AS rank FROM h GROUP BY thread_id, probe, source) GROUP BY 1)"""
+_VECTORS = _vectors_sql(_THREADS, SEGMENTS, _FUSED, f"te.thread_id IN {_LINKS}", "c.priority")
 _COLUMNS = ", ".join(f"{x}::DOUBLE AS {x}" for x in ranking.FULL_VECTOR)
 _ORDER = ", ".join(f"{x}::DOUBLE DESC" for x in ranking.FULL_VECTOR)
 
