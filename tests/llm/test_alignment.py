@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from weft.llm.alignment import align, align_documents, encode_pieces, groups
+from weft.llm.alignment import align, align_documents, encode_pieces, gathered, group_sizes
 from weft.llm.q_alignment import op11_token_alignment
 from weft.llm.vocabularies import vocabulary
 
@@ -100,7 +100,20 @@ def test_rows_of_an_alignment(spark):
     tokens = spark.createDataFrame([(7, 1, [1, 2, 3], [2, 2, 3], [9, 8, 7], [1, 3, 3])], "id long, n long, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
     out = align(tokens)
     assert [tuple(r)[2:] for r in out.orderBy("end").collect()] == [(1, None, 9, 1, 9, 0), (2, 1, None, 1, 8, 0), (4, 2, 8, 2, 8, 0), (7, 3, 7, 3, 7, 1)]
-    assert answers(groups(out)) == [(7, 3, 3, 2, 4, "1,2|9,8;3|7")]
+    (row,) = gathered(out).collect()
+    assert tuple(row)[:-1] == (7, 1, 3, 3, 2, 4, "1,2|9,8;3|7") and [tuple(x) for x in row["links"]] == [(1, 9), (1, 8), (2, 8), (3, 7)]
+
+
+def test_an_id_is_dealt_out_once(spark):
+    tokens = spark.createDataFrame([(7, 1, [1], [2], [9], [2])], "id long, n long, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
+    plan = gathered(align(tokens))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_sizes_are_read_from_groups():
+    import pyarrow as pa
+
+    assert [x.tolist() for x in group_sizes(pa.array(["1,2|9,8;3|7", "", "5|6,7,8;1,2,3|4"]))] == [[3, 0, 4], [3, 0, 4], [2, 0, 2], [4, 0, 6]]
 
 
 def test_pieces_equal_whole_texts(spark, encoders):

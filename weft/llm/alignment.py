@@ -2,7 +2,7 @@
 
 align() takes, for each text, the ids and byte lengths of two token sequences over the same
 bytes. Tokens are exploded with their positions; windowed sums of lengths give their ends; a full
-join on text and end puts a row at every byte where a token of either side ends. Where both
+equi-join on text and end puts a row at every byte where a token of either side ends. Where both
 do, there is a cut; running counts of cuts number the groups. Each row also stands for one link:
 the bytes up to its end, back to the row before, belong to one token of each side, the first
 that ends there or later. So links come from a window over the joined ends, as many as there
@@ -40,9 +40,9 @@ from .textcore import as_bytes, hash_words, ranges, slices
 
 MARK = "▁"
 #: Bytes of text whose pieces are told apart and answered together; a longer text stands alone.
-SLICE = 8 << 20
-#: Pieces in one call of a tokenizer.
-CALL = 2000
+SLICE = 16 << 20
+#: Pieces in one call of a tokenizer, and id pairs (of 24 bytes) that may be broadcast.
+CALL, BROADCAST_PAIRS = 2000, 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -152,11 +152,13 @@ def encode_pieces(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return pieces.select("id", "n", "piece").mapInArrow(run, f"id bigint, n bigint, {TOKENS}")
 
 
-def _ends(tokens: DataFrame, ids: str, sizes: str, name: str) -> DataFrame:
-    """(id, n, end, name): tokens with the byte where each ends."""
-    each = tokens.select("id", "n", F.posexplode(F.arrays_zip(F.col(ids).alias("token"), F.col(sizes).alias("size"))).alias("pos", "t"))
-    before = Window.partitionBy("id").orderBy("pos")
-    return each.select("id", "n", F.sum(F.col("t.size")).over(before).cast("int").alias("end"), F.col("t.token").alias(name))
+def _ends(tokens: DataFrame) -> DataFrame:
+    """(id, n, second, end, token): tokens of both sides with the byte where each ends; second: of side b."""
+    side = lambda ids, sizes: F.arrays_zip(F.col(ids).alias("token"), F.col(sizes).alias("size"))
+    each = tokens.select("id", "n", F.size("a_ids").alias("n_a"), F.posexplode(F.concat(side("a_ids", "a_sizes"), side("b_ids", "b_sizes"))).alias("pos", "t"))
+    each = each.select("id", "n", (F.col("pos") >= F.col("n_a")).alias("second"), "pos", "t")
+    before = Window.partitionBy("id", "second").orderBy("pos")
+    return each.select("id", "n", "second", F.sum(F.col("t.size")).over(before).cast("int").alias("end"), F.col("t.token").alias("token"))
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -166,39 +168,43 @@ def align(tokens: DataFrame) -> DataFrame:
     the bytes before it belong to, which is one link; grp counts groups from 0. Takes (id, n, TOKENS),
     where id is unique and n is carried along.
     """
-    # The id alone deals out: explode, windows, join and groups of an id stay in one task.
-    dealt = tokens.repartition("id")
-    a, b = _ends(dealt, "a_ids", "a_sizes", "a"), _ends(dealt, "b_ids", "b_sizes", "b").drop("n")
-    joined = a.join(b, ["id", "end"], "full")
+    # The id alone deals out, once: explode, windows, join and groups of an id stay in one task. Both sides meet on
+    # (id, end) by grouping, which is their full equi-join: an end has at most one token of each side.
+    of = lambda second: F.max(F.when(F.col("second") == second, F.col("token")))
+    joined = _ends(tokens.repartition("id")).groupBy("id", "n", "end").agg(of(False).alias("a"), of(True).alias("b"))
     # Read from the end, the last token seen is the first that ends here or later.
     back = Window.partitionBy("id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = lambda c: F.last(c, ignorenulls=True).over(back)
     cuts = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1))
-    return joined.select("id", filled("n").alias("n"), "end", "a", "b", filled("a").alias("a_token"), filled("b").alias("b_token"), (cuts.over(Window.partitionBy("id")) - cuts.over(back)).cast("int").alias("grp"))
+    return joined.select("id", "n", "end", "a", "b", filled("a").alias("a_token"), filled("b").alias("b_token"), (cuts.over(Window.partitionBy("id")) - cuts.over(back)).cast("int").alias("grp"))
 
 
-def groups(aligned: DataFrame) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, groups): sizes of each text's alignment, and its groups as `a1,a2|b1;a3|b2`."""
+def gathered(aligned: DataFrame) -> DataFrame:
+    """(id, n, n_a, n_b, n_groups, n_links, groups, links): each text's alignment, its groups as `a1,a2|b1;a3|b2`, its links as an array of (a, b)."""
     joined = lambda c: F.array_join(F.transform(F.filter("ends", lambda x: x[c].isNotNull()), lambda x: x[c].cast("string")), ",")
-    each = aligned.groupBy("id", "grp").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.lit(1)).alias("n_links"), F.sort_array(F.collect_list(F.struct("end", "a", "b"))).alias("ends"))
-    each = each.select("id", "n_a", "n_b", "n_links", F.struct("grp", F.concat(joined("a"), F.lit("|"), joined("b")).alias("s")).alias("own"))
-    out = each.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list("own")).alias("own"))
-    return out.select("id", "n_a", "n_b", "n_groups", "n_links", F.array_join(F.transform("own", lambda x: x["s"]), ";").alias("groups"))
+    each = aligned.groupBy("id", "grp").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "a", "b", "a_token", "b_token"))).alias("ends"))
+    held = lambda c: F.size(F.filter("ends", lambda x: x[c].isNotNull()))
+    links = F.transform("ends", lambda x: F.struct(x["a_token"].alias("a"), x["b_token"].alias("b")))
+    each = each.select("id", "n", held("a").alias("n_a"), held("b").alias("n_b"), F.struct("grp", F.concat(joined("a"), F.lit("|"), joined("b")).alias("s"), links.alias("links")).alias("own"))
+    out = each.groupBy("id").agg(F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sort_array(F.collect_list("own")).alias("own"))
+    links = F.flatten(F.transform("own", lambda x: x["links"]))
+    return out.select("id", "n", "n_a", "n_b", F.size("own").cast("bigint").alias("n_groups"), F.size(links).cast("bigint").alias("n_links"), F.array_join(F.transform("own", lambda x: x["s"]), ";").alias("groups"), links.alias("links"))
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(a_token, b_token, count, is_best): links of each id pair over all n copies of the texts; best: no other pair of its b id has more."""
-    counts = aligned.groupBy("a_token", "b_token").agg(F.sum("n").alias("count"))
-    most = counts.groupBy("b_token").agg(F.max("count").alias("most"))
-    return counts.join(most, "b_token").select("a_token", "b_token", "count", (F.col("count") == F.col("most")).alias("is_best"))
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(a, b, count, is_best): links of each id pair over all n copies of the texts of gathered(); best: no other pair of its b id has more."""
+    counts = texts.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
+    most = counts.groupBy("b").agg(F.max("count").alias("most"))
+    return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("is_best"))
 
 
-def link_sums(aligned: DataFrame) -> DataFrame:
+def link_sums(texts: DataFrame) -> DataFrame:
     """(id, n_best, count_sum) of each text's links."""
-    # A text's equal links meet the counts once.
-    own = aligned.groupBy("id", "a_token", "b_token").agg(F.count(F.lit(1)).alias("times"))
-    counted = own.join(cut(pair_counts(aligned), "pairs"), ["a_token", "b_token"])
-    return counted.groupBy("id").agg(F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
+    pairs = cut(pair_counts(texts), "pairs")
+    if pairs.count() <= BROADCAST_PAIRS:  # otherwise links and pairs are joined by a shuffle
+        pairs = F.broadcast(pairs)
+    each = texts.select("id", F.explode("links").alias("l")).select("id", "l.a", "l.b").join(pairs, ["a", "b"])
+    return each.groupBy("id").agg(F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -230,6 +236,19 @@ def _sliced(a_path: str, b_path: str):
     return run
 
 
+def group_sizes(groups: pa.Array) -> tuple[np.ndarray, ...]:
+    """(n_a, n_b, n_groups, n_links) of each text's groups, from the marks in them."""
+    raw, offsets = as_bytes(groups)
+    count = lambda mask: np.diff(np.append(0, np.cumsum(mask, dtype=np.int64))[offsets])
+    bar, comma = raw == ord("|"), raw == ord(",")
+    # A comma is on side a if no bar has come since the last group began.
+    side = np.append(0, np.cumsum(bar, dtype=np.int64) - np.cumsum(raw == ord(";"), dtype=np.int64))
+    later = side[1:] > np.repeat(side[offsets[:-1]], np.diff(offsets))
+    n = count(bar)
+    a, b = count(comma & ~later) + n, count(comma & later) + n
+    return a, b, n, a + b - n
+
+
 def _put_together(names: list[str]):
     """Sums and the digest of the groups for each text of a slice, from what its distinct pieces have."""
 
@@ -245,9 +264,11 @@ def _put_together(names: list[str]):
                     sums, texts = [np.zeros(len(counts), np.int64) for _ in SUMS], [b""] * 0
                 else:
                     order = np.argsort(found.field("number").to_numpy())
-                    runs = [np.append(0, np.cumsum(found.field(c).to_numpy()[order][number])) for c in SUMS]
+                    groups = found.field("groups").take(pa.array(order))
+                    own = (*group_sizes(groups), *(found.field(c).to_numpy()[order] for c in ("n_best", "count_sum")))
+                    runs = [np.append(0, np.cumsum(x[number])) for x in own]
                     sums = [x[at[1:]] - x[at[:-1]] for x in runs]
-                    texts = [x.encode() for x in found.field("groups").take(pa.array(order)).to_pylist()]
+                    texts = [x.encode() for x in groups.to_pylist()]
                 digests = ["" if a == b else hashlib.sha256(b";".join([texts[i] for i in number[a:b].tolist()])).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(s.astype(np.int64)) for s in sums), pa.array(digests, pa.string())], names)
 
@@ -258,25 +279,13 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row."""
     kind = docs.schema[key].dataType.simpleString()
     sliced = docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_sliced(a_path, b_path), f"keys array<{kind}>, counts array<int>, numbers binary, pieces array<string>, times array<bigint>")
-    sliced = cut(sliced.withColumn("slice", F.monotonically_increasing_id()), "slices")
+    sliced = cut(sliced.withColumn("slice", F.monotonically_increasing_id()), "slices", "zstd")
     each = sliced.select("slice", F.posexplode("pieces").alias("number", "piece"))
     counted = sliced.select(F.explode(F.arrays_zip("pieces", "times")).alias("x")).groupBy(F.col("x.pieces").alias("piece")).agg(F.sum("x.times").alias("n"))
-    pieces = cut(counted.select(F.monotonically_increasing_id().alias("id"), "n", "piece"), "pieces")
-    aligned = aligned_table(encode_pieces(pieces, a_path, b_path))
-    known = pieces.select("id", "piece").join(groups(aligned), "id").join(link_sums(aligned), "id")
-    known = cut(known.select("piece", *(F.col(c).cast("bigint").alias(c) for c in SUMS), "groups"), "aligned-pieces")
-    answers = each.join(known, "piece").groupBy("slice").agg(F.collect_list(F.struct("number", *SUMS, "groups")).alias("found"))
+    pieces = cut(counted.select(F.monotonically_increasing_id().alias("id"), "n", "piece"), "pieces", "zstd")
+    texts = cut(gathered(align(encode_pieces(pieces, a_path, b_path))), "aligned", "zstd")
+    known = pieces.select("id", "piece").join(texts.select("id", "groups"), "id").join(link_sums(texts), "id").select("piece", "n_best", "count_sum", "groups")
+    answers = each.join(known, "piece").groupBy("slice").agg(F.collect_list(F.struct("number", "n_best", "count_sum", "groups")).alias("found"))
     whole = sliced.select("slice", "keys", "counts", "numbers").join(answers, "slice", "left").select("keys", "counts", "numbers", "found")
     names = [key, *SUMS, "groups_sha256"]
     return whole.mapInArrow(_put_together(names), f"`{key.replace('`', '``')}` {kind}, " + ", ".join(f"{c} bigint" for c in SUMS) + ", groups_sha256 string")
-
-
-def aligned_table(tokens: DataFrame) -> DataFrame:
-    """align(), written. The join of ends goes by the id's own dealing, as the windows do."""
-    conf, name = tokens.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return cut(align(tokens), "aligned")
-    finally:
-        conf.set(name, before)

@@ -147,14 +147,14 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, shared(spark))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which ends its lineage."""
-    return cut_at(df, name)[0]
+    return cut_at(df, name, compression)[0]
 
 
-def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def cut_at(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
