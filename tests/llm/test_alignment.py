@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from weft.llm.alignment import align, align_documents, encode_pieces, gathered, group_sizes
+from weft.llm.alignment import SIZES, align, align_documents, encode_pieces, gathered, group_sizes, lengthened, shortened
 from weft.llm.q_alignment import op11_token_alignment
 from weft.llm.vocabularies import vocabulary
 
@@ -96,8 +96,19 @@ def test_edge_tables(spark):
     assert answers(align_documents(df, vocabulary(A), vocabulary(B), "the.key", "the text")) == [("k", 0, 0, 0, 0, 0, 0, ""), ("l", 0, 0, 0, 0, 0, 0, "")]
 
 
+def packed(ids, sizes):
+    return [i * SIZES + n for i, n in zip(ids, sizes, strict=True)]
+
+
+def test_numbers_travel_short():
+    import numpy as np
+
+    for x in ([], [0, 65534], [65535, 1, 4_000_000_000, 65534]):
+        assert lengthened(shortened(np.array(x, np.int64)), len(x)).tolist() == x
+
+
 def test_rows_of_an_alignment(spark):
-    tokens = spark.createDataFrame([(7, 1, [1, 2, 3], [2, 2, 3], [9, 8, 7], [1, 3, 3])], "id long, n long, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
+    tokens = spark.createDataFrame([(7, 1, packed([1, 2, 3], [2, 2, 3]), packed([9, 8, 7], [1, 3, 3]))], "id long, n long, a array<int>, b array<int>")
     out = align(tokens)
     assert [tuple(r)[2:] for r in out.orderBy("end").collect()] == [(1, None, 9, 1, 9, 0), (2, 1, None, 1, 8, 0), (4, 2, 8, 2, 8, 0), (7, 3, 7, 3, 7, 1)]
     (row,) = gathered(out).collect()
@@ -105,7 +116,7 @@ def test_rows_of_an_alignment(spark):
 
 
 def test_an_id_is_dealt_out_once(spark):
-    tokens = spark.createDataFrame([(7, 1, [1], [2], [9], [2])], "id long, n long, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
+    tokens = spark.createDataFrame([(7, 1, packed([1], [2]), packed([9], [2]))], "id long, n long, a array<int>, b array<int>")
     plan = gathered(align(tokens))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == plan.count("REPARTITION_BY_COL") == 1
 
@@ -120,7 +131,7 @@ def test_pieces_equal_whole_texts(spark, encoders):
     df = spark.createDataFrame([(1, 3, "naïve<s>")], "id long, n long, piece string")
     (row,) = encode_pieces(df, vocabulary(A), vocabulary(B)).collect()
     (x, xs), (y, ys) = encoders("naïve<s>")
-    assert (row["a_ids"], row["b_ids"], row["a_sizes"], row["b_sizes"], row["n"]) == (x, y, [len(p) for p in xs], [len(p) for p in ys], 3)
+    assert (row["a"], row["b"], row["n"]) == (packed(x, map(len, xs)), packed(y, map(len, ys)), 3)
 
 
 @pytest.mark.parametrize("size", ["sf0.001"])

@@ -103,6 +103,8 @@ class TokenizerPair:
         if any(MARK in p.lstrip(MARK) for p in (self.b.id_to_piece(i) for i in range(len(self.b_bytes)))):
             raise ValueError("pieces with a word mark behind another character are not supported")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
+        if max(self.a_sizes.max(), self.b_sizes.max()) >= SIZES or max(len(self.a_sizes), len(self.b_sizes)) >= (1 << 31) // SIZES:
+            raise ValueError("ids or tokens are too large to travel as one integer")
 
     def lossless(self, text: str) -> bool:
         """Whether b's pieces spell space + text: its normalizer changes nothing, and every space is one."""
@@ -128,13 +130,13 @@ def pair(a_path: str, b_path: str) -> TokenizerPair:
     return _pairs[a_path, b_path]
 
 
-TOKENS = "a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>"
+#: A token travels as id * SIZES + length in bytes.
+TOKENS, SIZES = "a array<int>, b array<int>", 1024
 
 
-def _lists(ids: list[list[int]], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    offsets = pa.array(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32))
+def _lists(ids: list[list[int]], sizes: np.ndarray) -> pa.Array:
     flat = np.fromiter((i for x in ids for i in x), np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(sizes[flat]))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)), pa.array(flat * SIZES + sizes[flat]))
 
 
 def encode_pieces(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -147,18 +149,17 @@ def encode_pieces(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for at in range(0, batch.num_rows, CALL):
                 part = batch.slice(at, CALL)
                 a, b = both.encode(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_lists(a, both.a_sizes), *_lists(b, both.b_sizes)], ["id", "n", "a_ids", "a_sizes", "b_ids", "b_sizes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(a, both.a_sizes), _lists(b, both.b_sizes)], ["id", "n", "a", "b"])
 
     return pieces.select("id", "n", "piece").mapInArrow(run, f"id bigint, n bigint, {TOKENS}")
 
 
 def _ends(tokens: DataFrame) -> DataFrame:
     """(id, n, second, end, token): tokens of both sides with the byte where each ends; second: of side b."""
-    side = lambda ids, sizes: F.arrays_zip(F.col(ids).alias("token"), F.col(sizes).alias("size"))
-    each = tokens.select("id", "n", F.size("a_ids").alias("n_a"), F.posexplode(F.concat(side("a_ids", "a_sizes"), side("b_ids", "b_sizes"))).alias("pos", "t"))
-    each = each.select("id", "n", (F.col("pos") >= F.col("n_a")).alias("second"), "pos", "t")
+    each = tokens.select("id", "n", F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("pos", "t"))
+    each = each.select("id", "n", (F.col("pos") >= F.col("n_a")).alias("second"), "pos", F.floor(F.col("t") / SIZES).cast("int").alias("token"), (F.col("t") % SIZES).alias("size"))
     before = Window.partitionBy("id", "second").orderBy("pos")
-    return each.select("id", "n", "second", F.sum(F.col("t.size")).over(before).cast("int").alias("end"), F.col("t.token").alias("token"))
+    return each.select("id", "n", "second", F.sum("size").over(before).cast("int").alias("end"), "token")
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -210,6 +211,17 @@ def link_sums(texts: DataFrame) -> DataFrame:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def shortened(numbers: np.ndarray) -> bytes:
+    """Numbers of two bytes each, larger ones marked and following with four."""
+    return np.minimum(numbers, 0xFFFF).astype(np.uint16).tobytes() + numbers[numbers >= 0xFFFF].astype(np.uint32).tobytes()
+
+
+def lengthened(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint16, n).astype(np.uint32)
+    out[out == 0xFFFF] = np.frombuffer(blob[2 * n :], np.uint32)
+    return out
+
+
 def _sliced(a_path: str, b_path: str):
     """Slices of the texts: keys, pieces of each text, each piece's number among the slice's distinct ones, and those with their counts."""
 
@@ -224,12 +236,15 @@ def _sliced(a_path: str, b_path: str):
                 keep = np.repeat(fine, counts)
                 start, end, counts = start[keep], end[keep], np.where(fine, counts, 0)
                 _, first, number, times = np.unique(hash_words(raw, start, end, lower=False), return_index=True, return_inverse=True, return_counts=True)
+                often = np.argsort(-times, kind="stable")  # frequent pieces get small numbers
+                first, times, place = first[often], times[often], np.empty(len(often), np.int64)
+                place[often] = np.arange(len(often))
                 sizes = (end - start)[first]
                 chars = raw[ranges(start[first], sizes)]
                 pieces = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(chars)])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts.astype(np.int32))), pa.array([number.astype(np.uint32).tobytes()], pa.binary()), one(pieces), one(pa.array(times.astype(np.int64)))],
+                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts.astype(np.int32))), pa.array([shortened(place[number])], pa.binary()), one(pieces), one(pa.array(times.astype(np.int64)))],
                     ["keys", "counts", "numbers", "pieces", "times"],
                 )
 
@@ -257,7 +272,7 @@ def _put_together(names: list[str]):
         for batch in batches:
             for r in range(batch.num_rows):
                 keys, counts = batch.column(0)[r].values, batch.column(1)[r].values.to_numpy()
-                number = np.frombuffer(batch.column(2)[r].as_py(), np.uint32)
+                number = lengthened(batch.column(2)[r].as_py(), int(counts.sum()))
                 found = batch.column(3)[r].values
                 at = np.append(0, np.cumsum(counts)).astype(np.int64)
                 if found is None or not len(found):
