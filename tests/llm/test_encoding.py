@@ -133,3 +133,12 @@ def test_sections_may_be_given_by_offsets(spark):
         got.setdefault(r["doc_id"], []).append((r["section"], r["start_byte"], r["n_bytes"], r["n_tokens"], r["doc_tokens"]))
     assert [x[1:3] for x in sorted(got[1])] == [(0, 2), (2, 3), (5, 3)] and sum(x[3] for x in got[1]) == got[1][0][4] > 2
     assert [x[1:3] for x in sorted(got[2])] == [(0, 2), (2, 0), (2, 0)] and got[3] == [(0, 0, 0, 0, 0)]
+
+
+def test_names_with_dots(spark):
+    from weft.llm.piece_bpe import digest_documents
+    from weft.llm.quality_rules import quality_rules
+
+    df = spark.createDataFrame([(1, "some text")], "`my.id` long, `the.text` string")
+    assert digest_documents(df, PIECES, "my.id", "the.text").first()["my.id"] == 1
+    assert quality_rules(df, "the.text").first()["n_words"] == 2

@@ -112,3 +112,10 @@ def test_a_frequent_key_is_dealt_out_by_salt(spark, monkeypatch):
         w[r.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(w)))
     assert got(jaccard_components(frame(spark, rows, 16))) == brute(rows)
+
+
+def test_a_repeated_row_stays_once(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text)] * 40 + [(2, text), (3, "a b c"), (3, "a b c"), (3, "another text"), (4, None), (4, None), (4, ""), (None, text), (None, text)]
+    got = sorted(((r["my.id"], r["the text"]) for r in keep_one_of_each(frame(spark, rows).toDF("my.id", "the text"), "my.id", "the text").collect()), key=repr)
+    assert got == sorted([(1, text), (3, "a b c"), (3, "another text"), (4, None), (4, ""), (None, text), (None, text)], key=repr)

@@ -69,3 +69,24 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), DATA).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
+def test_edge_rows_go_through_all_stages(spark, tmp_path):
+    """Null texts and ids, repeated ids and rows, a very long text, and columns named like measures or scratch."""
+    words = [f"the{i} of and word{i}" for i in range(40)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    long = " ".join(f"the of long{i}" for i in range(40_000))
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (5, other), (5, long), (6, long + " more"), (None, " ".join(f"to be null{i}" for i in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", "7 AS n_words", "8 AS kept", "9 AS `my.t`", "10 AS bucket")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left.append(sorted((r["doc_id"] for r in docs.collect()), key=repr))
+        if name != "best-fit packing":
+            assert docs.columns == df.columns and all((r["n_words"], r["kept"], r["my.t"], r["bucket"]) == (7, 8, 9, 10) for r in docs.collect())
+    assert left[0] == sorted([1, 1, 2, 5, 5, 6, None], key=repr)
+    assert left[1] == left[2] == sorted([1, 5, 5, None], key=repr)
+    assert set(left[3]) == {1, 5, None}

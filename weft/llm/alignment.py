@@ -265,27 +265,31 @@ def group_sizes(groups: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _put_together(names: list[str]):
-    """Sums and the digest of the groups for each text of a slice, from what its distinct pieces have."""
+    """Sums and the digest of the groups for each text of a slice. A slice's pieces come first, by their numbers, then the slice itself."""
+
+    def texts(keys: pa.Array, counts: np.ndarray, number: np.ndarray, found: list[pa.RecordBatch]) -> pa.RecordBatch:
+        at = np.append(0, np.cumsum(counts)).astype(np.int64)
+        held = pa.Table.from_batches(found).combine_chunks() if found else None
+        if held is None:
+            sums, groups = [np.zeros(len(counts), np.int64) for _ in SUMS], []
+        else:
+            own = (*group_sizes(held.column("groups")), *(held.column(c).to_numpy() for c in ("n_best", "count_sum")))
+            sums = [x[at[1:]] - x[at[:-1]] for x in (np.append(0, np.cumsum(x[number])) for x in own)]
+            groups = [x.encode() for x in held.column("groups").to_pylist()]
+        digests = ["" if a == b else hashlib.sha256(b";".join([groups[i] for i in number[a:b].tolist()])).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([keys, *(pa.array(s.astype(np.int64)) for s in sums), pa.array(digests, pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
+        found: list[pa.RecordBatch] = []
         for batch in batches:
-            for r in range(batch.num_rows):
-                keys, counts = batch.column(0)[r].values, batch.column(1)[r].values.to_numpy()
-                number = lengthened(batch.column(2)[r].as_py(), int(counts.sum()))
-                found = batch.column(3)[r].values
-                at = np.append(0, np.cumsum(counts)).astype(np.int64)
-                if found is None or not len(found):
-                    sums, texts = [np.zeros(len(counts), np.int64) for _ in SUMS], [b""] * 0
-                else:
-                    order = np.argsort(found.field("number").to_numpy())
-                    groups = found.field("groups").take(pa.array(order))
-                    own = (*group_sizes(groups), *(found.field(c).to_numpy()[order] for c in ("n_best", "count_sum")))
-                    runs = [np.append(0, np.cumsum(x[number])) for x in own]
-                    sums = [x[at[1:]] - x[at[:-1]] for x in runs]
-                    texts = [x.encode() for x in groups.to_pylist()]
-                digests = ["" if a == b else hashlib.sha256(b";".join([texts[i] for i in number[a:b].tolist()])).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(s.astype(np.int64)) for s in sums), pa.array(digests, pa.string())], names)
+            last = 0
+            for r in np.flatnonzero(batch.column(1).to_numpy()).tolist():
+                found.append(batch.slice(last, r - last).select(["n_best", "count_sum", "groups"]))
+                counts = batch.column("counts")[r].values.to_numpy()
+                yield texts(batch.column("keys")[r].values, counts, lengthened(batch.column("numbers")[r].as_py(), int(counts.sum())), [x for x in found if x.num_rows])
+                found, last = [], r + 1
+            found.append(batch.slice(last).select(["n_best", "count_sum", "groups"]))
 
     return run
 
@@ -300,7 +304,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     pieces = cut(counted.select(F.monotonically_increasing_id().alias("id"), "n", "piece"), "pieces", "zstd")
     texts = cut(gathered(align(encode_pieces(pieces, a_path, b_path))), "aligned", "zstd")
     known = pieces.select("id", "piece").join(texts.select("id", "groups"), "id").join(link_sums(texts), "id").select("piece", "n_best", "count_sum", "groups")
-    answers = each.join(known, "piece").groupBy("slice").agg(F.collect_list(F.struct("number", "n_best", "count_sum", "groups")).alias("found"))
-    whole = sliced.select("slice", "keys", "counts", "numbers").join(answers, "slice", "left").select("keys", "counts", "numbers", "found")
+    answers = each.join(known, "piece").select("slice", F.lit(0).alias("whole"), "number", "n_best", "count_sum", "groups")
+    rows = answers.unionByName(sliced.select("slice", F.lit(1).alias("whole"), "keys", "counts", "numbers"), allowMissingColumns=True)
+    whole = rows.repartition("slice").sortWithinPartitions("slice", "whole", "number")
     names = [key, *SUMS, "groups_sha256"]
     return whole.mapInArrow(_put_together(names), f"`{key.replace('`', '``')}` {kind}, " + ", ".join(f"{c} bigint" for c in SUMS) + ", groups_sha256 string")

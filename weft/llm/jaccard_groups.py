@@ -479,7 +479,15 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """The documents with all columns, of each component the one with the smallest id.
 
     Null ids stay, and so do texts without words. Rows that repeat an id are told apart by
-    their texts; rows that repeat both the id and the text that stays are one document.
+    their texts; of rows that repeat both the id and the text one stays, whatever else they hold.
     """
-    gone = _judged(docs, key, text).where(F.struct("id", "t") != F.col("least")).select(F.col("id").alias("__weft_id"), F.col("t").alias("__weft_t")).distinct()
-    return docs.join(gone, (named(key) == F.col("__weft_id")) & (F.xxhash64(named(text)) == F.col("__weft_t")), "left_anti")
+    judged = _judged(docs, key, text)
+    marks = [F.col("id").alias("__weft_id"), F.col("t").alias("__weft_t")]
+    gone = judged.where(F.struct("id", "t") != F.col("least")).select(*marks).distinct()
+    same = lambda: (named(key) == F.col("__weft_id")) & (F.xxhash64(named(text)) == F.col("__weft_t"))
+    left = docs.join(gone, same(), "left_anti")
+    # Only rows that repeat are gathered by their text.
+    again = cut(judged.select("id", "t").groupBy("id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*marks), "again")
+    if again.isEmpty():
+        return left
+    return left.join(again, same(), "left_anti").unionByName(left.join(again, same(), "left_semi").dropDuplicates([key, text]))

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .exchange import named
+
 MARK = "▁"
 #: Chunks kept in each of the cache's two generations, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
@@ -243,16 +245,16 @@ def model(path: str) -> PieceModel:
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>, decoded string): each whole text encoded and decoded again."""
-    return docs.select(key, text).mapInArrow(_ids(path), _schema(docs, key, "ids array<int>, decoded string"))
+    return docs.select(named(key), named(text)).mapInArrow(_ids(path), _schema(docs, key, "ids array<int>, decoded string"))
 
 
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), without moving ids out of the workers."""
-    return docs.select(key, text).mapInArrow(_digests(path), _schema(docs, key, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+    return docs.select(named(key), named(text)).mapInArrow(_digests(path), _schema(docs, key, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
 
 
 def _schema(docs: DataFrame, key: str, rest: str) -> str:
-    return f"`{key}` {docs.schema[key].dataType.simpleString()}, {rest}"
+    return f"`{key.replace('`', '``')}` {docs.schema[key].dataType.simpleString()}, {rest}"
 
 
 def _ids(path: str):
