@@ -94,7 +94,8 @@ def test_attachment_readers(spark, tmp_path):
     got = {r["path"][-5:]: (r["status"], r["preview"]) for r in A.text_preview(A.read_files(spark, str(tmp_path))).collect()}
     assert got == {"a.txt": ("text", "one\ntwo\nthree"), "b.bin": ("binary", None), "c.txt": ("invalid_utf8", None)}
     df = spark.createDataFrame([("x", bytearray(workbook([["name", "password"], ["bob", "pw"], ["a@b.co", "z"]]))), ("y", bytearray(b"no zip"))], "path string, content binary")
-    out = {r["path"]: r for r in A.workbook_preview(df).collect()}
+    out = {r["path"]: r for r in A.workbook_preview(df.union(spark.createDataFrame([("z", None)], "path string, content binary"))).collect()}
+    assert (out["z"]["status"], out["z"]["rows"]) == ("too_large", None)
     assert out["x"]["rows"] == '[["name", "password"], ["bob", "[REDACTED]"], ["[EMAIL]", "[REDACTED]"]]' and out["y"]["status"] == "unreadable: BadZipFile"
 
 
@@ -109,3 +110,11 @@ def test_every_kind_of_entity(spark):
     got = {(e["kind"], e["value"]) for e in one(spark, T.entities, text)}
     assert got >= {("url", "https://github.com/acme/tool/pull/3"), ("permalink", "https://h/t/pl/abcdefghij0123456789abcdef"), ("repository", "acme/tool"), ("repository", "core/api"), ("service", "billing"), ("file_path", "src/app/main.py"), ("package", "@scope/pkg"), ("symbol", "run_it")}
     assert "это" in T.STOP_WORDS and len(T.STOP_WORDS) == len(set(T.STOP_WORDS))
+
+
+def test_large_files_have_a_row_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "MOST_FILE", 10)
+    (tmp_path / "a.txt").write_text("short")
+    (tmp_path / "b.txt").write_text("longer than the bound")
+    got = {r["path"][-5:]: (r["status"], r["preview"]) for r in A.text_preview(A.read_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.txt": ("text", "short"), "b.txt": ("too_large", None)}

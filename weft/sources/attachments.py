@@ -19,15 +19,17 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of files within the size bound; larger ones are not read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_FILE).select("path", "content")
+    """(path, length, content) of all files; the content of one over the size bound is null and not read."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > MOST_FILE).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= MOST_FILE).select("path", "length", "content").unionByName(large)
 
 
 def text_preview(files: DataFrame) -> DataFrame:
     """(path, status, preview): the first lines of text; binary and invalid text is named, not shown. All in the JVM."""
     head = F.substring("content", 1, MOST_TEXT)
     text = F.try_validate_utf8(head.cast("string"))
-    status = F.when(F.length("content") == 0, "empty").when(F.instr(head.cast("string"), "\0") > 0, "binary").when(text.isNull(), "invalid_utf8").otherwise("text")
+    status = F.when(F.col("content").isNull(), "too_large").when(F.length("content") == 0, "empty").when(F.instr(head.cast("string"), "\0") > 0, "binary").when(text.isNull(), "invalid_utf8").otherwise("text")
     shown = F.left(F.array_join(F.slice(F.split(text, "\r\n|\n|\r"), 1, MOST_LINES), "\n"), F.lit(MOST_CHARS))
     return files.select("path", status.alias("status"), F.when(status == "text", shown).alias("preview"))
 
@@ -98,8 +100,12 @@ def workbook_preview(files: DataFrame, most_rows: int = 20) -> DataFrame:
         for batch in batches:
             status, rows = [], []
             for content in batch.column(1):
+                if not content.is_valid:
+                    rows.append(None)
+                    status.append("too_large")
+                    continue
                 try:
-                    rows.append(json.dumps(redact_table(workbook_rows(content.as_py() or b"", most_rows)), ensure_ascii=False))
+                    rows.append(json.dumps(redact_table(workbook_rows(content.as_py(), most_rows)), ensure_ascii=False))
                     status.append("table")
                 except (ValueError, zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
                     rows.append(None)
