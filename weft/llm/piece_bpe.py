@@ -245,31 +245,31 @@ def model(path: str) -> PieceModel:
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>, decoded string): each whole text encoded and decoded again."""
-    return docs.select(named(key), named(text)).mapInArrow(_ids(path), _schema(docs, key, "ids array<int>, decoded string"))
+    return docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_ids(path, key), _schema(docs, key, "ids array<int>, decoded string"))
 
 
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), without moving ids out of the workers."""
-    return docs.select(named(key), named(text)).mapInArrow(_digests(path), _schema(docs, key, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+    return docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_digests(path, key), _schema(docs, key, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
 
 
 def _schema(docs: DataFrame, key: str, rest: str) -> str:
     return f"`{key.replace('`', '``')}` {docs.schema[key].dataType.simpleString()}, {rest}"
 
 
-def _ids(path: str):
+def _ids(path: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ids = [m.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], [batch.schema.names[0], "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], [key, "ids", "decoded"])
 
     return run
 
 
-def _digests(path: str):
+def _digests(path: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
@@ -279,6 +279,6 @@ def _digests(path: str):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
