@@ -40,7 +40,9 @@ from .textcore import as_bytes, hash_words, ranges, slices
 
 MARK = "▁"
 #: Bytes of text whose pieces are told apart and answered together; a longer text stands alone.
-SLICE = 16 << 20
+SLICE = 12 << 20
+#: Occurrences of pieces whose sums are taken at once.
+PIECES = 1 << 18
 #: Pieces in one call of a tokenizer, and id pairs (of 24 bytes) that may be broadcast.
 CALL, BROADCAST_PAIRS = 2000, 1_000_000
 
@@ -267,17 +269,25 @@ def group_sizes(groups: pa.Array) -> tuple[np.ndarray, ...]:
 def _put_together(names: list[str]):
     """Sums and the digest of the groups for each text of a slice. A slice's pieces come first, by their numbers, then the slice itself."""
 
-    def texts(keys: pa.Array, counts: np.ndarray, number: np.ndarray, found: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def texts(keys: pa.Array, counts: np.ndarray, blob: bytes, found: list[pa.RecordBatch]) -> pa.RecordBatch:
         at = np.append(0, np.cumsum(counts)).astype(np.int64)
-        held = pa.Table.from_batches(found).combine_chunks() if found else None
-        if held is None:
-            sums, groups = [np.zeros(len(counts), np.int64) for _ in SUMS], []
-        else:
+        number = lengthened(blob, int(at[-1]))
+        sums, digests = [np.zeros(len(counts), np.int64) for _ in SUMS], [""] * len(counts)
+        if found:
+            held = pa.Table.from_batches(found).combine_chunks()
+            raw, offsets = as_bytes(held.column("groups"))
+            whole, edges = raw.tobytes(), offsets.tolist()
+            groups = [whole[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
             own = (*group_sizes(held.column("groups")), *(held.column(c).to_numpy() for c in ("n_best", "count_sum")))
-            sums = [x[at[1:]] - x[at[:-1]] for x in (np.append(0, np.cumsum(x[number])) for x in own)]
-            groups = [x.encode() for x in held.column("groups").to_pylist()]
-        digests = ["" if a == b else hashlib.sha256(b";".join([groups[i] for i in number[a:b].tolist()])).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(s.astype(np.int64)) for s in sums), pa.array(digests, pa.string())], names)
+            for lo, hi in slices(at, PIECES):
+                mine = number[at[lo] : at[hi]]
+                for x, out in zip(own, sums, strict=True):
+                    runs = np.append(0, np.cumsum(x[mine], dtype=np.int64))[at[lo : hi + 1] - at[lo]]
+                    out[lo:hi] = np.diff(runs)
+                for r in range(lo, hi):
+                    if counts[r]:
+                        digests[r] = hashlib.sha256(b";".join([groups[i] for i in number[at[r] : at[r + 1]].tolist()])).hexdigest()
+        return pa.RecordBatch.from_arrays([keys, *(pa.array(s) for s in sums), pa.array(digests, pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -287,7 +297,7 @@ def _put_together(names: list[str]):
             for r in np.flatnonzero(batch.column(1).to_numpy()).tolist():
                 found.append(batch.slice(last, r - last).select(["n_best", "count_sum", "groups"]))
                 counts = batch.column("counts")[r].values.to_numpy()
-                yield texts(batch.column("keys")[r].values, counts, lengthened(batch.column("numbers")[r].as_py(), int(counts.sum())), [x for x in found if x.num_rows])
+                yield texts(batch.column("keys")[r].values, counts, batch.column("numbers")[r].as_py(), [x for x in found if x.num_rows])
                 found, last = [], r + 1
             found.append(batch.slice(last).select(["n_best", "count_sum", "groups"]))
 
