@@ -147,16 +147,15 @@ def uncovered_terms(posts: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def ranked_ticket_keys(mentions: DataFrame, hops: int = 3) -> DataFrame:
-    """(key, mentions, in_window, bulletin_only, best_rank, latest_at, first_id, place, hop): related keys, focused ones first.
+    """(request, key, mentions, in_window, bulletin_only, best_rank, latest_at, first_id, place, hop): each request's related keys, focused ones first.
 
-    mentions: (key, id, thread_rank, in_window, bulletin, create_at). Keys that only bulletins name are hops only if fewer than two others are there.
+    mentions: (request, key, id, thread_rank, in_window, bulletin, create_at). Keys that only bulletins name are hops only if fewer than two others are there.
     """
     first = F.struct(F.col("bulletin").cast("int"), "thread_rank", (~F.col("in_window")).cast("int"), "create_at", "id")
-    by = mentions.groupBy("key").agg(
+    by = mentions.groupBy("request", "key").agg(
         F.count(F.lit(1)).alias("mentions"), F.count_if("in_window").alias("in_window"), F.bool_and("bulletin").alias("bulletin_only"), F.min("thread_rank").alias("best_rank"), F.max("create_at").alias("latest_at"), F.min_by("id", first).alias("first_id"),
     )
-    # A request's related keys are few; they have one order.
-    w = Window.partitionBy(F.lit(1))
+    w = Window.partitionBy("request")
     order = w.orderBy(F.col("bulletin_only").cast("int"), (F.col("best_rank") != 0).cast("int"), "best_rank", F.desc("in_window"), F.desc("mentions"), F.desc("latest_at"), "key")
     ranked = by.withColumns({"place": F.row_number().over(order), "focused": F.sum((~F.col("bulletin_only")).cast("int")).over(w)})
     hop = F.when(F.col("focused") >= 2, ~F.col("bulletin_only")).otherwise(F.lit(True)) & (F.col("place") <= hops)

@@ -40,14 +40,17 @@ def brief_timeline(posts: DataFrame, kept: DataFrame) -> DataFrame:
     return by.select("thread_id", "item", F.when(F.col("kept"), "post").otherwise("brief_projection").alias("kind"), "first_id", "last_id", "posts")
 
 
-def search_rows(hits: DataFrame, most_excerpts: int = 3, most_probes: int = 12) -> DataFrame:
-    """(thread_id, place, probes, excerpts, omitted): hits (thread_id, id, probe, score, text) by thread, best first, with a few distinct excerpts."""
-    texts = hits.groupBy("thread_id", "text").agg(F.min(F.struct("score", "id")).alias("b"))
-    shown = texts.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("b", "text"))).alias("t"))
-    by = hits.groupBy("thread_id").agg(F.min("score").alias("best"), F.slice(F.array_sort(F.collect_set("probe")), 1, most_probes).alias("probes")).join(shown, "thread_id")
-    # A search's threads are few and have one order.
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("best", "thread_id"))
-    return by.select("thread_id", place.alias("place"), "probes", F.transform(F.slice("t", 1, most_excerpts), lambda x: x["text"]).alias("excerpts"), F.greatest(F.lit(0), F.size("t") - most_excerpts).alias("omitted"))
+def search_rows(hits: DataFrame, most: int = 10, most_excerpts: int = 3, most_probes: int = 12) -> DataFrame:
+    """(request, thread_id, place, probes, excerpts, omitted): the best threads of each request's hits (request, thread_id, id, probe, score, text), with a few distinct excerpts.
+
+    Tasks cut each request to its best threads before these are shuffled by request.
+    """
+    texts = hits.groupBy("request", "thread_id", "text").agg(F.min(F.struct("score", "id")).alias("b"))
+    shown = texts.groupBy("request", "thread_id").agg(F.array_sort(F.collect_list(F.struct("b", "text"))).alias("t"))
+    place = F.row_number().over(Window.partitionBy("request").orderBy("best", "thread_id"))
+    by = hits.groupBy("request", "thread_id").agg(F.min("score").alias("best"), F.slice(F.array_sort(F.collect_set("probe")), 1, most_probes).alias("probes"))
+    by = by.withColumn("place", place).where(F.col("place") <= most).join(shown, ["request", "thread_id"])
+    return by.select("request", "thread_id", "place", "probes", F.transform(F.slice("t", 1, most_excerpts), lambda x: x["text"]).alias("excerpts"), F.greatest(F.lit(0), F.size("t") - most_excerpts).alias("omitted"))
 
 
 def people(activity: DataFrame, most: float | None = None) -> DataFrame:

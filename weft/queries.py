@@ -17,9 +17,9 @@ def thread_posts(s, d):
     return threads.thread_posts(_posts(s, d), "0000000007-0000").select("id", "user_id", "create_at", "delete_at", "message")
 
 
-@query("SELECT id, alias, priority FROM conf")
+@query("SELECT id, alias, priority FROM channels")
 def conversations_by_alias(s, d):
-    return tables.conversations(s).select("id", "alias", "priority").orderBy("alias")
+    return tables.channels(s, d).select("id", "alias", "priority").orderBy("alias")
 
 
 @query("SELECT c.id, alias, priority FROM conf c WHERE c.id IN (SELECT conversation_id FROM posts)")
@@ -179,9 +179,9 @@ def sentence_counts(s, d):
     return _posts(s, d).select("id", F.size(T.sentences(F.col("message"))).cast("long").alias("n"))
 
 
-@query("SELECT alias, 'zzconcept' || lower(hex(encode(alias))) AS token FROM conf")
+@query("SELECT alias, 'zzconcept' || lower(hex(encode(alias))) AS token FROM channels")
 def concept_tokens(s, d):
-    return tables.conversations(s).select("alias", T.concept_token(F.col("alias")).alias("token"))
+    return tables.channels(s, d).select("alias", T.concept_token(F.col("alias")).alias("token"))
 
 
 @query("SELECT id, strftime(make_timestamp(create_at * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((create_at % 1000)::VARCHAR, 3, '0') || 'Z' AS at FROM posts")
@@ -205,10 +205,10 @@ def csv_encode(s, d):
     return _posts(s, d).select("id", T.csv_field(F.col("message")).alias("field"))
 
 
-@query("SELECT probe, arg_min(alias, (levenshtein(alias, probe), alias)) AS suggestion FROM conf, (VALUES ('paymets'), ('platfrm'), ('suport')) p(probe) GROUP BY 1")
+@query("SELECT probe, arg_min(alias, (levenshtein(alias, probe), alias)) AS suggestion FROM channels, (VALUES ('paymets-10'), ('platfrm-6'), ('suport-2')) p(probe) GROUP BY 1")
 def alias_suggestion(s, d):
-    probes = s.createDataFrame([("paymets",), ("platfrm",), ("suport",)], "probe string")
-    near = tables.conversations(s).crossJoin(F.broadcast(probes)).select("probe", "alias", F.levenshtein("alias", "probe").alias("edits"))
+    probes = s.createDataFrame([("paymets-10",), ("platfrm-6",), ("suport-2",)], "probe string")
+    near = tables.channels(s, d).crossJoin(F.broadcast(probes)).select("probe", "alias", F.levenshtein("alias", "probe").alias("edits"))
     return near.groupBy("probe").agg(F.min_by("alias", F.struct("edits", "alias")).alias("suggestion"))
 
 
@@ -294,20 +294,20 @@ def match_dedupe(s, d):
 # --- routing --------------------------------------------------------------------------
 
 
-@query("SELECT id, alias, priority, 'repositories' AS evidence, 4 AS weight FROM conf WHERE list_contains(repositories, 'api')")
+@query("SELECT id, alias, priority, 'repositories' AS evidence, 4 AS weight FROM channels WHERE list_contains(repositories, 'api')")
 def route_cascade(s, d):
-    return routing.route(tables.conversations(s), scopes=["nowhere"], repositories=["api"])
+    return routing.route(tables.channels(s, d), scopes=["nowhere"], repositories=["api"])
 
 
-@query("SELECT id, alias, priority, 'widened' AS evidence, 2 AS weight FROM conf WHERE NOT list_contains(repositories, 'api')")
+@query("SELECT id, alias, priority, 'widened' AS evidence, 2 AS weight FROM channels WHERE NOT list_contains(repositories, 'api')")
 def route_widen(s, d):
-    c = tables.conversations(s)
+    c = tables.channels(s, d)
     return routing.widen(c, routing.route(c, repositories=["api"]))
 
 
-@query("SELECT h AS hint FROM (VALUES ('core'), ('ghost')) t(h) WHERE h NOT IN (SELECT unnest(scopes) FROM conf)")
+@query("SELECT h AS hint FROM (VALUES ('assistant'), ('ghost'), ('spirit')) t(h) WHERE h NOT IN (SELECT unnest(scopes) FROM channels)")
 def unmatched_hints(s, d):
-    return routing.unmatched(tables.conversations(s), "scopes", ["core", "ghost"])
+    return routing.unmatched(tables.channels(s, d), "scopes", ["assistant", "ghost", "spirit"])
 
 
 # --- sequences ------------------------------------------------------------------------

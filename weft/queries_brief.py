@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import cues as C
 from weft.operators import brief, sequences
-from weft.registry import _posts, query
+from weft.registry import _posts, also_held, held, query
 from weft.sources import tables
 
 SUBJECT = "PROJ-1"
@@ -67,7 +67,7 @@ rf AS (SELECT decision_id, id, nth FROM (SELECT *, row_number() OVER (PARTITION
 
 def _said(s, d):
     # Read many times by one query; a lost executor's part is computed again.
-    return brief.read(_posts(s, d)).persist()
+    return held(brief.read(_posts(s, d)))
 
 
 def _spans(s, d):
@@ -127,7 +127,7 @@ def scope_refinements(s, d):
 
 
 def _questions(said):
-    spans = brief.candidate_spans(said).persist()
+    spans = also_held(brief.candidate_spans(said))
     return brief.open_questions(said, spans, brief.brief_decisions(spans), SUBJECT)
 
 
@@ -160,9 +160,15 @@ def late_acknowledgements(s, d):
 _NOISE = f"""(SELECT thread_id FROM (SELECT thread_id, count(*) AS n, max(length(trim(message))) AS l, count(*) FILTER (id IN (SELECT id FROM keys WHERE ticket_key = '{SUBJECT}')) AS named, count(*) FILTER (id IN (SELECT id FROM keys WHERE ticket_key <> '{SUBJECT}')) AS other FROM live GROUP BY 1) WHERE n <= 3 AND l <= 160 AND named > 0 AND other = 0)"""
 
 
-@query(f"SELECT thread_id FROM {_NOISE}")
+#: Previews of threads: the ends of the messages of their first two posts.
+_PREVIEW = "pv AS (SELECT thread_id, right(message, 150) AS message FROM placed WHERE pos <= 2 AND delete_at = 0)"
+
+
+@query(f""", {_PREVIEW}, kp AS (SELECT thread_id, message, list_transform(regexp_extract_all(message, '\\b[A-Za-z][A-Za-z0-9]+-[0-9]+\\b'), lambda k: upper(k)) AS k FROM pv)
+  SELECT thread_id FROM kp GROUP BY 1 HAVING count(*) <= 3 AND max(length(trim(message))) <= 160 AND count(*) FILTER (list_contains(k, '{SUBJECT}')) > 0 AND count(*) FILTER (len(list_filter(k, lambda x: x <> '{SUBJECT}')) > 0) = 0""")
 def noise_threads(s, d):
-    return brief.noise_threads(_posts(s, d), SUBJECT)
+    previews = sequences.placed(_posts(s, d)).where("pos <= 2").withColumn("message", F.right("message", F.lit(150)))
+    return brief.noise_threads(previews, SUBJECT)
 
 
 @query(f"""{BRIEF}, aq AS (SELECT thread_id, max(confidence) AS c, count(DISTINCT id) AS n FROM sp WHERE kind = 'open_question_candidate' AND (cues <> '?' OR {_ASKED} AND id IN (SELECT id FROM keys WHERE ticket_key = '{SUBJECT}')) GROUP BY 1),
@@ -174,7 +180,7 @@ def noise_threads(s, d):
   SELECT thread_id, label, confidence::DOUBLE AS confidence, place FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY list_position(['decision', 'open_question', 'debugging', 'announce', 'status', 'noise'], label), confidence DESC) AS place FROM g) WHERE place <= 3""")
 def purpose_hints(s, d):
     p, said = _posts(s, d), _said(s, d)
-    spans = brief.candidate_spans(said).persist()
+    spans = also_held(brief.candidate_spans(said))
     made = brief.brief_decisions(spans)
     return brief.purpose_hints(p, said, spans, made, _questions(said), brief.role_hints(said), SUBJECT)
 
@@ -198,7 +204,7 @@ def brief_retained(s, d):
     from weft.functions import text as T
 
     p, said = _posts(s, d), _said(s, d)
-    spans = brief.candidate_spans(said).persist()
+    spans = also_held(brief.candidate_spans(said))
     made, asked = brief.brief_decisions(spans), _questions(said)
     outcome = sequences.outcome_window(p, (F.col("delete_at") == 0) & F.array_contains(T.ticket_keys(F.col("message")), SUBJECT), 5, live=True)
     return brief.retained_posts(p, tables.files(s, d), made, brief.refinements(said, made), asked, brief.responses(said, asked), outcome)

@@ -130,13 +130,13 @@ def term_coverage(s, d):
     return out.select("thread_id", F.array_join("covered", "|").alias("covered"), F.array_join("missing", "|").alias("missing"))
 
 
-@query(""", m AS (SELECT ticket_key AS key, id, (substr(thread_id, 10, 1)::INT) AS thread_rank, create_at % 120000 = 0 AS in_window, contains(message, 'see OPS') AS bulletin, create_at FROM keys JOIN live USING (thread_id, id, create_at) WHERE ticket_key <> 'PROJ-1'),
-  r AS (SELECT *, row_number() OVER (ORDER BY bulletin_only, best_rank <> 0, best_rank, in_window DESC, mentions DESC, latest_at DESC, key) AS place FROM (SELECT key, count(*) AS mentions, count(*) FILTER (in_window) AS in_window, bool_and(bulletin) AS bulletin_only, min(thread_rank) AS best_rank, max(create_at) AS latest_at,
-    arg_min(id, (bulletin, thread_rank, NOT in_window, create_at, id)) AS first_id FROM m GROUP BY 1))
-  SELECT *, CASE WHEN (SELECT count(*) FROM r WHERE NOT bulletin_only) >= 2 THEN NOT bulletin_only ELSE true END AND place <= 3 AS hop FROM r""")
+@query(""", m AS (SELECT conversation_id AS request, ticket_key AS key, id, (substr(thread_id, 10, 1)::INT) AS thread_rank, create_at % 120000 = 0 AS in_window, contains(message, 'see OPS') AS bulletin, create_at FROM keys JOIN live USING (thread_id, id, create_at) WHERE ticket_key <> 'PROJ-1'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY bulletin_only, best_rank <> 0, best_rank, in_window DESC, mentions DESC, latest_at DESC, key) AS place FROM (SELECT request, key, count(*) AS mentions, count(*) FILTER (in_window) AS in_window, bool_and(bulletin) AS bulletin_only, min(thread_rank) AS best_rank, max(create_at) AS latest_at,
+    arg_min(id, (bulletin, thread_rank, NOT in_window, create_at, id)) AS first_id FROM m GROUP BY 1, 2))
+  SELECT *, CASE WHEN count(*) FILTER (NOT bulletin_only) OVER (PARTITION BY request) >= 2 THEN NOT bulletin_only ELSE true END AND place <= 3 AS hop FROM r""")
 def related_ticket_ranking(s, d):
     keys = _live(s, d).withColumn("key", F.explode(T.ticket_keys(F.col("message")))).where("key <> 'PROJ-1'")
-    rows = keys.select("key", "id", F.expr("cast(substr(thread_id, 10, 1) AS int)").alias("thread_rank"), (F.col("create_at") % 120_000 == 0).alias("in_window"), F.col("message").contains("see OPS").alias("bulletin"), "create_at")
+    rows = keys.select(F.col("conversation_id").alias("request"), "key", "id", F.expr("cast(substr(thread_id, 10, 1) AS int)").alias("thread_rank"), (F.col("create_at") % 120_000 == 0).alias("in_window"), F.col("message").contains("see OPS").alias("bulletin"), "create_at")
     return lookups.ranked_ticket_keys(rows)
 
 

@@ -9,7 +9,7 @@ from weft.operators import brief, selection
 from weft.plans import core
 from weft.queries_brief import BRIEF, SUBJECT, _questions, _said
 from weft.queries_evidence import _vectors
-from weft.registry import _posts, query
+from weft.registry import _posts, also_held, query
 from weft.sources import tables
 
 _REASONS = "CASE number % 4 WHEN 0 THEN 'thin_thread|exact_phrase' WHEN 1 THEN 'ticket_in_root|substantive_thread_depth' WHEN 2 THEN 'latest_activity' ELSE 'exact_terms_near|latest_activity' END"
@@ -122,7 +122,7 @@ def research_summary(s, d):
   row_number() OVER (PARTITION BY request ORDER BY create_at DESC, id) AS r FROM (SELECT DISTINCT p.id, p.thread_id, p.create_at, p.conversation_id AS request FROM (SELECT id FROM bd UNION SELECT id FROM rf UNION SELECT id FROM oq) e JOIN live p USING (id)) x WHERE EXISTS (SELECT 1 FROM files f WHERE f.post_id = x.id AND delete_at = 0 AND ends_with(name, '.csv'))) WHERE r = 1""")
 def decision_data_attachments(s, d):
     said = _said(s, d)
-    made = brief.brief_decisions(brief.candidate_spans(said)).persist()
+    made = also_held(brief.brief_decisions(brief.candidate_spans(said)))
     ids = made.select("id").union(brief.refinements(said, made).select("id")).union(_questions(said).select("id"))
     p = _posts(s, d)
     return selection.latest_attachments(p, tables.files(s, d), ids.join(p.select("id", F.col("conversation_id").alias("request")), "id"), ["csv", "json", "xlsx"])

@@ -29,12 +29,12 @@ def brief_timelines(s, d):
     return views.brief_timeline(p, p.where(F.col("message").contains("approved")))
 
 
-@query(""", h AS (SELECT thread_id, id, (create_at // 60000) % 3 AS probe, -length(message)::DOUBLE AS score, left(message, 12) AS text FROM live WHERE message LIKE '%PROJ-%')
-  SELECT thread_id, row_number() OVER (ORDER BY best, thread_id) AS place, probes, excerpts, greatest(0, n - 2)::INT AS omitted FROM (SELECT thread_id, min(score) AS best, string_agg(DISTINCT probe::VARCHAR, '|' ORDER BY probe::VARCHAR) AS probes FROM h GROUP BY 1)
-  JOIN (SELECT thread_id, count(*) AS n, string_agg(text, '|' ORDER BY score, id) FILTER (r <= 2) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY score, id) AS r FROM (SELECT thread_id, text, min(score) AS score, arg_min(id, (score, id)) AS id FROM h GROUP BY 1, 2)) GROUP BY 1) USING (thread_id)""")
+@query(""", h AS (SELECT conversation_id AS request, thread_id, id, (create_at // 60000) % 3 AS probe, -length(message)::DOUBLE AS score, left(message, 12) AS text FROM live WHERE message LIKE '%PROJ-%')
+  SELECT * FROM (SELECT request, thread_id, row_number() OVER (PARTITION BY request ORDER BY best, thread_id) AS place, probes, excerpts, greatest(0, n - 2)::INT AS omitted FROM (SELECT request, thread_id, min(score) AS best, string_agg(DISTINCT probe::VARCHAR, '|' ORDER BY probe::VARCHAR) AS probes FROM h GROUP BY 1, 2)
+  JOIN (SELECT thread_id, count(*) AS n, string_agg(text, '|' ORDER BY score, id) FILTER (r <= 2) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY score, id) AS r FROM (SELECT thread_id, text, min(score) AS score, arg_min(id, (score, id)) AS id FROM h GROUP BY 1, 2)) GROUP BY 1) USING (thread_id)) WHERE place <= 40""")
 def search_projection(s, d):
-    hits = _live(s, d).where(F.col("message").contains("PROJ-")).select("thread_id", "id", F.expr("(create_at div 60000) % 3").alias("probe"), (-F.length("message")).cast("double").alias("score"), F.left("message", F.lit(12)).alias("text"))
-    return views.search_rows(hits, 2).withColumns({"probes": F.array_join(F.transform("probes", lambda p: p.cast("string")), "|"), "excerpts": F.array_join("excerpts", "|")})
+    hits = _live(s, d).where(F.col("message").contains("PROJ-")).select(F.col("conversation_id").alias("request"), "thread_id", "id", F.expr("(create_at div 60000) % 3").alias("probe"), (-F.length("message")).cast("double").alias("score"), F.left("message", F.lit(12)).alias("text"))
+    return views.search_rows(hits, 40, 2).withColumns({"probes": F.array_join(F.transform("probes", lambda p: p.cast("string")), "|"), "excerpts": F.array_join("excerpts", "|")})
 
 
 @query("SELECT user_id, count(*) AS post_count FROM live GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
@@ -56,11 +56,11 @@ def inspected_attachments(s, d):
     return views.inspected(f, f.where("cast(id AS int) % 3 = 0").select(F.col("id").alias("file_id"), F.lit("preview").alias("status")))
 
 
-@query("SELECT alias, CASE id WHEN 'c1' THEN 'renamed' WHEN 'c2' THEN 'other_id' WHEN 'c3' THEN 'missing' ELSE 'ok' END AS status FROM conf")
+@query("SELECT alias, CASE number % 7 WHEN 1 THEN 'renamed' WHEN 2 THEN 'other_id' WHEN 3 THEN 'missing' ELSE 'ok' END AS status FROM channels")
 def conversation_identities(s, d):
-    c = tables.conversations(s).select("alias", "id", F.col("alias").alias("name"))
-    seen = c.where("id <> 'c3'").selectExpr("CASE id WHEN 'c2' THEN 'c9' ELSE id END AS id", "CASE id WHEN 'c1' THEN 'platform-old' ELSE name END AS name")
-    return views.identities(c, seen)
+    c = tables.channels(s, d)
+    seen = c.where("number % 7 <> 3").selectExpr("CASE number % 7 WHEN 2 THEN concat('x', id) ELSE id END AS id", "CASE number % 7 WHEN 1 THEN concat(alias, '-old') ELSE alias END AS name")
+    return views.identities(c.select("alias", "id", F.col("alias").alias("name")), seen)
 
 
 @query("SELECT 'user' AS kind, 'assistant' AS id WHERE EXISTS (SELECT 1 FROM posts WHERE user_id = 'assistant') UNION ALL SELECT 'file', id FROM files WHERE id::INT % 2 = 1 AND post_id IN (SELECT id FROM posts)")
@@ -80,7 +80,11 @@ def token_snippets(s, d):
     return _live(s, d).select("id", views.token_snippet(F.col("message"), "approved").alias("snippet"))
 
 
-@query("SELECT v AS value, CASE WHEN v LIKE '%not reachable%' THEN 'outage' ELSE 'money' END AS concept, CASE WHEN v LIKE '%not reachable%' THEN 'not reachable' WHEN v LIKE '%late bill%' THEN 'late bill' ELSE 'bill' END AS alias FROM (VALUES ('a late bill'), ('the site is not reachable, bill'), ('bill')) x(v)")
+_CONCEPTS = {"deferral": ["wait", "we wait"], "placement": ["backend", "keep it on the backend"], "test": ["qa", "qa stand"]}
+_ALIASES = ", ".join(f"('{c}', '{a}')" for c, own in _CONCEPTS.items() for a in own)
+
+
+@query(f"""SELECT message AS value, arg_min(concept, (-length(alias), alias, concept)) AS concept, arg_min(alias, (-length(alias), alias, concept)) AS alias FROM live, (VALUES {_ALIASES}) a(concept, alias)
+  WHERE regexp_matches(lower(message), '(^|[^\\p{{L}}\\p{{N}}_])' || alias || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY id, message""")
 def concept_queries(s, d):
-    values = s.createDataFrame([("a late bill",), ("the site is not reachable, bill",), ("bill",), ("billing",)], "value string")
-    return views.concept_of(values, {"money": ["bill", "late bill"], "outage": ["not reachable", "down"]})
+    return views.concept_of(_live(s, d).select(F.col("message").alias("value")), _CONCEPTS)

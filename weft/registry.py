@@ -38,6 +38,8 @@ files AS (SELECT page_id::VARCHAR AS id, lpad((page_id % 100)::VARCHAR, 10, '0')
 conf(id, alias, priority, scopes, repositories) AS (VALUES
   ('c0', 'payments', 100, ['payments'], ['pay']), ('c1', 'platform', 80, ['platform', 'core'], ['api']), ('c2', 'support', 60, ['support'], CAST([] AS VARCHAR[])),
   ('c3', 'leads', 40, ['leadership'], CAST([] AS VARCHAR[])), ('c4', 'random', 20, CAST([] AS VARCHAR[]), ['api', 'web'])),
+channels AS (SELECT 'k' || lpad(conv_id::VARCHAR, 10, '0') AS id, ['payments', 'platform', 'support', 'leads', 'random'][conv_id % 5 + 1] || '-' || conv_id::VARCHAR AS alias, (100 - 20 * (conv_id % 5))::INT AS priority, conv_id AS number,
+  coalesce(list_sort(list_distinct(list(role) FILTER (role IS NOT NULL))), []) AS scopes, CASE conv_id % 5 WHEN 0 THEN ['pay'] WHEN 1 THEN ['api'] WHEN 4 THEN ['api', 'web'] ELSE CAST([] AS VARCHAR[]) END AS repositories FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 keys AS (SELECT DISTINCT thread_id, id, create_at, upper(unnest(regexp_extract_all(message, '\\b[A-Za-z][A-Za-z0-9]+-[0-9]+\\b'))) AS ticket_key FROM live),
 placed AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY create_at, id) AS pos FROM posts),
 toks AS (SELECT id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token FROM (SELECT id, regexp_extract_all(lower(message), '[\\p{L}\\p{N}]+') AS w FROM live))
@@ -65,6 +67,20 @@ def _index(s, d):
     return opened(s, d, f"{d}/conversations.parquet", f"{scratch(s)}/index-{uuid.uuid4().hex}", lambda: _posts(s, d))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keeps what a query reads several times, and lets go of what the query before kept (which is made again if it is still read)."""
+    while _held:
+        _held.pop().unpersist()
+    _held.append(df.persist())
+    return df
+
+
+def also_held(df: DataFrame) -> DataFrame:
+    """As held(), beside what the same query keeps already."""
+    _held.append(df.persist())
+    return df
+
+
 def scratch(s) -> str:
     """The folder that driver and executors share; in local mode one of our own, where the session names none."""
     where = s.conf.get("spark.checkpoint.dir", None)
@@ -78,6 +94,7 @@ def scratch(s) -> str:
 
 
 _own: list[str] = []
+_held: list[DataFrame] = []
 
 
 def _live(s, d):

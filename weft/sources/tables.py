@@ -54,6 +54,15 @@ def conversations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROUTES, "id string, alias string, priority int, scopes array<string>, repositories array<string>")
 
 
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, alias, priority, scopes, repositories, number): every conversation as a channel of its own; its scopes are the roles that speak in it."""
+    by = conversations_raw(spark, sf_dir).where("conv_id IS NOT NULL").groupBy(F.col("conv_id").alias("number")).agg(F.array_sort(F.collect_set("role")).alias("scopes"))
+    return by.selectExpr(
+        "concat('k', lpad(cast(number as string), 10, '0')) AS id", "concat(element_at(array('payments', 'platform', 'support', 'leads', 'random'), cast(number % 5 as int) + 1), '-', cast(number as string)) AS alias",
+        "cast(100 - 20 * (number % 5) as int) AS priority", "scopes", "CASE number % 5 WHEN 0 THEN array('pay') WHEN 1 THEN array('api') WHEN 4 THEN array('api', 'web') ELSE cast(array() as array<string>) END AS repositories", "number",
+    )
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as attachments; page p hangs on turn 0 of conversation p modulo 100."""
     return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(
