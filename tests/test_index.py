@@ -69,10 +69,10 @@ def test_updates_equal_a_fresh_build(spark, index, tmp_path):
 
 
 def test_checkpoints_are_replaced_by_conversation(spark, index):
-    state = "conversation_id string, newest_post_id string, newest_post_at bigint, oldest_covered_at bigint, last_success_at bigint"
-    index.update(checkpoints=frame(spark, [("c", "p1", 1, 0, 5), ("d", "p2", 2, 0, 6)], state))
-    index.update(frame(spark, CHANGED), checkpoints=frame(spark, [("c", "q", 9, 0, 10)], state))
-    assert sorted(tuple(r) for r in index.table("checkpoints").collect()) == [("c", "q", 9, 0, 10), ("d", "p2", 2, 0, 6)]
+    state = "conversation_id string, newest_post_id string, newest_post_at bigint, oldest_covered_at bigint, last_success_at bigint, error string"
+    index.update(checkpoints=frame(spark, [("c", "p1", 1, 0, 5, None), ("d", "p2", 2, 0, 6, None)], state))
+    index.update(frame(spark, CHANGED), checkpoints=frame(spark, [("c", "q", 9, 0, 10, None)], state))
+    assert sorted(tuple(r) for r in index.table("checkpoints").collect()) == [("c", "q", 9, 0, 10, None), ("d", "p2", 2, 0, 6, None)]
 
 
 def test_searches_read_their_buckets_alone(spark, tmp_path):

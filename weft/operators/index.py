@@ -34,7 +34,7 @@ TABLES = {
     "places": ("id string, thread_id string, live boolean, n_tokens int, postings array<int>, entities array<int>, edges array<int>", "id", "id"),
     "files": ("id string, post_id string, name string, size bigint, delete_at bigint", "post_id", "id"),
     "users": ("id string, username string", "id", "id"),
-    "checkpoints": ("conversation_id string, newest_post_id string, newest_post_at bigint, oldest_covered_at bigint, last_success_at bigint", "conversation_id", "conversation_id"),
+    "checkpoints": ("conversation_id string, newest_post_id string, newest_post_at bigint, oldest_covered_at bigint, last_success_at bigint, error string", "conversation_id", "conversation_id"),
 }
 #: Derived from posts; each has the post's id in the column named.
 DERIVED = {"postings": "id", "entities": "post_id", "edges": "id"}
@@ -126,9 +126,9 @@ class PostIndex:
         n, length = places.where("live").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         return {"n_docs": n, "total_len": length}
 
-    def update(self, posts: DataFrame | None = None, files: DataFrame | None = None, users: DataFrame | None = None, checkpoints: DataFrame | None = None) -> PostIndex:
+    def update(self, posts: DataFrame | None = None, files: DataFrame | None = None, users: DataFrame | None = None, checkpoints: DataFrame | None = None, meta: dict | None = None) -> PostIndex:
         """Changed posts that are newer than what is stored replace it (on equal versions too), also where they name another thread;
-        files and users replace those of the same id. What follows from them is made anew for the posts they touch. One version holds it all.
+        files and users replace those of the same id. What follows from them is made anew for the posts they touch. One version holds it all, and what meta says beside the totals.
 
         Posts are found by their places; those of changed users by a scan of the documents' authors.
         """
@@ -164,7 +164,7 @@ class PostIndex:
         if checkpoints is not None:
             replace("checkpoints", checkpoints, hit("checkpoints", checkpoints), checkpoints.select("conversation_id"), "conversation_id")
         given = self._empty("docs") if posts is None else self._rows(posts)
-        meta = {}
+        meta = dict(meta or {})
         if posts is not None:
             touched_ids.append(given.select("id"))
         ids = reduce(DataFrame.unionByName, touched_ids).distinct() if touched_ids else None
@@ -194,8 +194,8 @@ class PostIndex:
             made = self._places(fresh, derived, n)
             now = replace("places", made, at, fresh.select("id"), "id")
             gone, come = self._totals(places), self._totals(now.join(fresh.select("id"), "id", "left_semi"))
-            meta = {k: old["meta"][k] - gone[k] + come[k] for k in gone}
-        if changes:
+            meta |= {k: old["meta"][k] - gone[k] + come[k] for k in gone}
+        if changes or meta:
             s.publish(old, changes, meta)
         return self
 
