@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import cut, named
-from .memory import give_back
+from .memory import give_back, trim
 from .textcore import as_bytes, hash_words, ranges, slices
 
 MARK = "▁"
@@ -108,10 +108,6 @@ class TokenizerPair:
         if max(self.a_sizes.max(), self.b_sizes.max()) >= SIZES or max(len(self.a_sizes), len(self.b_sizes)) >= (1 << 31) // SIZES:
             raise ValueError("ids or tokens are too large to travel as one integer")
 
-    def lossless(self, text: str) -> bool:
-        """Whether b's pieces spell space + text: its normalizer changes nothing, and every space is one."""
-        return MARK not in text and self.b.normalize(text) == MARK + text.replace(" ", MARK)
-
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         b = self.b.encode(pieces, num_threads=1)
@@ -122,14 +118,9 @@ class TokenizerPair:
         return a, b
 
 
-_pairs: dict[tuple[str, str], TokenizerPair] = {}
-
-
-def pair(a_path: str, b_path: str) -> TokenizerPair:
-    """One pair for each Python worker and paths."""
-    if (a_path, b_path) not in _pairs:
-        _pairs[a_path, b_path] = TokenizerPair(a_path, b_path)
-    return _pairs[a_path, b_path]
+def lossless(b, text: str) -> bool:
+    """Whether pieces of b, a SentencePiece processor, spell space + text: its normalizer changes nothing, and every space is one."""
+    return MARK not in text and b.normalize(text) == MARK + text.replace(" ", MARK)
 
 
 #: A token travels as id * SIZES + length in bytes.
@@ -146,12 +137,15 @@ def encode_pieces(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        both = pair(a_path, b_path)
+        both = TokenizerPair(a_path, b_path)
         for batch in batches:
             for at in range(0, batch.num_rows, CALL):
                 part = batch.slice(at, CALL)
                 a, b = both.encode(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(a, both.a_sizes), _lists(b, both.b_sizes)], ["id", "n", "a", "b"])
+        # Loaded for the task alone: the worker goes on to other stages.
+        del both
+        trim()
 
     return pieces.select("id", "n", "piece").mapInArrow(run, f"id bigint, n bigint, {TOKENS}")
 
@@ -224,17 +218,19 @@ def lengthened(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _sliced(a_path: str, b_path: str):
+def _sliced(b_path: str):
     """Slices of the texts: keys, pieces of each text, each piece's number among the slice's distinct ones, and those with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(a_path, b_path)
+        import sentencepiece
+
+        b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         for batch in batches:
             whole, at = as_bytes(batch.column(1))
             for lo, hi in slices(at, SLICE):
                 raw, offsets = whole[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 start, end, counts = text_pieces(raw, offsets)
-                fine = np.array([both.lossless(x.as_py() or "") for x in batch.column(1).slice(lo, hi - lo)], bool)
+                fine = np.array([lossless(b, x.as_py() or "") for x in batch.column(1).slice(lo, hi - lo)], bool)
                 keep = np.repeat(fine, counts)
                 start, end, counts = start[keep], end[keep], np.where(fine, counts, 0)
                 _, first, number, times = np.unique(hash_words(raw, start, end, lower=False), return_index=True, return_inverse=True, return_counts=True)
@@ -307,7 +303,7 @@ def _put_together(names: list[str]):
 def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row."""
     kind = docs.schema[key].dataType.simpleString()
-    sliced = docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_sliced(a_path, b_path), f"keys array<{kind}>, counts array<int>, numbers binary, pieces array<string>, times array<bigint>")
+    sliced = docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_sliced(b_path), f"keys array<{kind}>, counts array<int>, numbers binary, pieces array<string>, times array<bigint>")
     sliced = cut(sliced.withColumn("slice", F.monotonically_increasing_id()), "slices", "zstd")
     each = sliced.select("slice", F.posexplode("pieces").alias("number", "piece"))
     counted = sliced.select(F.explode(F.arrays_zip("pieces", "times")).alias("x")).groupBy(F.col("x.pieces").alias("piece")).agg(F.sum("x.times").alias("n"))

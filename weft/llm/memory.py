@@ -28,3 +28,13 @@ def give_back() -> None:
     if mallopt is not None:
         mallopt(_MMAP_THRESHOLD, MAPPED_BYTES)
         mallopt(_TRIM_THRESHOLD, MAPPED_BYTES)
+
+
+def trim() -> None:
+    """Gives back what is free in the heap too, after large things were dropped."""
+    import gc
+
+    gc.collect()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if malloc_trim is not None:
+        malloc_trim(0)
