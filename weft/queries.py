@@ -523,4 +523,4 @@ def concept_hits(s, d):
     return rows.select("id", F.replace(F.col("token"), F.lit("zzconcept"), F.lit("")).alias("concept"))
 
 
-from weft import queries_brief, queries_diff, queries_evidence, queries_lookups, queries_packets, queries_search, queries_views  # noqa: E402, F401
+from weft import queries_brief, queries_candidates, queries_diff, queries_evidence, queries_lookups, queries_packets, queries_search, queries_views  # noqa: E402, F401

@@ -24,7 +24,7 @@ def _requests(batch) -> list[channels.Request]:
     return out
 
 
-def _retrieved(requests: list[channels.Request], typos: list[channels.Request] = ()) -> str:
+def _retrieved(requests: list[channels.Request], typos: list[channels.Request] = (), scope: str = "true") -> str:
     """rk: (request, subject, probe, source, query, id, thread_id, rank) of the best hits; ct: contributions of threads."""
     rows = []
     for r in requests:
@@ -48,7 +48,7 @@ tf AS (SELECT token, id, count(*)::DOUBLE AS tf, count(*) OVER (PARTITION BY tok
 ph AS (SELECT *, count(*) OVER (PARTITION BY request) AS df FROM (SELECT request, id, count(*)::DOUBLE AS tf FROM (SELECT request, id, pos - place AS st FROM rt JOIN toks USING (token) WHERE kind = 'phrase' GROUP BY request, need, id, st HAVING count(*) = need) GROUP BY 1, 2)),
 sc AS (SELECT request, id, sum({part('df')}) AS score FROM rt JOIN tf USING (token) JOIN dl USING (id) WHERE kind = 'bm25' GROUP BY request, need, id HAVING count(*) >= need
   UNION ALL SELECT request, id, {part('df')} FROM ph JOIN dl USING (id) {fuzzy}),
-rk AS (SELECT rq.*, id, thread_id, rank FROM (SELECT request, s.id, thread_id, row_number() OVER (PARTITION BY request ORDER BY round(score, 12) DESC, create_at DESC, s.id) AS rank FROM sc s JOIN live USING (id)) JOIN rq USING (request) WHERE rank <= {channels.MOST_HITS}),
+rk AS (SELECT rq.*, id, thread_id, rank FROM (SELECT request, s.id, thread_id, row_number() OVER (PARTITION BY request ORDER BY round(score, 12) DESC, create_at DESC, s.id) AS rank FROM sc s JOIN live USING (id) WHERE {scope}) JOIN rq USING (request) WHERE rank <= {channels.MOST_HITS}),
 ct AS (SELECT subject, thread_id, probe, source, max(w / (60 + place)) AS score FROM (SELECT subject, thread_id, probe, source, CASE source {weights} END AS w, row_number() OVER (PARTITION BY request ORDER BY min(rank)) AS place FROM rk GROUP BY request, subject, thread_id, probe, source) GROUP BY ALL)"""
 
 
