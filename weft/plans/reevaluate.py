@@ -17,10 +17,10 @@ from weft.operators.index import PostIndex
 from weft.plans import channels
 
 PROBES = "request string, probe int, value string, term string, n_terms int"
-# Labels that a change of texts does not take away, and those that exempt a candidate from having matches; sizes of noisy terms; places and excerpts of pointers.
+# Labels that a change of texts does not take away, and those that exempt a candidate from having matches; sizes of noisy terms; pointers of a request.
 KEPT_LABELS = ("direct_post", "explicit_ticket_relationship", "remote_search", "rank_fusion", "conversation_priority", "latest_activity")
 EXEMPT = ("direct_post", "explicit_ticket_relationship")
-SHORT_TERM, SOFT_TERM, MOST_POINTERS, MOST_EXCERPTS = 3, 5, 5, 2
+SHORT_TERM, SOFT_TERM, MOST_POINTERS = 4, 6, 5
 
 
 def probe_table(spark, requests: dict[str, list[subjects.Probe]]) -> DataFrame:
