@@ -73,3 +73,16 @@ def test_benchmark_floors(spark, tmp_path):
 def test_bad_fixtures(harm):
     with pytest.raises(benchmark.InvalidFixture):
         benchmark.load_fixture(json.dumps({**FIXTURE, **harm}))
+
+
+def test_all_cases_run_in_one_plan(spark, tmp_path):
+    fixture = benchmark.load_fixture(json.dumps({**FIXTURE, "cases": [*FIXTURE["cases"], {"id": "none", "subject": "gateway", "queries": [], "expectedThreads": [{"threadId": "t1", "grade": 1}]}]}))
+    posts = benchmark.fixture_posts(spark, fixture)
+    index = PostIndex(spark, str(tmp_path), 2).build(posts)
+    rows = benchmark.ranked(index, fixture)
+    got = {r["case"]: r for r in benchmark.report(rows, posts, spark.createDataFrame([("a", "ann")], "id string, username string")).collect()}
+    assert (got["one"]["recall"], got["one"]["rr"], got["one"]["irrelevant"], got["one"]["budget_before"]) == (1.0, 1.0, 0, 0)
+    assert got["two"]["recall"] == 1.0 and got["none"]["recall"] == 0.0 and got["none"]["irrelevant"] == 1
+    assert got["none"]["budget_before"] == len("ann") + 24 + len("Deploy of the gateway was late on Friday")
+    assert all(r["stable"] for r in benchmark.stable(rows, benchmark.ranked(index, fixture)).collect())
+    assert {r["case"]: r["stable"] for r in benchmark.stable(rows, rows.where("case <> 'two' OR rank > 1")).collect()} == {"one": True, "two": False, "none": True}
