@@ -124,6 +124,8 @@ def test_an_id_is_dealt_out_once(spark):
 def test_sizes_are_read_from_groups():
     import pyarrow as pa
 
+    many = ["1,2|9,8;3|7", "", "5|6,7,8;1,2,3|4"] * 60_000  # more than is looked at together
+    assert [x[-3:].tolist() for x in group_sizes(pa.array(many))] == [[3, 0, 4], [3, 0, 4], [2, 0, 2], [4, 0, 6]]
     assert [x.tolist() for x in group_sizes(pa.array(["1,2|9,8;3|7", "", "5|6,7,8;1,2,3|4"]))] == [[3, 0, 4], [3, 0, 4], [2, 0, 2], [4, 0, 6]]
 
 

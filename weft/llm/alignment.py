@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import cut, named
+from .exchange import buckets, cut, named
 from .memory import give_back, trim
 from .textcore import as_bytes, hash_words, ranges, slices
 
@@ -250,8 +250,16 @@ def _sliced(b_path: str):
 
 
 def group_sizes(groups: pa.Array) -> tuple[np.ndarray, ...]:
-    """(n_a, n_b, n_groups, n_links) of each text's groups, from the marks in them."""
+    """(n_a, n_b, n_groups, n_links) of each text's groups, from the marks in them, some texts at a time."""
     raw, offsets = as_bytes(groups)
+    out = [np.zeros(len(groups), np.int64) for _ in range(4)]
+    for lo, hi in slices(offsets, 1 << 19):
+        for to, x in zip(out, _marks(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), strict=True):
+            to[lo:hi] = x
+    return tuple(out)
+
+
+def _marks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = lambda mask: np.diff(np.append(0, np.cumsum(mask, dtype=np.int64))[offsets])
     bar, comma = raw == ord("|"), raw == ord(",")
     # A comma is on side a if no bar has come since the last group began.
@@ -312,6 +320,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     known = pieces.select("id", "piece").join(texts.select("id", "groups"), "id").join(link_sums(texts), "id").select("piece", "n_best", "count_sum", "groups")
     answers = each.join(known, "piece").select("slice", F.lit(0).alias("whole"), "number", "n_best", "count_sum", "groups")
     rows = answers.unionByName(sliced.select("slice", F.lit(1).alias("whole"), "keys", "counts", "numbers"), allowMissingColumns=True)
-    whole = rows.repartition("slice").sortWithinPartitions("slice", "whole", "number")
+    # A number of its own, so that small slices are not gathered in one task.
+    whole = rows.repartition(buckets(docs), "slice").sortWithinPartitions("slice", "whole", "number")
     names = [key, *SUMS, "groups_sha256"]
     return whole.mapInArrow(_put_together(names), f"`{key.replace('`', '``')}` {kind}, " + ", ".join(f"{c} bigint" for c in SUMS) + ", groups_sha256 string")
