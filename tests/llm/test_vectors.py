@@ -4,7 +4,7 @@ import pytest
 from weft.llm import vector_links
 from weft.llm.q_vectors import op12_cosine_links
 from weft.llm.quantiser import Quantiser
-from weft.llm.vector_links import cosine_links, least_connected
+from weft.llm.vector_links import cosine_links, least_connected, least_hashed
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -99,6 +99,26 @@ def test_codes_bound_distances_from_below():
         assert (np.sqrt(np.maximum(model.distances(x, at, codes[mine]), 0)) - rest[mine] <= far + 1e-3).all()
 
 
+def test_a_fit_holds_few_distances():
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(20_000, 8))
+    tracemalloc.start()
+    own = Quantiser.fit(x, 2000).margins(x[:50])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(own) == 50 and peak < 160 << 20  # all distances at once are 320 MB
+
+
+def test_the_sample_is_cut_before_its_sort(spark):
+    rows = spark.range(40_000).selectExpr("cast(id AS string) AS v").repartition(8)
+    got = least_hashed(rows, 40_000, 500)
+    assert [r["v"] for r in got.collect()] == [r["v"] for r in rows.selectExpr("v", "xxhash64(v) AS h").orderBy("h", "v").limit(500).collect()]
+    assert least_hashed(rows, 40_000, 50_000).count() == 40_000
+    filters = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert len(filters) == 1 and "xxhash64" in filters[0]
+
+
 def test_components_of_a_cell():
     node = np.array([3, 5, 8, 9, 12, 20])
     assert least_connected(node, np.array([4, 2, 1]), np.array([2, 1, 5])).tolist() == [3, 5, 5, 9, 5, 5]

@@ -8,12 +8,17 @@ import numpy as np
 
 #: Centroids of a subspace, subspaces, and rounds of Lloyd's iteration.
 CODES, SUBSPACES, ROUNDS = 256, 8, 10
-#: Sample rows that the subspaces are fitted on.
-CODE_ROWS = 8192
+#: Sample rows that the subspaces are fitted on; distances that are held at once.
+CODE_ROWS, DISTANCES = 8192, 1 << 22
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin((centroids**2).sum(1) - 2 * (x @ centroids.T), axis=1)
+    """Each row's nearest centroid, some rows at a time."""
+    half, turned = (centroids**2).sum(1) / 2, centroids.T
+    step, out = max(1, DISTANCES // len(centroids)), np.empty(len(x), np.int64)
+    for at in range(0, len(x), step):
+        out[at : at + step] = np.argmin(half - x[at : at + step] @ turned, axis=1)
+    return out
 
 
 def lloyd(x: np.ndarray, k: int, seed: int) -> np.ndarray:
