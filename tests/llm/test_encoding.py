@@ -58,6 +58,34 @@ def test_word_ids_equal_the_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_word_units_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from weft.llm.word_ids import WordIds
+
+    t, r = Tokenizer.from_file(WORDS), random.Random(4)
+    chars = [*map(chr, range(0x21, 0x100)), *"abcABCéÉßÿ´·ªºµ×÷'<|>09", "İ", "Σ", "ς", "\u0301", "ﬁ", "\u2003", "漢", "🙂", "²", "½", "\xad"]
+    words = ["".join(r.choice(chars) for _ in range(r.randint(1, 12))) for _ in range(4000)] + ["<|endoftext|>", "a<|endoftext|>b", "<|x", "I'll", "Straße123", "E\u0301"]
+    of = WordIds(WORDS)
+    for texts in ([" ".join(words[i : i + 7]) for i in range(0, len(words), 7)], words):  # new words, then known ones and units
+        assert [np.frombuffer(g, "<u4").tolist() for g in of.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    other = WordIds(WORDS)
+    other.merges = None  # a tokenizer of another pattern goes the whole way
+    assert other.encode([x.encode() for x in words]) == of.encode([x.encode() for x in words])
+
+
+def test_distinct_units_are_merged_once():
+    from weft.llm.word_ids import WordIds
+
+    of, asked = WordIds(WORDS), []
+    learn = of._learn_units
+    of._learn_units = lambda units: asked.extend(units) or learn(units)
+    of.encode(["Straße, straße. (STRASSE) Strasse!".encode(), "straße (strasse, straße!".encode()])
+    assert sorted(asked) == sorted(["straße", "strasse", ",", ".", "(", ")", "!"])
+
+
 @pytest.mark.parametrize("counts", [{}, {5: 1}, {2047: 3, 1: 2}, {1024: 5}, {700: 10, 600: 4, 48: 9}, {1: 5000}])
 def test_plan_places_every_piece_once(counts):
     placed, bins = {}, 0

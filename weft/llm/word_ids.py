@@ -2,18 +2,50 @@
 
 The tokenizer splits at white space before merging, so a text's ids are its words' ids
 in order. Strings of special tokens in a text become those tokens, as the library's plain
-call has it; none of them holds white space, so they lie within words. Words new to the worker are encoded together in one call, with a control
-character between them that gives a token of its own.
+call has it; none of them holds white space, so they lie within words.
+
+Where the tokenizer has the normalizer and the pattern named here, words of ASCII and Latin-1 letters,
+digits and signs are put in lower case and split into units here, and each distinct unit goes through
+the library's merges once; a token with the end mark ends a unit. All other words (an
+apostrophe begins contractions, `<|` special tokens) take the library's whole way; those new to
+the worker are encoded together in one call, with a control character between them that gives a
+token of its own.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 
 FENCE = "\x01"
-#: Words kept in each of the cache's two generations.
+#: Words, and units of words, kept in each of the cache's two generations.
 CACHE_ENTRIES = 400_000
 CALL_WORDS = 4000
+#: What the units below stand for; a tokenizer with anything else goes the whole way.
+NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: What sends a word the whole way: all but the characters that NFC leaves alone and whose lower case is one character for each; apostrophes and `<|`.
+_OTHER = re.compile(r"[^!-&(-~À-ÖØ-öø-ÿ]|<\|")
+_UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def splits_as_named(tokenizer) -> bool:
+    """Whether the tokenizer's normalizer, pattern and end mark are those that the units are made for."""
+    told = json.loads(tokenizer.to_str())
+    steps = (told["normalizer"] or {}).get("normalizers", [])
+    splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [(x["type"], x.get("pattern", {}).get("Regex")) for x in steps] == NORMALIZER
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and (splits[0]["pattern"].get("Regex"), splits[0]["behavior"], splits[0]["invert"]) == (PATTERN, "Removed", True)
+        and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
+        and told["model"]["type"] == "BPE"
+        and told["model"]["end_of_word_suffix"] == "</w>"
+        and not told["model"].get("dropout")
+        and all(x["content"].startswith("<|") and not x["normalized"] for x in told["added_tokens"])
+    )
 
 
 class WordIds:
@@ -25,11 +57,55 @@ class WordIds:
         self.fence = int(fence[0]) if len(fence) == 1 else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.merges, self.units, self.old_units = None, {}, {}
+        if splits_as_named(self.tokenizer):
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _call(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _learn_units(self, units: list[str]) -> bool:
+        """Whether the ids could be told apart."""
+        for at in range(0, len(units), CALL_WORDS):
+            some = units[at : at + CALL_WORDS]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                return False
+            raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.units.update(zip(some, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
+        return True
+
+    def _learn_plain(self, words: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
+        """Learns words by their units; returns those that must go the whole way."""
+        if len(self.units) > CACHE_ENTRIES:
+            self.old_units, self.units = self.units, {}
+        strange, parts = _OTHER.search, _UNIT.findall
+        split, other = [], []
+        for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
+            if strange(s):
+                other.append(w)
+            else:
+                split.append((w, parts(s.lower())))
+        wanted = set().union(*(u for _, u in split)).difference(self.units)
+        known = {u: self.old_units[u] for u in wanted if u in self.old_units}
+        self.units.update(known)
+        if not self._learn_units(list(wanted.difference(known))):
+            return words
+        ids = self.units.__getitem__
+        for w, units in split:
+            into[w] = ids(units[0]) if len(units) == 1 else b"".join(map(ids, units))
+        return other
+
     def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        if words and self.merges is not None:
+            words = self._learn_plain(words, into)
         plain = []
         for w in words:
             if self.fence is None or FENCE.encode() in w:
@@ -54,17 +130,16 @@ class WordIds:
         split = [t.split() for t in texts]
         if len(self.young) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, {}
-        for words in split:
-            for w in words:
-                if w not in young:
-                    got = old.get(w)
-                    if got is None:
-                        new[w] = b""
-                    else:
-                        young[w] = got
-        self._learn(list(new), young)
-        return [b"".join([young[w] for w in words]) for words in split]
+        young, old, new = self.young, self.old, []
+        for w in set().union(*split).difference(young):
+            got = old.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                young[w] = got
+        self._learn(new, young)
+        ids = young.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 _made: dict[str, WordIds] = {}
