@@ -136,6 +136,27 @@ def test_pieces_equal_whole_texts(spark, encoders):
     assert (row["a"], row["b"], row["n"]) == (packed(x, map(len, xs)), packed(y, map(len, ys)), 3)
 
 
+def test_pieces_of_a_slice_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from weft.llm.alignment import _sliced
+
+    words = np.array([b"a ", b"bc ", b"de, ", b"f. "])[np.random.default_rng(2).integers(0, 4, 2_000_000)].tolist()
+    texts = [b"".join(words[i : i + 20_000]).decode() for i in range(0, len(words), 20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    run = _sliced(vocabulary(B))
+    list(run(iter([batch.slice(0, 1)])))  # tables that stay
+    tracemalloc.start()
+    (out,) = run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out.column("times")[0].as_py()) == sum(out.column("counts")[0].as_py()) > 1_900_000
+    assert peak < 96 << 20
+
+
 @pytest.mark.parametrize("size", ["sf0.001"])
 def test_query_over_the_whole_table(spark, encoders, size):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text").collect()]

@@ -43,6 +43,8 @@ MARK = "▁"
 SLICE = 12 << 20
 #: Occurrences of pieces whose sums are taken at once.
 PIECES = 1 << 18
+#: Bytes of text whose pieces are found at once.
+STRETCH = 1 << 20
 #: Pieces in one call of a tokenizer, and id pairs (of 24 bytes) that may be broadcast.
 CALL, BROADCAST_PAIRS = 2000, 1_000_000
 
@@ -218,6 +220,32 @@ def lengthened(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
+def hashed_pieces(raw: np.ndarray, offsets: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, number in each row, hash) of the pieces of the texts that are fine, found some texts at a time."""
+    counts, parts = np.zeros(len(fine), np.int64), []
+    for lo, hi in slices(offsets, STRETCH):
+        base = offsets[lo]
+        own = raw[base : offsets[hi]]
+        start, end, counts[lo:hi] = text_pieces(own, offsets[lo : hi + 1] - base)
+        keep = np.repeat(fine[lo:hi], counts[lo:hi])
+        start, end = start[keep], end[keep]
+        parts.append(((start + base).astype(np.int32), (end + base).astype(np.int32), hash_words(own, start, end, lower=False)))
+    counts[~fine] = 0
+    start, end, hashes = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int32, np.int32, np.uint64)))
+    return start, end, counts, hashes
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, number of each place, occurrences) of the distinct hashes in order, as np.unique has them, in narrow types."""
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    sorted_ = hashes[order]
+    head = np.append(True, sorted_[1:] != sorted_[:-1]) if len(order) else np.zeros(0, bool)
+    del sorted_
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(head, dtype=np.int32) - 1
+    return order[head], number, np.diff(np.append(np.flatnonzero(head), len(order)))
+
+
 def _sliced(b_path: str):
     """Slices of the texts: keys, pieces of each text, each piece's number among the slice's distinct ones, and those with their counts."""
 
@@ -229,22 +257,26 @@ def _sliced(b_path: str):
             whole, at = as_bytes(batch.column(1))
             for lo, hi in slices(at, SLICE):
                 raw, offsets = whole[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                start, end, counts = text_pieces(raw, offsets)
                 fine = np.array([lossless(b, x.as_py() or "") for x in batch.column(1).slice(lo, hi - lo)], bool)
-                keep = np.repeat(fine, counts)
-                start, end, counts = start[keep], end[keep], np.where(fine, counts, 0)
-                _, first, number, times = np.unique(hash_words(raw, start, end, lower=False), return_index=True, return_inverse=True, return_counts=True)
+                start, end, counts, hashes = hashed_pieces(raw, offsets, fine)
+                first, number, times = distinct(hashes)
+                del hashes
                 often = np.argsort(-times, kind="stable")  # frequent pieces get small numbers
-                first, times, place = first[often], times[often], np.empty(len(often), np.int64)
+                first, times, place = first[often], times[often], np.empty(len(often), np.int32)
                 place[often] = np.arange(len(often))
+                number = place[number]
                 sizes = (end - start)[first]
                 chars = raw[ranges(start[first], sizes)]
                 pieces = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(chars)])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts.astype(np.int32))), pa.array([shortened(place[number])], pa.binary()), one(pieces), one(pa.array(times.astype(np.int64)))],
+                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(counts.astype(np.int32))), pa.array([shortened(number)], pa.binary()), one(pieces), one(pa.array(times.astype(np.int64)))],
                     ["keys", "counts", "numbers", "pieces", "times"],
                 )
+                del start, end, counts, first, number, times, often, place, sizes, chars, pieces
+        # Loaded for the task alone: the worker goes on to other stages.
+        del b
+        trim()
 
     return run
 
