@@ -157,6 +157,35 @@ def test_pieces_of_a_slice_take_little_memory():
     assert peak < 96 << 20
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pieces_and_answers_travel_in_packed_rows(spark, encoders):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeéfgh'") for _ in range(r.randint(1, 9))) + "x" for _ in range(400)]
+    words = list(dict.fromkeys(words))
+    texts = [r.sample(words, len(words)) for _ in range(32)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)  # a slice or more for each
+    before = shuffled_rows(spark)
+    assert answers(align_documents(df, vocabulary(A), vocabulary(B))) == brute(rows, encoders)
+    # A row for each piece of each slice would be more than this on every way.
+    assert shuffled_rows(spark) - before < sum(map(len, texts))
+
+
+def test_columns_are_squeezed():
+    import numpy as np
+
+    from weft.llm.exchange import opened, squeezed
+
+    columns = [np.array([1, 70_000, 2**32 - 1], np.uint32), np.array([], np.int64), np.array([-5, 2**62], np.int64), np.frombuffer(b"abc", np.uint8)]
+    assert [x.tolist() for x in opened(squeezed(columns), ["u4", "i8", "i8", "u1"])] == [x.tolist() for x in columns]
+    assert len(squeezed([np.arange(1 << 16, dtype=np.int64)])) < 3 << 16
+
+
 @pytest.mark.parametrize("size", ["sf0.001"])
 def test_query_over_the_whole_table(spark, encoders, size):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text").collect()]

@@ -11,7 +11,9 @@ are ends, and never from pairing the tokens of a group with each other.
 Whole corpora repeat their words. A text falls into pieces that neither tokenizer looks
 across (see text_pieces), so align_documents() aligns each distinct piece once, with the
 number of times it stands in texts, and puts documents together from pieces. Counts of links,
-best links and groups are those of all occurrences.
+best links and groups are those of all occurrences. Texts are taken in slices and pieces in
+buckets; between them travel packed rows, one for each slice and bucket, in which nothing
+but the order of its pieces says what belongs to which.
 
 A tokenizer pair is (a: byte-level BPE file of the tokenizers library, which sees space + text;
 b: merge-type SentencePiece model with byte fallback, which adds the space itself). Strings of
@@ -34,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import buckets, cut, named
+from .exchange import buckets, cut, named, opened, squeezed
 from .memory import give_back, trim
-from .textcore import as_bytes, hash_words, ranges, slices
+from .textcore import as_bytes, hash_bucket, hash_words, ranges, slices
 
 MARK = "▁"
 #: Bytes of text whose pieces are told apart and answered together; a longer text stands alone.
@@ -210,13 +212,14 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def shortened(numbers: np.ndarray) -> bytes:
-    """Numbers of two bytes each, larger ones marked and following with four."""
-    return np.minimum(numbers, 0xFFFF).astype(np.uint16).tobytes() + numbers[numbers >= 0xFFFF].astype(np.uint32).tobytes()
+    """Numbers of up to four bytes each; small ones take less."""
+    return squeezed([numbers.astype(np.uint32)])
 
 
 def lengthened(blob: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(blob, np.uint16, n).astype(np.uint32)
-    out[out == 0xFFFF] = np.frombuffer(blob[2 * n :], np.uint32)
+    (out,) = opened(blob, ["u4"])
+    if len(out) != n:
+        raise ValueError(f"{len(out)} numbers, not {n}")
     return out
 
 
@@ -281,6 +284,89 @@ def _sliced(b_path: str):
     return run
 
 
+#: A slice's parts: for each bucket that has any of its pieces, the sizes, counts and bytes of those.
+DEALT = "counts array<int>, numbers binary, deal binary, parts array<struct<bucket: int, blob: binary>>"
+
+
+def _dealt(b_path: str, n: int):
+    """Slices whose distinct pieces are dealt out to n buckets by their hash; deal: the bucket of each."""
+    slices_of = _sliced(b_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices_of(batches):
+            raw, offsets = as_bytes(batch.column("pieces")[0].values)
+            sizes, times = np.diff(offsets), batch.column("times")[0].values.to_numpy()
+            deal = hash_bucket(hash_words(raw, offsets[:-1], offsets[1:], lower=False), n)
+            order = np.argsort(deal, kind="stable")
+            edges = np.searchsorted(deal[order], np.arange(n + 1))
+            filled = np.flatnonzero(np.diff(edges))
+            own = [order[edges[k] : edges[k + 1]] for k in filled.tolist()]
+            blobs = [squeezed([sizes[x].astype(np.uint32), times[x].astype(np.uint32), raw[ranges(offsets[x], sizes[x])]]) for x in own]
+            parts = pa.StructArray.from_arrays([pa.array(filled.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("keys", "counts", "numbers")), pa.array([shortened(deal)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts)],
+                ["keys", "counts", "numbers", "deal", "parts"],
+            )
+
+    return run
+
+
+#: A bucket's distinct pieces, each with an id (the bucket above 32 bits) and its occurrences, and the places among them of each slice's pieces.
+MET = "bucket int, id bigint, n bigint, piece string, slice bigint, places binary"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of all slices that a bucket has, and so a task, met."""
+    give_back()
+    of: dict[int, list[tuple[int, bytes]]] = {}
+    for batch in batches:
+        for s, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "bucket", "blob")), strict=True):
+            of.setdefault(bucket, []).append((s, blob))
+    kinds = {"bucket": pa.int32(), "id": pa.int64(), "n": pa.int64(), "piece": pa.string(), "slice": pa.int64(), "places": pa.binary()}
+
+    def rows(**known) -> pa.RecordBatch:
+        n = len(next(iter(known.values())))
+        return pa.RecordBatch.from_arrays([pa.array(known[c], k) if c in known else pa.nulls(n, k) for c, k in kinds.items()], [*kinds])
+
+    for bucket, parts in of.items():
+        sizes, times, chars = zip(*(opened(blob, ["u4", "u4", "u1"]) for _, blob in parts), strict=True)
+        at = np.append(0, np.cumsum(np.concatenate(sizes), dtype=np.int64))
+        coded = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(chars))]).dictionary_encode()
+        del chars, at
+        code, pieces = coded.indices.to_numpy(), coded.dictionary
+        n = np.zeros(len(pieces), np.int64)
+        np.add.at(n, code, np.concatenate(times).astype(np.int64))
+        for lo, hi in slices(as_bytes(pieces)[1], STRETCH):
+            own = pieces.slice(lo, hi - lo).cast(pa.string())
+            yield rows(bucket=np.full(len(own), bucket), id=(bucket << 32) + np.arange(lo, hi), n=n[lo:hi], piece=own)
+        edges = np.append(0, np.cumsum([len(x) for x in sizes]))
+        for (s, _), lo, hi in zip(parts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield rows(bucket=[bucket], slice=[s], places=[shortened(code[lo:hi])])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's answers to each slice, in the order of the places. Takes (bucket, id, groups), (bucket, id, n_best, count_sum) and (bucket, slice, places) of one bucket, in any order."""
+    give_back()
+    parts: dict[str, list[pa.RecordBatch]] = {"groups": [], "n_best": [], "places": []}
+    for batch in batches:
+        for column, held in parts.items():
+            held.append(batch.filter(batch.column(column).is_valid()))
+    if not any(x.num_rows for x in parts["places"]):
+        return
+    asked = pa.Table.from_batches(parts.pop("places"))
+    texts, sums = (pa.Table.from_batches(parts.pop(c)).sort_by("id") for c in ("groups", "n_best"))
+    (bucket,) = asked.column("bucket").unique().to_pylist()
+    want = (bucket << 32) + np.arange(len(texts))
+    if any(not np.array_equal(x.column("id").to_numpy(), want) for x in (texts, sums)):
+        raise ValueError(f"the pieces of bucket {bucket} have no or several answers")
+    groups, best, count = texts.column("groups").combine_chunks(), sums.column("n_best").to_numpy(), sums.column("count_sum").to_numpy()
+    for s, blob in zip(asked.column("slice").to_pylist(), asked.column("places").to_pylist(), strict=True):
+        (at,) = opened(blob, ["u4"])
+        raw, offsets = as_bytes(groups.take(pa.array(at)))
+        answer = squeezed([np.diff(offsets).astype(np.uint32), best[at].astype(np.uint32), count[at], raw])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([bucket], pa.int32()), pa.array([answer], pa.binary())], ["slice", "bucket", "blob"])
+
+
 def group_sizes(groups: pa.Array) -> tuple[np.ndarray, ...]:
     """(n_a, n_b, n_groups, n_links) of each text's groups, from the marks in them, some texts at a time."""
     raw, offsets = as_bytes(groups)
@@ -303,18 +389,23 @@ def _marks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _put_together(names: list[str]):
-    """Sums and the digest of the groups for each text of a slice. A slice's pieces come first, by their numbers, then the slice itself."""
+    """Sums and the digest of the groups for each text of a slice. Its pieces' answers come first, by bucket, then the slice itself."""
 
-    def texts(keys: pa.Array, counts: np.ndarray, blob: bytes, found: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def texts(keys: pa.Array, counts: np.ndarray, numbers: bytes, deal: bytes, answers: list[bytes]) -> pa.RecordBatch:
         at = np.append(0, np.cumsum(counts)).astype(np.int64)
-        number = lengthened(blob, int(at[-1]))
         sums, digests = [np.zeros(len(counts), np.int64) for _ in SUMS], [""] * len(counts)
-        if found:
-            held = pa.Table.from_batches(found).combine_chunks()
-            raw, offsets = as_bytes(held.column("groups"))
+        (bucket,) = opened(deal, ["u4"])
+        if len(bucket):
+            sizes, best, count, raw = (np.concatenate(x) for x in zip(*(opened(x, ["u4", "u4", "i8", "u1"]) for x in answers), strict=True))
+            if len(sizes) != len(bucket):
+                raise ValueError(f"{len(sizes)} answers to {len(bucket)} pieces")
+            place = np.empty(len(bucket), np.int32)
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            number = place[lengthened(numbers, int(at[-1]))]
+            offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
             whole, edges = raw.tobytes(), offsets.tolist()
             groups = [whole[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            own = (*group_sizes(held.column("groups")), *(held.column(c).to_numpy() for c in ("n_best", "count_sum")))
+            own = (*group_sizes(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])), best, count)
             for lo, hi in slices(at, PIECES):
                 mine = number[at[lo] : at[hi]]
                 for x, out in zip(own, sums, strict=True):
@@ -327,15 +418,15 @@ def _put_together(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        found: list[pa.RecordBatch] = []
+        answers: list[bytes] = []
         for batch in batches:
-            last = 0
-            for r in np.flatnonzero(batch.column(1).to_numpy()).tolist():
-                found.append(batch.slice(last, r - last).select(["n_best", "count_sum", "groups"]))
+            for r, whole in enumerate(batch.column("whole").to_pylist()):
+                if not whole:
+                    answers.append(batch.column("blob")[r].as_py())
+                    continue
                 counts = batch.column("counts")[r].values.to_numpy()
-                yield texts(batch.column("keys")[r].values, counts, batch.column("numbers")[r].as_py(), [x for x in found if x.num_rows])
-                found, last = [], r + 1
-            found.append(batch.slice(last).select(["n_best", "count_sum", "groups"]))
+                yield texts(batch.column("keys")[r].values, counts, *(batch.column(c)[r].as_py() for c in ("numbers", "deal")), answers)
+                answers = []
 
     return run
 
@@ -343,16 +434,19 @@ def _put_together(names: list[str]):
 def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row."""
     kind = docs.schema[key].dataType.simpleString()
-    sliced = docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_sliced(b_path), f"keys array<{kind}>, counts array<int>, numbers binary, pieces array<string>, times array<bigint>")
+    # A number of its own, so that small slices and buckets are not gathered in one task.
+    n = buckets(docs)
+    sliced = docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(_dealt(b_path, n), f"keys array<{kind}>, {DEALT}")
     sliced = cut(sliced.withColumn("slice", F.monotonically_increasing_id()), "slices", "zstd")
-    each = sliced.select("slice", F.posexplode("pieces").alias("number", "piece"))
-    counted = sliced.select(F.explode(F.arrays_zip("pieces", "times")).alias("x")).groupBy(F.col("x.pieces").alias("piece")).agg(F.sum("x.times").alias("n"))
-    pieces = cut(counted.select(F.monotonically_increasing_id().alias("id"), "n", "piece"), "pieces", "zstd")
-    texts = cut(gathered(align(encode_pieces(pieces, a_path, b_path))), "aligned", "zstd")
-    known = pieces.select("id", "piece").join(texts.select("id", "groups"), "id").join(link_sums(texts), "id").select("piece", "n_best", "count_sum", "groups")
-    answers = each.join(known, "piece").select("slice", F.lit(0).alias("whole"), "number", "n_best", "count_sum", "groups")
-    rows = answers.unionByName(sliced.select("slice", F.lit(1).alias("whole"), "keys", "counts", "numbers"), allowMissingColumns=True)
-    # A number of its own, so that small slices are not gathered in one task.
-    whole = rows.repartition(buckets(docs), "slice").sortWithinPartitions("slice", "whole", "number")
+    parts = sliced.select("slice", F.explode("parts").alias("p")).select("slice", "p.bucket", "p.blob")
+    met = cut(parts.repartitionById(n, F.col("bucket")).mapInArrow(_met, MET), "pieces", "zstd")
+    texts = cut(gathered(align(encode_pieces(met.where("piece IS NOT NULL"), a_path, b_path))), "aligned", "zstd")
+    # What a bucket knows and is asked meets in its task.
+    bucket = F.shiftright("id", 32).cast("int").alias("bucket")
+    known = texts.select(bucket, "id", "groups").unionByName(link_sums(texts).select(bucket, "id", "n_best", "count_sum"), allowMissingColumns=True)
+    known = known.unionByName(met.where("places IS NOT NULL").select("bucket", "slice", "places"), allowMissingColumns=True)
+    answers = known.repartitionById(n, F.col("bucket")).mapInArrow(_answered, "slice bigint, bucket int, blob binary")
+    rows = answers.select("slice", F.lit(0).alias("whole"), "bucket", "blob").unionByName(sliced.select("slice", F.lit(1).alias("whole"), "keys", "counts", "numbers", "deal"), allowMissingColumns=True)
+    whole = rows.repartition(n, "slice").sortWithinPartitions("slice", "whole", "bucket")
     names = [key, *SUMS, "groups_sha256"]
     return whole.mapInArrow(_put_together(names), f"`{key.replace('`', '``')}` {kind}, " + ", ".join(f"{c} bigint" for c in SUMS) + ", groups_sha256 string")
