@@ -159,6 +159,7 @@ def test_pieces_of_a_slice_take_little_memory():
 
 def shuffled_rows(spark):
     sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
@@ -169,7 +170,8 @@ def test_pieces_and_answers_travel_in_packed_rows(spark, encoders):
     words = list(dict.fromkeys(words))
     texts = [r.sample(words, len(words)) for _ in range(32)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)  # a slice or more for each
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    df = df.repartitionById(32, df["doc_id"])  # a slice each
     before = shuffled_rows(spark)
     assert answers(align_documents(df, vocabulary(A), vocabulary(B))) == brute(rows, encoders)
     # A row for each piece of each slice would be more than this on every way.
