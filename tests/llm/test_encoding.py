@@ -86,6 +86,29 @@ def test_distinct_units_are_merged_once():
     assert sorted(asked) == sorted(["straße", "strasse", ",", ".", "(", ")", "!"])
 
 
+def test_a_task_leaves_only_words_that_recurred(spark, monkeypatch):
+    """Workers are kept from stage to stage; a task over many words once left all of them behind."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from weft.llm import word_ids as module
+
+    monkeypatch.setattr(module, "_made", {})
+    docs = frame(spark, [])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    words = ["".join("abcdefghijklmnopqrst"[i // 20**k % 20] for k in range(5)) for i in range(260_000)]
+    text = lambda some: pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([" ".join(some)])], ["doc_id", "text"])
+    rows = [r for b in pieces(docs, WORDS)(iter([text(words), text(words[:1000])])) for r in b.to_pylist()]
+    of, t, asked = module.word_ids(WORDS), Tokenizer.from_file(WORDS), []
+    assert sum(len(x) for x in vars(of).values() if isinstance(x, dict)) <= 2 * 120_000
+    learn = of._learn
+    monkeypatch.setattr(of, "_learn", lambda new, into: asked.extend(new) or learn(new, into))
+    ids = [np.frombuffer(x, "<u4").tolist() for x in of.encode([b" ".join(w.encode() for w in words[a : a + 1000]) for a in (0, 1000)])]
+    assert ids == [t.encode(" ".join(words[a : a + 1000]), add_special_tokens=False).ids for a in (0, 1000)]
+    assert sorted(asked) == sorted(w.encode() for w in words[1000:2000])
+    assert rows[-1]["length"] == len(ids[0]) + 1 - rows[-1]["start"]
+
+
 @pytest.mark.parametrize("counts", [{}, {5: 1}, {2047: 3, 1: 2}, {1024: 5}, {700: 10, 600: 4, 48: 9}, {1: 5000}])
 def test_plan_places_every_piece_once(counts):
     placed, bins = {}, 0

@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import cut, ddl, named
+from .textcore import as_bytes, slices
 from .word_ids import word_ids
 
 CAPACITY, END_ID, RANKED, SALTS, SALTED = 2048, 0, 1 << 20, 64, 256
+#: Bytes of text that are split into words at once; a longer text goes alone.
+CALL_BYTES = 2 << 20
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,8 +45,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         ids_of = word_ids(path)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for lo, hi in slices(as_bytes(batch.column(1))[1], CALL_BYTES):
+                part = batch.slice(lo, hi - lo)
                 row, piece, start, length, crc = [], [], [], [], []
                 texts = [(x or "").encode() for x in part.column(1).to_pylist()]
                 for r, ids in enumerate(ids_of.encode(texts)):
@@ -59,6 +62,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     [batch.schema.names[0], "piece", "start", "length", "ids_crc32"],
                 )
+        ids_of.settle()
 
     return docs.select(named(key), named(text)).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -10,18 +10,25 @@ the library's merges once; a token with the end mark ends a unit. All other word
 apostrophe begins contractions, `<|` special tokens) take the library's whole way; those new to
 the worker are encoded together in one call, with a control character between them that gives a
 token of its own.
+
+Spark keeps its workers from stage to stage, and what one holds counts against the executor while
+others run. So a cache that has grown is cut back to what was asked for again: by settle(), which
+callers use at a task's end, and beyond CACHE_ENTRIES.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import numpy as np
 
+from .memory import trim
+
 FENCE = "\x01"
-#: Words, and units of words, kept in each of the cache's two generations.
-CACHE_ENTRIES = 400_000
+#: Words, and units of words, from which on the cache is cut back before more are learned; most that stay then, and between tasks.
+CACHE_ENTRIES, KEPT_ENTRIES = 500_000, 120_000
 CALL_WORDS = 4000
 #: What the units below stand for; a tokenizer with anything else goes the whole way.
 NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
@@ -29,6 +36,8 @@ PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: What sends a word the whole way: all but the characters that NFC leaves alone and whose lower case is one character for each; apostrophes and `<|`.
 _OTHER = re.compile(r"[^!-&(-~À-ÖØ-öø-ÿ]|<\|")
 _UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: A word that is one unit.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def splits_as_named(tokenizer) -> bool:
@@ -48,6 +57,18 @@ def splits_as_named(tokenizer) -> bool:
     )
 
 
+def _packed(held: dict, again: set, space) -> tuple:
+    """Entries asked for again as three large objects: keys, which hold no space, values, and where those end."""
+    keys = list(islice(again, KEPT_ENTRIES))
+    values = list(map(held.__getitem__, keys))
+    return space.join(keys), b"".join(values), np.cumsum([len(v) for v in values], dtype=np.int64)
+
+
+def _unpacked(keys, values: bytes, ends: np.ndarray, space) -> dict:
+    edges = [0, *ends.tolist()]
+    return dict(zip(keys.split(space) if len(ends) else (), map(values.__getitem__, map(slice, edges, edges[1:])), strict=True))
+
+
 class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,9 +76,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         fence = self._call(FENCE)
         self.fence = int(fence[0]) if len(fence) == 1 else None
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.merges, self.units, self.old_units = None, {}, {}
+        self.words: dict[bytes, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.words_again: set[bytes] = set()
+        self.units_again: set[str] = set()
+        self.merges = None
         if splits_as_named(self.tokenizer):
             from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -84,21 +107,23 @@ class WordIds:
 
     def _learn_plain(self, words: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
         """Learns words by their units; returns those that must go the whole way."""
-        if len(self.units) > CACHE_ENTRIES:
-            self.old_units, self.units = self.units, {}
-        strange, parts = _OTHER.search, _UNIT.findall
-        split, other = [], []
+        strange, parts, letters = _OTHER.search, _UNIT.findall, _LETTERS.fullmatch
+        whole, single, split, other = [], [], [], []
         for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
-            if strange(s):
+            if letters(s):
+                whole.append(w)
+                single.append(s.lower())
+            elif strange(s):
                 other.append(w)
             else:
                 split.append((w, parts(s.lower())))
-        wanted = set().union(*(u for _, u in split)).difference(self.units)
-        known = {u: self.old_units[u] for u in wanted if u in self.old_units}
-        self.units.update(known)
-        if not self._learn_units(list(wanted.difference(known))):
+        wanted = set(single).union(*(u for _, u in split))
+        new = wanted.difference(self.units)
+        self.units_again |= wanted.difference(new)
+        if not self._learn_units(list(new)):
             return words
         ids = self.units.__getitem__
+        into.update(zip(whole, map(ids, single), strict=True))
         for w, units in split:
             into[w] = ids(units[0]) if len(units) == 1 else b"".join(map(ids, units))
         return other
@@ -127,20 +152,28 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if max(len(self.words), len(self.units)) > CACHE_ENTRIES:
+            self.settle()
         split = [t.split() for t in texts]
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for w in set().union(*split).difference(young):
-            got = old.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                young[w] = got
-        self._learn(new, young)
-        ids = young.__getitem__
+        wanted = set().union(*split)
+        new = wanted.difference(self.words)
+        self.words_again |= wanted.difference(new)
+        self._learn(list(new), self.words)
+        ids = self.words.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
+    def settle(self) -> None:
+        """Cuts the cache back to what was asked for again, if it holds more than may stay.
+
+        What stays is copied behind what goes, as single entries would hold on to the memory around them.
+        """
+        if max(len(self.words), len(self.units)) <= KEPT_ENTRIES:
+            return
+        words, units = _packed(self.words, self.words_again, b" "), _packed(self.units, self.units_again, " ")
+        self.words, self.units, self.words_again, self.units_again = {}, {}, set(), set()
+        trim()
+        self.words, self.units = _unpacked(*words, b" "), _unpacked(*units, " ")
+
 
 _made: dict[str, WordIds] = {}
 
