@@ -86,6 +86,38 @@ def test_distinct_units_are_merged_once():
     assert sorted(asked) == sorted(["straße", "strasse", ",", ".", "(", ")", "!"])
 
 
+def test_words_of_known_units_are_not_learned():
+    """A word in other case or with other signs was once an entry of its own, split in Python."""
+    from tokenizers import Tokenizer
+
+    from weft.llm.word_ids import WordIds
+
+    t, of, asked = Tokenizer.from_file(WORDS), WordIds(WORDS), []
+    of.encode(["straße alpha. 1 ( ) , !".encode()])
+    learn = of._learn
+    of._learn = lambda new, into: asked.extend(new) or learn(new, into)
+    texts = ["STRASSE, (alpha) Straße! 11 ALPHA1.", "(Alpha,straße.STRAßE)", "", " ", "alpha's"]
+    ids = of.encode([x.encode() for x in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sorted(asked) == [b"alpha's", b"strasse"]
+    assert sum(len(x) for x in vars(of).values() if isinstance(x, dict)) == 10
+
+
+def test_units_end_where_texts_end():
+    from tokenizers import Tokenizer
+
+    from weft.llm.word_ids import WordIds
+
+    t, of, r = Tokenizer.from_file(WORDS), WordIds(WORDS), random.Random(5)
+    texts = ["ABC<", "|d", "a<", "|endoftext|>", "É", "é", "1", "1", "", "×x", "x×", "÷", "'", "s", "x", "'S"]
+    texts += ["".join(r.choices("aBÉß×'<|.,19 \n\x1c\x85\xa0漢", k=r.randint(0, 9))) for _ in range(6000)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in of.encode([x.encode() for x in texts])] == want
+    assert of.encode([]) == [] and of.encode([b"", b" "]) == [b"", b""]
+    of.merges = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordIds.encode(of, [x.encode() for x in texts])] == want
+
+
 def test_a_task_leaves_only_words_that_recurred(spark, monkeypatch):
     """Workers are kept from stage to stage; a task over many words once left all of them behind."""
     import pyarrow as pa

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .textcore import as_bytes, slices
 from .word_ids import word_ids
 
 CAPACITY, END_ID, RANKED, SALTS, SALTED = 2048, 0, 1 << 20, 64, 256
-#: Bytes of text that are split into words at once; a longer text goes alone.
-CALL_BYTES = 2 << 20
+#: Bytes of text that are split into units at once; a longer text goes alone.
+CALL_BYTES = 4 << 20
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,13 +46,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         ids_of = word_ids(path)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for lo, hi in slices(as_bytes(batch.column(1))[1], CALL_BYTES):
-                part = batch.slice(lo, hi - lo)
+            raw, at = as_bytes(batch.column(1))
+            for lo, hi in slices(at, CALL_BYTES):
                 row, piece, start, length, crc = [], [], [], [], []
-                texts = [(x or "").encode() for x in part.column(1).to_pylist()]
-                for r, ids in enumerate(ids_of.encode(texts)):
-                    ids += end
-                    n = len(ids) // 4
+                found, edges = ids_of.encode_column(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                for r, (a, b) in enumerate(pairwise(edges.tolist()), lo):
+                    ids = found[a:b].tobytes() + end
+                    n = b - a + 1
                     for p, s in enumerate(range(0, n, capacity)):
                         row.append(r)
                         piece.append(p)
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         length.append(min(capacity, n - s))
                         crc.append(zlib.crc32(ids[4 * s : 4 * (s + capacity)]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     [batch.schema.names[0], "piece", "start", "length", "ids_crc32"],
                 )
         ids_of.settle()
